@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions.columns import NUMERIC, TEMPORAL, all_of
 from millrace.operators import skew
+from millrace.session import materialize
 
 JOIN_TYPES = {"Inner": "inner", "Left": "left", "Right": "right", "Full": "full", "Cross": "cross"}
 _COMPARE = {
@@ -63,35 +64,42 @@ def apply_join(left: DataFrame, right: DataFrame, how: str = "Inner", conditions
         dtype = left.schema[only.left].dataType
         if isinstance(dtype, NUMERIC + TEMPORAL):
             return inequality_join(left, right, only.left, names[only.right], only.operator)
-    if len(equal) == len(conditions):
-        return _equality_join(left, right, names, equal, kind, max_group_rows)
+    if equal:
+        return _equality_join(left, right, names, conditions, equal, kind, max_group_rows)
     return left.join(right, _test(left, right, names, conditions), kind)
 
 
-def _equality_join(left: DataFrame, right: DataFrame, names: dict[str, str], equal: list[On], kind: str,
-                   max_group_rows: int) -> DataFrame:
+def _equality_join(left: DataFrame, right: DataFrame, names: dict[str, str], conditions: list[On], equal: list[On],
+                   kind: str, max_group_rows: int) -> DataFrame:
+    """Shuffle join on the equalities, the other comparisons re-checked; heavy keys go through the grid."""
     l_keys, r_keys = [c.left for c in equal], [names[c.right] for c in equal]
     matching = all(left.schema[a].dataType == right.schema[b].dataType for a, b in zip(l_keys, r_keys))
     heavy: list[int] = []
     if matching:
         heavy = sorted({*skew.heavy_keys(left, l_keys, max_group_rows), *skew.heavy_keys(right, r_keys, max_group_rows)})
     if not heavy:
-        return left.join(right, _test(left, right, names, equal), kind)
+        return left.join(right, _test(left, right, names, conditions), kind)
     l_rest, l_big = skew.split_heavy(left, l_keys, heavy)
     r_rest, r_big = skew.split_heavy(right, r_keys, heavy)
-    parts = [
-        l_rest.join(r_rest, _test(l_rest, r_rest, names, equal), kind),
-        skew.salted_inner(l_big, r_big, all_of([F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in zip(l_keys, r_keys)])),
-    ]
+    residual = len(equal) < len(conditions)
+    if residual and kind != "inner":
+        # an outer row is unmatched only when no tile kept it, so the rows need a fixed identity
+        l_big = materialize(l_big.withColumn("__lid", F.monotonically_increasing_id()))
+        r_big = materialize(r_big.withColumn("__rid", F.monotonically_increasing_id()))
+    met = all_of([_COMPARE[c.operator](F.col(f"`{c.left}`"), F.col(f"`{names[c.right]}`")) for c in conditions])
+    matched = skew.salted_inner(l_big, r_big, met)
+    parts = [l_rest.join(r_rest, _test(l_rest, r_rest, names, conditions), kind), matched]
     if kind in ("left", "full"):
-        parts.append(_unmatched(l_big, r_big, l_keys, r_keys, heavy))
+        parts.append(l_big.join(matched.select("__lid").distinct(), "__lid", "left_anti") if residual
+                     else _unmatched(l_big, r_big, l_keys, r_keys, heavy))
     if kind in ("right", "full"):
-        parts.append(_unmatched(r_big, l_big, r_keys, l_keys, heavy))
+        parts.append(r_big.join(matched.select("__rid").distinct(), "__rid", "left_anti") if residual
+                     else _unmatched(r_big, l_big, r_keys, l_keys, heavy))
     columns = left.columns + right.columns
-    whole = parts[0].select(*columns)
+    whole = parts[0].select(*[F.col(f"`{c}`") for c in columns])
     for part in parts[1:]:
-        whole = whole.unionByName(part, allowMissingColumns=True)
-    return whole.select(*columns)
+        whole = whole.unionByName(part.drop("__lid", "__rid"), allowMissingColumns=True)
+    return whole.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def _unmatched(rows: DataFrame, others: DataFrame, keys: list[str], other_keys: list[str],

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("rules", "relational")
+MODULES = ("rules", "relational", "quality")
 
 
 def load_all() -> None:
