@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("rules", "relational", "quality")
+MODULES = ("rules", "relational", "quality", "profiles")
 
 
 def load_all() -> None:
