@@ -126,12 +126,12 @@ ENTITY_PATTERNS = {
 
 def entities(text: Column, types: list[str] | None = None) -> Column:
     """``array<struct<type,value>>`` of the pattern entities found, by type and then by place in the text."""
-    parts = [
-        F.transform(F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[name]), F.lit(1)),
-                    lambda v, name=name: F.struct(F.lit(name).alias("type"), v.alias("value")))
-        for name in types or list(ENTITY_PATTERNS)
-    ]
-    return F.concat(*parts)
+
+    def found(name: str) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[name]), F.lit(1))
+        return F.transform(hits, lambda v: F.struct(F.lit(name).alias("type"), v.alias("value")))
+
+    return F.concat(*[found(name) for name in types or list(ENTITY_PATTERNS)])
 
 
 def enrich_entities(df: DataFrame, text: str, types: list[str] | None = None, target: str = "entities") -> DataFrame:

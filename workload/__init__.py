@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("rules", "relational", "quality", "profiles")
+MODULES = ("rules", "relational", "quality", "profiles", "protection")
 
 
 def load_all() -> None:
