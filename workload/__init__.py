@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("rules", "relational", "quality", "profiles", "protection")
+MODULES = ("rules", "relational", "quality", "profiles", "protection", "movement")
 
 
 def load_all() -> None:
