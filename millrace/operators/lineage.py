@@ -6,6 +6,8 @@ Edges have ``pipeline, execution, source_table, target_table`` and ``columns``,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.functions.columns import all_of, field
@@ -14,7 +16,6 @@ from millrace.session import materialize
 
 RULES_JSON = ("array<struct<source:string,target:string,type:string,format:string,"
               "params:map<string,string>,order:int>>")
-_LEVELS_PER_CUT = 4
 
 
 def from_rules(pipelines: DataFrame, rules: str = "rules") -> DataFrame:
@@ -44,35 +45,40 @@ def _walk(steps: DataFrame, roots: DataFrame, node: list[str], depth: int, max_g
     """Nodes within ``depth`` steps of each root: (root…, node…, depth), each once at its smallest depth.
 
     ``steps`` has ``from_<n>`` and ``to_<n>`` for each node column, ``roots`` has the node columns. Each level
-    joins the frontier to the steps and drops what was visited, so cycles end. Lineage is cut every few levels.
+    joins the frontier to the steps and drops what was visited, so cycles end. A level is written to the shared
+    folder before the next one reads it; otherwise every level would compute all earlier ones twice.
     """
     root = [f"root_{n}" for n in node]
-    steps = steps.distinct()
     leaving = [f"from_{n}" for n in node]
+    steps = steps.distinct()
+    if depth > 1:
+        steps = materialize(steps)
     heavy = skew.heavy_keys(steps, leaving, max_group_rows)
-    seen = roots.distinct().select(*[field(n).alias(r) for n, r in zip(node, root)], *[field(n) for n in node],
-                                   F.lit(0).alias("depth"))
-    frontier = seen
+    frontier = roots.distinct().select(*[field(n).alias(r) for n, r in zip(node, root)], *[field(n) for n in node])
+    seen, levels = frontier, []
     for level in range(1, depth + 1):
-        # steps of a heavy node meet the frontier by salted grid, the rest by an ordinary join
-        met = all_of([F.col(a) == F.col(n) for a, n in zip(leaving, node)])
-        current = frontier.drop("depth")
-        if heavy:
-            few_steps, big_steps = skew.split_heavy(steps, leaving, heavy)
-            few_front, big_front = skew.split_heavy(current, node, heavy)
-            hop = few_front.join(few_steps, met).unionByName(skew.salted_inner(big_front, big_steps, met))
-        else:
-            hop = current.join(steps, met)
-        reached = hop.select(*root, *[F.col(f"to_{n}").alias(n) for n in node]).distinct()
-        fresh = reached.join(seen.select(*root, *node), root + node, "left_anti").withColumn("depth", F.lit(level))
-        if level % _LEVELS_PER_CUT == 0:
+        reached = _hop(frontier, steps, node, leaving, heavy) \
+            .select(*root, *[F.col(f"to_{n}").alias(n) for n in node]).distinct()
+        fresh = reached.join(seen, root + node, "left_anti")
+        if level < depth:
             fresh = materialize(fresh)
             if fresh.isEmpty():
                 break
-            seen = materialize(seen)
-        seen = seen.unionByName(fresh)
-        frontier = fresh
-    return seen.filter(F.col("depth") > 0)
+        levels.append(fresh.withColumn("depth", F.lit(level)))
+        seen, frontier = seen.unionByName(fresh), fresh
+    if not levels:
+        return frontier.withColumn("depth", F.lit(0)).filter(F.lit(False))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def _hop(frontier: DataFrame, steps: DataFrame, node: list[str], leaving: list[str], heavy: list[int]) -> DataFrame:
+    """One step from every frontier node; the steps of heavy nodes are spread over a grid of tasks."""
+    met = all_of([F.col(a) == F.col(n) for a, n in zip(leaving, node)])
+    if not heavy:
+        return frontier.join(steps, met)
+    few_steps, big_steps = skew.split_heavy(steps, leaving, heavy)
+    few_front, big_front = skew.split_heavy(frontier, node, heavy)
+    return few_front.join(few_steps, met).unionByName(skew.salted_inner(big_front, big_steps, met))
 
 
 def downstream(edges: DataFrame, roots: DataFrame, depth: int = 1,

@@ -34,12 +34,16 @@ def write_files(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "app
     return rows
 
 
-def create_table(df: DataFrame, name: str) -> None:
-    """Create the table from the DataFrame's schema unless it exists."""
-    df.limit(0).write.mode("ignore").saveAsTable(name)
+def create_table(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Create the table from the DataFrame's schema unless it exists; ``path`` places it outside the warehouse."""
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(name):
+        options = {"path": path} if path else {}
+        df.limit(0).write.mode("ignore").options(**options).saveAsTable(name)
 
 
-def load_table(df: DataFrame, name: str, create: bool = False, truncate: bool = False) -> int:
+def load_table(df: DataFrame, name: str, create: bool = False, truncate: bool = False,
+               path: str | None = None) -> int:
     """Load rows into a catalog table and return their number.
 
     A missing table is created when ``create`` is set and is an error otherwise; an existing one is emptied
@@ -49,7 +53,7 @@ def load_table(df: DataFrame, name: str, create: bool = False, truncate: bool =
     if not spark.catalog.tableExists(name):
         if not create:
             raise ValueError(f"table {name!r} does not exist")
-        create_table(df, name)
+        create_table(df, name, path)
     columns = spark.table(name).columns
     missing = [c for c in df.columns if c not in columns]
     if missing:

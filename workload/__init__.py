@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("rules", "relational", "quality", "profiles", "protection", "movement")
+MODULES = ("rules", "relational", "quality", "profiles", "protection", "movement", "inout")
 
 
 def load_all() -> None:

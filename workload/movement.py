@@ -124,9 +124,14 @@ def replicate_cdc(spark, sf_dir):
     UNION ALL SELECT 'broken', -1""")
 def replicate_all(spark, sf_dir):
     sources = {name: table(spark, sf_dir, name) for name in ("nation", "customer", "supplier", "region")}
-    sources["broken"] = sources["nation"].withColumn("n_name", F.expr("raise_error(n_name)"))
-    return replication.all_tables(
-        spark, sources, lambda name, rows: sinks.write_files(rows, new_folder(spark, f"all-{name}")), ["REGION"])
+    sources["broken"] = sources["nation"]
+
+    def load(name, rows):
+        if name == "broken":
+            return sinks.load_table(rows, "millrace_no_such_table")
+        return sinks.write_files(rows, new_folder(spark, f"all-{name}"))
+
+    return replication.all_tables(spark, sources, load, ["REGION"])
 
 
 # -- change capture ---------------------------------------------------------------------------------------------
