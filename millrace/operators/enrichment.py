@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.columns import as_text, field
+from millrace.functions.columns import any_of, as_text, field
 from millrace.operators import skew
 
 # -- lookups ----------------------------------------------------------------------------------------------------
@@ -124,18 +124,35 @@ ENTITY_PATTERNS = {
 }
 
 
-def entities(text: Column, types: list[str] | None = None) -> Column:
-    """``array<struct<type,value>>`` of the pattern entities found, by type and then by place in the text."""
+# a cheap necessary condition for each kind, so that its pattern runs only where it can match
+_MARKS = {"email": ["@"], "url": ["://"], "money": ["$", "€", "£"]}
+
+
+def _may_hold(text: Column, name: str, digits: Column) -> Column:
+    if name not in _MARKS:
+        return digits
+    return any_of([text.contains(m) for m in _MARKS[name]])
+
+
+def entities(text: Column, types: list[str] | None = None, digits: Column | None = None) -> Column:
+    """``array<struct<type,value>>`` of the pattern entities found, by type and then by place in the text.
+
+    ``digits`` tells whether the text holds a digit, when the caller has that already.
+    """
+    digits = text.rlike("[0-9]") if digits is None else digits
 
     def found(name: str) -> Column:
         hits = F.regexp_extract_all(text, F.lit(ENTITY_PATTERNS[name]), F.lit(1))
-        return F.transform(hits, lambda v: F.struct(F.lit(name).alias("type"), v.alias("value")))
+        listed = F.transform(hits, lambda v: F.struct(F.lit(name).alias("type"), v.alias("value")))
+        return F.when(_may_hold(text, name, digits), listed) \
+            .otherwise(F.array().cast("array<struct<type:string,value:string>>"))
 
     return F.concat(*[found(name) for name in types or list(ENTITY_PATTERNS)])
 
 
 def enrich_entities(df: DataFrame, text: str, types: list[str] | None = None, target: str = "entities") -> DataFrame:
-    return df.withColumn(target, entities(field(text), types))
+    flagged = df.withColumn("__digits", field(text).rlike("[0-9]"))
+    return flagged.withColumn(target, entities(field(text), types, F.col("__digits"))).drop("__digits")
 
 
 # -- models and functions ---------------------------------------------------------------------------------------

@@ -34,12 +34,11 @@ def _enum(text: Column) -> Column:
     return F.when(few, F.array_sort(F.transform(known, lambda e: e["item"])))
 
 
-def _describe(name: str, kind: Column | str, value: Column, typed: dict[str, Column]) -> Column:
-    kind_column = F.lit(kind) if isinstance(kind, str) else kind
+def _describe(name: str, kind: str, value: Column, typed: dict[str, Column]) -> Column:
     text, number, items = typed.get("String"), typed.get("number"), typed.get("Array")
     none = F.lit(None)
     return F.struct(
-        F.lit(name), kind_column, F.count_if(value.isNull()) == 0,
+        F.lit(name), F.lit(kind), F.count_if(value.isNull()) == 0,
         F.min(F.length(text)) if text is not None else none, F.max(F.length(text)) if text is not None else none,
         F.min(number) if number is not None else none, F.max(number) if number is not None else none,
         F.min(F.size(items)) if items is not None else none, F.max(F.size(items)) if items is not None else none,
@@ -50,7 +49,7 @@ def _describe(name: str, kind: Column | str, value: Column, typed: dict[str, Col
 def _column(name: str, dtype: T.DataType) -> Column:
     value = field(name)
     if isinstance(dtype, T.VariantType):
-        return _variant_column(name, value)
+        return _variant_column(name)
     kind = type_name(dtype)
     typed = {
         "String": {"String": value.cast("string")},
@@ -61,27 +60,31 @@ def _column(name: str, dtype: T.DataType) -> Column:
     return _describe(name, kind, value, typed)
 
 
-def _variant_column(name: str, value: Column) -> Column:
+def _variant_parts(name: str) -> list[Column]:
+    """The value's type and its text, number or items, worked out once per row before the aggregation."""
+    value = field(name)
+    kind = F.when(value.isNotNull() & (F.schema_of_variant(value) != "VOID"), variant_type_name(value))
+    return [kind.alias(f"__kind_{name}"), F.try_variant_get(value, "$", "string").alias(f"__text_{name}"),
+            F.try_variant_get(value, "$", "double").alias(f"__number_{name}"),
+            F.size(F.try_variant_get(value, "$", "array<variant>")).alias(f"__items_{name}")]
+
+
+def _variant_column(name: str) -> Column:
     """Type by majority vote; constraints only where the winning type has them."""
-    present = value.isNotNull() & (F.schema_of_variant(value) != "VOID")
-    kind = F.when(present, variant_type_name(value))
+    kind = field(f"__kind_{name}")
     votes = F.array(*[F.struct(F.count_if(kind == v).alias("n"), F.lit(-i).alias("rank"), F.lit(v).alias("type"))
                       for i, v in enumerate(_VOTES)])
     winner = F.array_max(votes)["type"]
-    text = F.when(kind == "String", F.try_variant_get(value, "$", "string"))
-    number = F.when(kind.isin("Integer", "Decimal"), F.try_variant_get(value, "$", "double"))
-    items = F.when(kind == "Array", F.try_variant_get(value, "$", "array<variant>"))
-    described = _describe(name, winner, F.when(present, F.lit(1)), {"String": text, "number": number, "Array": items})
-    keep = {"String": ("min_length", "max_length", "enum_values"), "number": ("minimum", "maximum"),
-            "Array": ("min_items", "max_items")}
-
-    def only(struct: Column, names: tuple[str, ...], types: tuple[str, ...]) -> list[Column]:
-        return [F.when(winner.isin(*types), struct[n]).alias(n) for n in names]
-
+    text = F.when(kind == "String", field(f"__text_{name}"))
+    number = F.when(kind.isin("Integer", "Decimal"), field(f"__number_{name}"))
+    items = F.when(kind == "Array", field(f"__items_{name}"))
+    is_text, is_number = winner == "String", winner.isin("Integer", "Decimal")
     return F.struct(
-        described["field"].alias("field"), described["type"].alias("type"), described["required"].alias("required"),
-        *only(described, keep["String"][:2], ("String",)), *only(described, keep["number"], ("Integer", "Decimal")),
-        *only(described, keep["Array"], ("Array",)), *only(described, keep["String"][2:], ("String",)),
+        F.lit(name), winner, F.count_if(kind.isNull()) == 0,
+        F.when(is_text, F.min(F.length(text))), F.when(is_text, F.max(F.length(text))),
+        F.when(is_number, F.min(number)), F.when(is_number, F.max(number)),
+        F.when(winner == "Array", F.min(items)), F.when(winner == "Array", F.max(items)),
+        F.when(is_text, _enum(text)),
     ).cast(_ROW)
 
 
@@ -89,6 +92,9 @@ def infer_fields(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row per column with its inferred type and constraints."""
     types = {f.name: f.dataType for f in df.schema.fields}
     described = F.array(*[_column(c, types[c]) for c in columns or df.columns])
+    variants = [c for c in columns or df.columns if isinstance(types[c], T.VariantType)]
+    if variants:
+        df = df.select("*", *[part for c in variants for part in _variant_parts(c)])
     return df.agg(described.alias("fields")).select(F.inline("fields"))
 
 

@@ -178,9 +178,19 @@ def has_card(text: Column) -> Column:
     return F.exists(runs, lambda r: F.call_function("luhn_check", F.regexp_replace(r, "[ -]", "")))
 
 
-def value_tests(text: Column, types: list[str] | None = None, custom: str | None = None) -> dict[str, Column]:
-    tests = {name: text.rlike(pattern) for name, pattern in VALUE_PATTERNS.items()}
-    tests["CreditCardNumber"] = has_card(text)
+def _with_flags(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Add two cheap flags per text column, so that the costly patterns run only where they can match."""
+    texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
+    return df.select("*", *[field(c).contains("@").alias(f"__at_{c}") for c in texts],
+                     *[field(c).rlike("[0-9]").alias(f"__digit_{c}") for c in texts])
+
+
+def value_tests(name: str, types: list[str] | None = None, custom: str | None = None) -> dict[str, Column]:
+    """Boolean column per kind of data for a text column of a frame with flags."""
+    text, at, digit = field(name), field(f"__at_{name}"), field(f"__digit_{name}")
+    tests = {kind: (at if kind == "EmailAddress" else digit) & text.rlike(pattern)
+             for kind, pattern in VALUE_PATTERNS.items()}
+    tests["CreditCardNumber"] = digit & has_card(text)
     if custom:
         tests["Custom"] = text.rlike(custom)
     return {n: t for n, t in tests.items() if types is None or n in types}
@@ -194,11 +204,11 @@ def name_hints(name: str, types: list[str] | None = None) -> list[str]:
 def detect(df: DataFrame, types: list[str] | None = None, columns: list[str] | None = None,
            custom: str | None = None, target: str = "sensitive") -> DataFrame:
     """Rows with ``array<struct<column,type>>``: value patterns on text columns, name hints on any non-null value."""
-    found = []
-    for name in columns or df.columns:
+    found, names = [], df.columns
+    for name in columns or names:
         value = field(name)
         hinted = name_hints(name, types)
-        tests = value_tests(value, types, custom) if isinstance(df.schema[name].dataType, T.StringType) else {}
+        tests = value_tests(name, types, custom) if isinstance(df.schema[name].dataType, T.StringType) else {}
         for kind in TYPES:
             if kind in hinted:
                 test = value.isNotNull()
@@ -209,7 +219,8 @@ def detect(df: DataFrame, types: list[str] | None = None, columns: list[str] | N
             found.append(F.when(test, F.struct(F.lit(name).alias("column"), F.lit(kind).alias("type"))))
     if not found:
         return df.withColumn(target, F.array().cast("array<struct<column:string,type:string>>"))
-    return df.withColumn(target, F.filter(F.array(*found), lambda t: t.isNotNull()))
+    tags = F.filter(F.array(*found), lambda t: t.isNotNull()).alias(target)
+    return _with_flags(df, columns or names).select(*[field(c) for c in names], tags)
 
 
 def suggest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -219,7 +230,7 @@ def suggest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         value = field(name)
         hinted = name_hints(name)
         is_text = isinstance(df.schema[name].dataType, T.StringType)
-        rates = {k: F.try_divide(F.count_if(t), F.count(value)) for k, t in value_tests(value).items()} if is_text else {}
+        rates = {k: F.try_divide(F.count_if(t), F.count(value)) for k, t in value_tests(name).items()} if is_text else {}
         candidates = []
         for kind in TYPES:
             if kind not in hinted and kind not in rates:
@@ -233,4 +244,5 @@ def suggest(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             best = F.array_max(F.filter(F.array(*candidates), lambda c: c.isNotNull()))
             described.append(F.struct(F.lit(name).alias("column"), best["type"].alias("type"),
                                       best["mask"].alias("mask"), best["hit_rate"].alias("hit_rate")))
-    return df.agg(F.array(*described).alias("rows")).select(F.inline("rows")).filter(F.col("type").isNotNull())
+    flagged = _with_flags(df, columns or df.columns)
+    return flagged.agg(F.array(*described).alias("rows")).select(F.inline("rows")).filter(F.col("type").isNotNull())

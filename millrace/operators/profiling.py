@@ -7,7 +7,7 @@ sketches in the same single aggregation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from millrace.functions.columns import NUMERIC, as_text, field, trimmed
 from millrace.operators import skew
@@ -43,12 +43,31 @@ def counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, value (text), number (for numeric columns), n: one row per distinct non-null value."""
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), _text(df, c).alias("value"), _number(df, c).alias("number"))
-        for c in columns or df.columns])
-    melted = df.select(F.inline(cells)).filter(F.col("value").isNotNull())
-    return melted.groupBy("column", "value", "number").agg(F.count(F.lit(1)).alias("n"))
+    """column, value (text), number (for numeric columns), n: one row per distinct non-null value.
+
+    Integers and doubles are counted as numbers and printed afterwards, once per distinct value.
+    """
+    columns = columns or df.columns
+    as_number = (T.ByteType, T.ShortType, T.IntegerType, T.DoubleType)
+
+    def cell(i: int, name: str) -> Column:
+        exact = isinstance(df.schema[name].dataType, as_number)
+        return F.struct(F.lit(i).alias("i"), (F.lit(None).cast("string") if exact else _text(df, name)).alias("text"),
+                        _number(df, name).alias("number"))
+
+    melted = df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(columns)]))) \
+        .filter(F.col("text").isNotNull() | F.col("number").isNotNull())
+    counted = melted.groupBy("i", "text", "number").agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return counted.select(
+        F.get(names, F.col("i")).alias("column"),
+        F.coalesce("text", as_text(F.col("number"), T.DoubleType())).alias("value"), "number", "n")
+
+
+def _numeric_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Value counts of the numeric columns, written once because the quantile scan reads them several times."""
+    numeric = [c for c in columns if isinstance(df.schema[c].dataType, NUMERIC)]
+    return materialize(value_counts(df, numeric or columns))
 
 
 def unique_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
@@ -110,7 +129,7 @@ def min_max(df: DataFrame, columns: list[str] | None = None, approx: bool = Fals
     scalars = _stack(df, columns, lambda c: _extremes(df, c, approx))
     if approx:
         return scalars
-    medians = quantiles(values if values is not None else value_counts(df, columns), {"q": 0.5})
+    medians = quantiles(values if values is not None else _numeric_counts(df, columns), {"q": 0.5})
     joined = scalars.join(F.broadcast(medians), "column", "left")
     return joined.select("column", "min", "max", "avg", F.col("q").cast("string").alias("median"))
 
@@ -133,7 +152,7 @@ def statistics(df: DataFrame, columns: list[str] | None = None, values: DataFram
     """column, stddev, variance, skewness, kurtosis, p25, p75 of the numeric columns."""
     columns = [c for c in columns or df.columns if isinstance(df.schema[c].dataType, NUMERIC)]
     moments = _stack(df, columns, lambda c: _moments(df, c))
-    quarters = quantiles(values if values is not None else value_counts(df, columns), {"p25": 0.25, "p75": 0.75})
+    quarters = quantiles(values if values is not None else _numeric_counts(df, columns), {"p25": 0.25, "p75": 0.75})
     return moments.join(F.broadcast(quarters), "column", "left")
 
 

@@ -194,20 +194,20 @@ def stream_transform(spark, sf_dir):
 @query("stream_window_agg", """SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, event_type, n, total, low, high, mean,
       first_id, last_id FROM
     (SELECT date_trunc('hour', ts) AS w, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total,
-      min(value) AS low, max(value) AS high, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 4) AS mean,
+      min(value) AS low, max(value) AS high, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(*), 9) AS mean,
       arg_min(event_id, ts) AS first_id, arg_max(event_id, ts) AS last_id FROM events GROUP BY 1, 2)
     WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def stream_window_agg(spark, sf_dir):
     stream = event_stream(spark, sf_dir).withColumn("amount", F.col("value").cast("decimal(18,2)"))
     out = streams.window_aggregate(stream, "ts", "1 hour", "event_type", {
         "n": Agg("Count"), "total": Agg("Sum", "amount"), "low": Agg("Min", "value"), "high": Agg("Max", "value"),
-        "mean": Agg("Custom", expression="avg(amount)"), "first_id": Agg("First", "event_id"),
+        "mean": Agg("Custom", expression="avg(CAST(amount AS DECIMAL(20,10)))"), "first_id": Agg("First", "event_id"),
         "last_id": Agg("Last", "event_id")})
     found = drained(spark, out, "stream-window")
     return found.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n",
         F.col("total").cast("double").alias("total"), "low", "high",
-        F.round(F.col("mean").cast("double"), 4).alias("mean"), "first_id", "last_id")
+        F.round(F.col("mean").cast("double"), 9).alias("mean"), "first_id", "last_id")
 
 
 @query("stream_join", """SELECT c.event_id, p.event_id AS right_event_id, c.user_id FROM events c JOIN events p
