@@ -29,7 +29,7 @@ class Agg:
 
     function: str                      # Count, Sum, Min, Max, Average, First, Last, Custom
     field: str | None = None
-    expression: str | None = None
+    expression: str | Column | None = None   # SQL text, or a column such as a grouped-aggregate pandas UDF
     order: tuple[str, ...] = ()
 
 
@@ -60,7 +60,7 @@ def agg_column(agg: Agg, default_order: tuple[str, ...] = ()) -> Column:
     if agg.function == "Count" and agg.field is None:
         return F.count(F.lit(1))
     if agg.function == "Custom":
-        return F.expr(agg.expression)
+        return F.expr(agg.expression) if isinstance(agg.expression, str) else agg.expression
     value = field(agg.field)
     simple = {"Count": F.count, "Sum": F.sum, "Min": F.min, "Max": F.max, "Average": F.avg}
     if agg.function in simple:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.columns import all_of, any_of, field, same
+from millrace.functions.columns import any_of, field, same
 from millrace.operators import skew
-from millrace.operators.consistency import last_per_key
+from millrace.operators.consistency import paired
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], ts: Column, txn: Column | None = None,
@@ -18,17 +18,16 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], ts: Column, txn:
     """The change log that leads from one snapshot to the next."""
     columns = before.columns
     rest = [c for c in columns if c not in keys]
-    old = last_per_key(before, keys, columns, order_by).select(
-        *[field(k).alias(f"a{i}") for i, k in enumerate(keys)], F.col("__row").alias("before"))
-    new = last_per_key(after.select(*[field(c) for c in columns]), keys, columns, order_by).select(
-        *[field(k).alias(f"b{i}") for i, k in enumerate(keys)], F.col("__row").alias("after"))
-    joined = old.join(new, all_of([same(F.col(f"a{i}"), F.col(f"b{i}")) for i in range(len(keys))]), "full")
-    changed = any_of([~same(F.col("before")[c], F.col("after")[c]) for c in rest])
-    op = F.when(F.col("before").isNull(), "insert").when(F.col("after").isNull(), "delete").when(changed, "update")
-    return joined.withColumn("op", op).filter(F.col("op").isNotNull()).select(
-        "op", ts.alias("ts"), (txn if txn is not None else F.lit("")).alias("txn"),
-        *[F.when(F.col("before").isNull(), F.col(f"b{i}")).otherwise(F.col(f"a{i}")).alias(k)
-          for i, k in enumerate(keys)], "before", "after")
+    pairs = paired(before, after, keys, columns, order_by)
+    changed = any_of([~same(F.col("src")[c], F.col("dst")[c]) for c in rest])
+    op = F.when(F.col("src").isNull(), "insert").when(F.col("dst").isNull(), "delete").when(changed, "update")
+
+    def image(side: str) -> Column:
+        return F.when(F.col(side).isNotNull(), F.struct(*[F.col(side)[c].alias(c) for c in columns]))
+
+    return pairs.withColumn("op", op).filter(F.col("op").isNotNull()).select(
+        "op", ts.alias("ts"), (txn if txn is not None else F.lit("")).alias("txn"), *[field(k) for k in keys],
+        image("src").alias("before"), image("dst").alias("after"))
 
 
 def between(log: DataFrame, start=None, end=None) -> DataFrame:

@@ -1,28 +1,42 @@
 """Comparing a destination with its source, and bringing it up to date.
 
 Keys are typed and null-safe. Where a key occurs more than once the last row wins: last by ``order_by``, or by
-the compared values when no order is given. Picking that row is an aggregation with partial results before the
-shuffle, so after it both sides have one row per key and the key join cannot be skewed.
+the compared values when no order is given. Both sides are compared in one aggregation by key over their union:
+one shuffle, nulls group like any key, and repeated keys are combined before the shuffle, so no key can pile up
+in a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.columns import all_of, any_of, as_text, field, same
+from millrace.functions.columns import any_of, as_text, field, same
 from millrace.operators import skew
 
 
-def last_per_key(df: DataFrame, keys: list[str], columns: list[str], order_by: list[str] | None = None) -> DataFrame:
-    """One row per key: keys and ``__row`` holding ``columns``."""
-    row = F.struct(*[field(c).alias(c) for c in columns])
-    if not columns:
-        return df.groupBy(*[field(k) for k in keys]).agg(F.struct(F.lit(True).alias("__present")).alias("__row"))
-    if order_by:
-        picked = F.max_by(row, F.struct(*[field(o).alias(f"o{i}") for i, o in enumerate(order_by)]))
-    else:
-        picked = F.max(row)
-    return df.groupBy(*[field(k) for k in keys]).agg(picked.alias("__row"))
+def paired(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str],
+           order_by: list[str] | None = None) -> DataFrame:
+    """One row per key: the keys, and the row structs ``src`` and ``dst`` (null where a side lacks the key)."""
+    if not keys:
+        raise ValueError("at least one key column must be provided")
+    order = order_by or []
+    needed = list(dict.fromkeys([*keys, *columns, *order]))
+
+    def tagged(df: DataFrame, side: int) -> DataFrame:
+        return df.select(*[field(c) for c in needed], F.lit(side).alias("__side"))
+
+    row = F.struct(F.lit(True).alias("__present"), *[field(c).alias(c) for c in columns])
+    both = tagged(left, 0).unionByName(tagged(right, 1)).select(
+        *[field(k) for k in keys], "__side", row.alias("__row"),
+        *([F.struct(*[field(o).alias(f"o{i}") for i, o in enumerate(order)]).alias("__at")] if order else []))
+
+    def last(side: int) -> Column:
+        mine = F.col("__side") == side
+        if order:
+            return F.max_by(F.when(mine, F.col("__row")), F.when(mine, F.col("__at")))
+        return F.max(F.when(mine, F.col("__row")))
+
+    return both.groupBy(*[field(k) for k in keys]).agg(last(0).alias("src"), last(1).alias("dst"))
 
 
 def _shared(source: DataFrame, destination: DataFrame, keys: list[str], columns: list[str] | None) -> list[str]:
@@ -33,16 +47,6 @@ def _shared(source: DataFrame, destination: DataFrame, keys: list[str], columns:
     return [c for c in source.columns if c not in keys and c in destination.columns]
 
 
-def _pairs(source: DataFrame, destination: DataFrame, keys: list[str], columns: list[str],
-           order_by: list[str] | None, how: str) -> DataFrame:
-    """Keys (``k0``…), ``src`` and ``dst`` row structs; a null struct means the side has no such key."""
-    left = last_per_key(source, keys, columns, order_by).select(
-        *[field(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("__row").alias("src"))
-    right = last_per_key(destination, keys, columns, order_by).select(
-        *[field(k).alias(f"r{i}") for i, k in enumerate(keys)], F.col("__row").alias("dst"))
-    return left.join(right, all_of([same(F.col(f"k{i}"), F.col(f"r{i}")) for i in range(len(keys))]), how)
-
-
 def _differs(columns: list[str]) -> Column:
     return any_of([~same(F.col("src")[c], F.col("dst")[c]) for c in columns])
 
@@ -51,10 +55,10 @@ def metrics(source: DataFrame, destination: DataFrame, keys: list[str], columns:
             order_by: list[str] | None = None) -> DataFrame:
     """One row: missing, different, total (distinct source keys). Destination-only keys are not counted."""
     compared = _shared(source, destination, keys, columns)
-    pairs = _pairs(source, destination, keys, compared, order_by, "left")
-    found = F.col("dst").isNotNull()
-    return pairs.agg(F.count_if(~found).alias("missing"), F.count_if(found & _differs(compared)).alias("different"),
-                     F.count(F.lit(1)).alias("total"))
+    pairs = paired(source, destination, keys, compared, order_by)
+    here, there = F.col("src").isNotNull(), F.col("dst").isNotNull()
+    return pairs.agg(F.count_if(here & ~there).alias("missing"),
+                     F.count_if(here & there & _differs(compared)).alias("different"), F.count_if(here).alias("total"))
 
 
 def is_consistent(source: DataFrame, destination: DataFrame, keys: list[str], columns: list[str] | None = None,
@@ -68,10 +72,28 @@ def differences(source: DataFrame, destination: DataFrame, keys: list[str], colu
                 order_by: list[str] | None = None) -> DataFrame:
     """Source rows that are missing from or differ in the destination, with ``status``."""
     compared = _shared(source, destination, keys, columns)
-    pairs = _pairs(source, destination, keys, compared, order_by, "left")
+    pairs = paired(source, destination, keys, compared, order_by).filter(F.col("src").isNotNull())
     status = F.when(F.col("dst").isNull(), "missing").when(_differs(compared), "different")
     return pairs.withColumn("status", status).filter(F.col("status").isNotNull()).select(
-        *[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], *[F.col("src")[c].alias(c) for c in compared], "status")
+        *[field(k) for k in keys], *[F.col("src")[c].alias(c) for c in compared], "status")
+
+
+# Stand-ins for a null key of each type (told apart from the real value by a null flag).
+_STAND_INS = {T.StringType: "''", T.BooleanType: "false", T.DateType: "DATE'1970-01-01'",
+              T.TimestampType: "TIMESTAMP'1970-01-01'", T.TimestampNTZType: "TIMESTAMP_NTZ'1970-01-01'"}
+
+
+def _null_free(df: DataFrame, keys: list[str]) -> list[Column]:
+    """Key columns ``__v…`` and null flags ``__f…`` that compare by plain equality.
+
+    Grouping and joining by them needs one shuffle; a null-safe join would shuffle a grouped side again.
+    """
+    parts = []
+    for i, k in enumerate(keys):
+        dtype = df.schema[k].dataType
+        stand_in = F.expr(_STAND_INS.get(type(dtype), "0")).cast(dtype)
+        parts += [F.coalesce(field(k), stand_in).alias(f"__v{i}"), field(k).isNull().alias(f"__f{i}")]
+    return parts
 
 
 def upsert(source: DataFrame, destination: DataFrame, keys: list[str], columns: list[str] | None = None,
@@ -81,29 +103,28 @@ def upsert(source: DataFrame, destination: DataFrame, keys: list[str], columns:
     Every destination row of a known key takes the source values of the synchronised columns.
     """
     synced = _shared(source, destination, keys, columns)
-    incoming = last_per_key(source, keys, synced, order_by).select(
-        *[field(k) for k in keys], F.col("__row").alias("__src"))
-    heavy = skew.heavy_keys(destination, keys, max_group_rows)
-
-    def merged(name: str, target: Column) -> Column:
-        return F.when(F.col("__src").isNotNull(), F.col("__src")[name]).otherwise(target) if name in synced else target
-
-    if heavy:
-        kept = skew.join_per_key(destination, incoming, keys, "left", heavy=heavy)
-        updated = kept.select(*[merged(c, field(c)).alias(c) for c in destination.columns])
-        present = destination.select(*[field(k) for k in keys]).distinct()
-        fresh = skew.join_per_key(incoming, present, keys, "left_anti", heavy=[])
-        inserted = fresh.select(*[
-            (field(c) if c in keys else F.col("__src")[c] if c in synced
-             else F.lit(None).cast(destination.schema[c].dataType)).alias(c) for c in destination.columns])
-        return updated.unionByName(inserted)
-    renamed = incoming.select(*[field(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__src")
-    joined = destination.join(
-        renamed, all_of([same(destination[f"`{k}`"], renamed[f"__k{i}"]) for i, k in enumerate(keys)]), "full")
-    # a source-only row has null destination columns: its key comes from the source side
-    output = [(F.coalesce(field(c), F.col(f"__k{keys.index(c)}")) if c in keys else merged(c, field(c))).alias(c)
-              for c in destination.columns]
-    return joined.select(*output)
+    typed = source.select(*[field(k).cast(destination.schema[k].dataType).alias(k) for k in keys],
+                          *[field(c) for c in source.columns if c not in keys])
+    row = F.struct(*[field(c).alias(c) for c in keys + synced])
+    picked = F.max_by(row, F.struct(*[field(o).alias(f"o{i}") for i, o in enumerate(order_by)])) if order_by else F.max(row)
+    joint = [f"__{p}{i}" for i in range(len(keys)) for p in "vf"]
+    incoming = typed.select("*", *_null_free(typed, keys)).groupBy(*joint).agg(picked.alias("__src"))
+    current = destination.select("*", *_null_free(destination, keys))
+
+    def merged(name: str) -> Column:
+        known = F.col("__src").isNotNull()
+        return F.when(known, F.col("__src")[name]).otherwise(field(name)) if name in keys + synced else field(name)
+
+    output = [merged(c).alias(c) for c in destination.columns]
+    heavy = skew.heavy_keys(current, joint, max_group_rows)
+    if not heavy:
+        return current.join(incoming, joint, "full").select(*output)
+    updated = skew.join_per_key(current, incoming, joint, "left", heavy=heavy).select(*output)
+    fresh = incoming.join(current.select(*joint).distinct(), joint, "left_anti")
+    inserted = fresh.select(*[
+        (F.col("__src")[c] if c in keys + synced else F.lit(None).cast(destination.schema[c].dataType)).alias(c)
+        for c in destination.columns])
+    return updated.unionByName(inserted)
 
 
 def upsert_count(source: DataFrame, destination: DataFrame, keys: list[str], columns: list[str] | None = None,

@@ -75,7 +75,8 @@ def _equality_join(left: DataFrame, right: DataFrame, names: dict[str, str], con
     l_keys, r_keys = [c.left for c in equal], [names[c.right] for c in equal]
     matching = all(left.schema[a].dataType == right.schema[b].dataType for a, b in zip(l_keys, r_keys))
     heavy: list[int] = []
-    if matching:
+    small = (kind in ("inner", "left") and skew.broadcasts(right)) or (kind in ("inner", "right") and skew.broadcasts(left))
+    if matching and not small:
         heavy = sorted({*skew.heavy_keys(left, l_keys, max_group_rows), *skew.heavy_keys(right, r_keys, max_group_rows)})
     if not heavy:
         return left.join(right, _test(left, right, names, conditions), kind)

@@ -176,3 +176,13 @@ def quarantine(df: DataFrame, rules: list[QualityRule], at_least: str = "Error")
     return (checked.filter(~held).select(*[field(c) for c in columns]),
             checked.filter(held).select(*[field(c) for c in columns], "severity",
                                         F.filter("__results", lambda r: ~r["valid"]).alias("failures")))
+
+
+def write_quarantine(df: DataFrame, rules: list[QualityRule], path: str, at_least: str = "Error") -> None:
+    """Write both parts in one pass: ``<path>/quarantined=false`` and ``<path>/quarantined=true``."""
+    columns = df.columns
+    checked = validate(df, rules, "__results").withColumn("severity", failed_severity(F.col("__results")))
+    held = F.coalesce(F.col("severity").isin(list(SEVERITIES[SEVERITIES.index(at_least):])), F.lit(False))
+    checked.select(*[field(c) for c in columns], "severity",
+                   F.filter("__results", lambda r: ~r["valid"]).alias("failures"), held.alias("quarantined")) \
+        .write.partitionBy("quarantined").parquet(path)

@@ -38,6 +38,20 @@ def heavy_keys(df: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_R
     return [entry["item"] for entry in found["top"] if entry["count"] > floor]
 
 
+def broadcasts(df: DataFrame) -> bool:
+    """True where Spark's own size estimate puts the frame under its broadcast threshold, so that a join on it
+    moves no rows of the other side and skew does not matter."""
+    spark = df.sparkSession
+    threshold = str(spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")).lower().rstrip("b")
+    units = {"k": 2**10, "m": 2**20, "g": 2**30}
+    limit = int(threshold[:-1]) * units[threshold[-1]] if threshold[-1:] in units else int(threshold)
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except AttributeError:  # no JVM handle (Spark Connect): look for heavy keys instead
+        return False
+    return size <= limit
+
+
 def split_heavy(df: DataFrame, keys: list[str], heavy: list[int]) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary groups, rows of heavy groups)."""
     is_heavy = key_hash(df, keys).isin(heavy)
@@ -64,7 +78,7 @@ def join_per_key(left: DataFrame, right: DataFrame, keys: list[str], how: str =
         return rows.join(partners, all_of(pairs), how).drop(*renamed)
 
     if heavy is None:
-        heavy = heavy_keys(left, keys, max_group_rows)
+        heavy = [] if broadcasts(right) else heavy_keys(left, keys, max_group_rows)
     if not heavy:
         return joined(left, right)
     # the hash compares equal only for equal types, so hash the right keys under the left types

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.columns import field
@@ -79,6 +79,36 @@ def swap_table(df: DataFrame, name: str) -> int:
     return rows
 
 
+# Column types used when a load creates a database table; anything else is stored as text.
+COLUMN_TYPES = {
+    "SqlServer": {"string": "NVARCHAR(MAX)", "int": "INT", "long": "BIGINT", "double": "FLOAT", "decimal": "DECIMAL(18, 6)",
+                  "bool": "BIT", "datetime": "DATETIME2", "date": "DATE", "time": "TIME", "guid": "UNIQUEIDENTIFIER",
+                  "binary": "VARBINARY(MAX)"},
+    "PostgreSql": {"string": "TEXT", "int": "INTEGER", "long": "BIGINT", "double": "DOUBLE PRECISION",
+                   "decimal": "NUMERIC(18, 6)", "bool": "BOOLEAN", "datetime": "TIMESTAMP", "date": "DATE", "time": "TIME",
+                   "guid": "UUID", "binary": "BYTEA"},
+    "MySql": {"string": "TEXT", "int": "INT", "long": "BIGINT", "double": "DOUBLE", "decimal": "DECIMAL(18, 6)",
+              "bool": "TINYINT(1)", "datetime": "DATETIME", "date": "DATE", "time": "TIME", "guid": "CHAR(36)",
+              "binary": "BLOB"},
+}
+_KINDS = {T.ByteType: "int", T.ShortType: "int", T.IntegerType: "int", T.LongType: "long", T.FloatType: "double",
+          T.DoubleType: "double", T.DecimalType: "decimal", T.BooleanType: "bool", T.TimestampType: "datetime",
+          T.TimestampNTZType: "datetime", T.DateType: "date", T.BinaryType: "binary"}
+
+
+def jdbc_column_types(kind: str, schema: T.StructType) -> dict[str, str]:
+    """Database column types for a schema; types without a counterpart become text."""
+    types = COLUMN_TYPES[kind]
+    return {f.name: types[_KINDS.get(type(f.dataType), "string")] for f in schema.fields}
+
+
+def create_statement(kind: str, table: str, schema: T.StructType) -> str:
+    """CREATE TABLE text for a database of the given kind."""
+    opening, closing = {"SqlServer": "[]", "PostgreSql": '""', "MySql": "``"}[kind]
+    columns = ", ".join(f"{opening}{name}{closing} {sql_type}" for name, sql_type in jdbc_column_types(kind, schema).items())
+    return f"CREATE TABLE {table} ({columns})"
+
+
 def load_jdbc(df: DataFrame, url: str, table: str, options: dict[str, str] | None = None, truncate: bool = False,
               partitions: int | None = None) -> int:
     """Insert rows over JDBC in batches. Each partition is one transaction, so the load as a whole is not."""

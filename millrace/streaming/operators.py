@@ -34,10 +34,11 @@ def window_aggregate(stream: DataFrame, time: str, size: str, group_by: str | No
 
 
 def join_streams(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_time: str, right_time: str,
-                 within: str, delay: str = "10 minutes") -> DataFrame:
+                 within: str, delay: str = "10 minutes", tiles: int = 1) -> DataFrame:
     """Inner equi-join of rows at most ``within`` apart; both watermarks bound the join state.
 
-    Clashing right columns get a ``right_`` prefix.
+    Clashing right columns get a ``right_`` prefix. For keys that hold a large share of a stream, ``tiles`` spreads
+    the left rows of each key over that many tasks and repeats the right rows in each of them.
     """
     taken = set(left.columns)
     names = {c: (f"right_{c}" if c in taken else c) for c in right.columns}
@@ -46,8 +47,14 @@ def join_streams(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     if left.isStreaming:
         left, right = left.withWatermark(left_time, delay), right.withWatermark(r_time, delay)
     span = F.expr(f"INTERVAL {within}")
-    near = (field(r_time) >= field(left_time) - span) & (field(r_time) <= field(left_time) + span)
-    return left.join(right, (field(left_key) == field(r_key)) & near, "inner")
+    met = (field(left_key) == field(r_key)) & (field(r_time) >= field(left_time) - span) \
+        & (field(r_time) <= field(left_time) + span)
+    if tiles == 1:
+        return left.join(right, met, "inner")
+    # the tile is a function of the row, so a replayed row meets the same state
+    left = left.withColumn("__lt", F.pmod(F.xxhash64(*[field(c) for c in left.columns]), F.lit(tiles)).cast("int"))
+    right = right.withColumn("__rt", F.explode(F.array(*[F.lit(i) for i in range(tiles)])))
+    return left.join(right, met & (F.col("__lt") == F.col("__rt")), "inner").drop("__lt", "__rt")
 
 
 def process_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str,

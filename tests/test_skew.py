@@ -14,6 +14,15 @@ from tests.conftest import rows
 SPLIT = 20  # groups above 20 rows are split
 
 
+@pytest.fixture(autouse=True, scope="module")
+def no_broadcast(spark):
+    """Small test tables would be broadcast, which needs no splitting."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.fixture(scope="module")
 def hot(spark):
     """900 rows; key 1 holds a third, the null key a third, the rest is spread; plenty of ties and null values."""
