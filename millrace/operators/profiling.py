@@ -1,8 +1,8 @@
 """Column profiles, issues, anomalies and quality scores.
 
-Scalar measures come from one aggregation over the table. Exact distinct counts, top values and quantiles come
-from one melt ``(column, value)`` whose counts are combined before the shuffle; ``approx=True`` replaces them by
-sketches in the same single aggregation.
+Scalar measures come from one aggregation over the table. Exact distinct counts and top values come from one melt
+``(column, value)`` whose counts are combined before the shuffle, exact quantiles from a bracketed search;
+``approx=True`` replaces them by sketches in the same single aggregation.
 """
 
 from __future__ import annotations
@@ -64,12 +64,6 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         F.coalesce("text", as_text(F.col("number"), T.DoubleType())).alias("value"), "number", "n")
 
 
-def _numeric_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Value counts of the numeric columns, written once because the quantile scan reads them several times."""
-    numeric = [c for c in columns if isinstance(df.schema[c].dataType, NUMERIC)]
-    return materialize(value_counts(df, numeric or columns))
-
-
 def unique_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """column, unique_count."""
     columns = columns or df.columns
@@ -100,36 +94,93 @@ def top_values(values: DataFrame, k: int = TOP_VALUES) -> DataFrame:
         .select("column", "place", "value", "n")
 
 
-def quantiles(values: DataFrame, probabilities: dict[str, float],
+def quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float],
               max_group_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
-    """Exact interpolated quantiles of the numeric columns from their value counts."""
-    numeric = values.filter(F.col("number").isNotNull()).select("column", "number", "n")
-    totals = numeric.groupBy("column").agg(F.sum("n").alias("total"))  # one row per column
-    running = apply_window(numeric, "Sum", ["column"], ["number"], "upto", "n", max_group_rows=max_group_rows)
-    joined = running.join(F.broadcast(totals), "column")
-
-    def at(rank: Column) -> Column:
-        # smallest value with more than `rank` values at or below it
-        return F.min(F.when(F.col("upto") > rank, F.col("number")))
-
-    parts, outputs = [], []
-    for name, p in probabilities.items():
-        position = F.lit(p) * (F.col("total") - 1)
-        parts += [at(F.floor(position)).alias(f"{name}_lo"), at(F.ceil(position)).alias(f"{name}_hi"),
-                  F.first(position - F.floor(position)).alias(f"{name}_part")]
-        outputs.append((F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * F.col(f"{name}_part"))
-                       .alias(name))
-    return joined.groupBy("column").agg(*parts).select("column", *outputs)
-
-
-def min_max(df: DataFrame, columns: list[str] | None = None, approx: bool = False,
-            values: DataFrame | None = None) -> DataFrame:
+    """Exact interpolated quantiles of the numeric columns: column and one output per named probability.
+
+    A sketch gives a narrow bracket of values around each quantile; the values below it are counted, and only
+    the values inside it are shuffled. The counts prove that the bracket holds the wanted ranks; one that did not
+    would be opened to the whole column, so the answer is exact whatever the sketch says.
+    """
+    columns = [c for c in columns if isinstance(df.schema[c].dataType, NUMERIC)]
+    spark = df.sparkSession
+    if not columns:
+        return spark.createDataFrame([], "column string, " + ", ".join(f"{n} double" for n in probabilities))
+    targets = [(i, j, p) for i in range(len(columns)) for j, p in enumerate(probabilities.values())]
+    brackets, totals = _brackets(df, columns, targets)
+
+    def inside(i: int, j: int) -> Column:
+        low, high = brackets[i, j]
+        x = _number(df, columns[i])
+        test = x.isNotNull()
+        return test if low is None else test & (x >= low) & (x <= high)
+
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
+                               F.when(inside(i, j), _number(df, columns[i])).alias("x")) for i, j, _ in targets])
+    counted = df.select(F.inline(cells)).filter(F.col("x").isNotNull()).groupBy("i", "j", "x") \
+        .agg(F.count(F.lit(1)).alias("n"))
+    # the bracket sizes are known, so large ones are looked for only when there are any
+    largest = max(size for _, _, size in totals.values())
+    running = apply_window(counted, "Sum", ["i", "j"], ["x"], "upto", "n", max_group_rows=max_group_rows,
+                           heavy=None if largest > max_group_rows else [])
+    ranks = []
+    for i, j, p in targets:
+        n, below, _ = totals[i, j]
+        position = p * max(n - 1, 0)
+        ranks.append((i, j, int(position) - below, -int(-position // 1) - below, position - int(position)))
+    wanted = spark.createDataFrame(ranks, "i int, j int, lo bigint, hi bigint, part double")  # columns x quantiles rows
+
+    def at(rank: str) -> Column:
+        # smallest value with more than `rank` bracket values at or below it
+        return F.min(F.when(F.col("upto") > F.col(rank), F.col("x")))
+
+    found = running.join(F.broadcast(wanted), ["i", "j"]).groupBy("i", "j").agg(
+        at("lo").alias("a"), at("hi").alias("b"), F.first("part").alias("part"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
+    wide = found.groupBy("i").agg(*[F.max(F.when(F.col("j") == j, value)).alias(name)
+                                    for j, name in enumerate(probabilities)])
+    return wide.select(F.get(F.array(*[F.lit(c) for c in columns]), F.col("i")).alias("column"), *probabilities)
+
+
+_ACCURACY = 2_000
+
+
+def _brackets(df: DataFrame, columns: list[str], targets: list[tuple[int, int, float]]) -> tuple[dict, dict]:
+    """(bracket per target, (column values, values below the bracket, values in it) per target): two aggregations."""
+    slack = 4 / _ACCURACY
+    wanted: dict[int, list[tuple[int, float]]] = {}
+    for i, j, p in targets:
+        wanted.setdefault(i, []).append((j, p))
+    sketch = df.agg(*[
+        F.percentile_approx(_number(df, columns[i]), F.array(*[
+            F.lit(min(max(p + d, 0.0), 1.0)) for _, p in ps for d in (-slack, slack)]), _ACCURACY).alias(f"q{i}")
+        for i, ps in wanted.items()]).first()  # one sketch per column
+    brackets = {(i, j): tuple(sketch[f"q{i}"][2 * k:2 * k + 2]) if sketch[f"q{i}"] else (None, None)
+                for i, ps in wanted.items() for k, (j, _) in enumerate(ps)}
+    measures = []
+    for i, j, _ in targets:
+        x, (low, high) = _number(df, columns[i]), brackets[i, j]
+        measures += [F.count(x).alias(f"n{i}_{j}"),
+                     (F.lit(0) if low is None else F.count_if(x < low)).alias(f"b{i}_{j}"),
+                     (F.count(x) if low is None else F.count_if(x <= high)).alias(f"u{i}_{j}")]
+    counted = df.agg(*measures).first()
+    totals = {}
+    for i, j, p in targets:
+        n, below, upto = counted[f"n{i}_{j}"], counted[f"b{i}_{j}"], counted[f"u{i}_{j}"]
+        position = p * max(n - 1, 0)
+        if not below <= int(position) or not -int(-position // 1) < upto:
+            brackets[i, j], below, upto = (None, None), 0, n
+        totals[i, j] = (n, below, upto - below)
+    return brackets, totals
+
+
+def min_max(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """column, min, max, avg, median, all as text; avg and median only for numeric columns."""
     columns = columns or df.columns
     scalars = _stack(df, columns, lambda c: _extremes(df, c, approx))
     if approx:
         return scalars
-    medians = quantiles(values if values is not None else _numeric_counts(df, columns), {"q": 0.5})
+    medians = quantiles(df, columns, {"q": 0.5})
     joined = scalars.join(F.broadcast(medians), "column", "left")
     return joined.select("column", "min", "max", "avg", F.col("q").cast("string").alias("median"))
 
@@ -148,18 +199,18 @@ def _moments(df: DataFrame, name: str) -> list[Column]:
             F.skewness(number).alias("skewness"), F.kurtosis(number).alias("kurtosis")]
 
 
-def statistics(df: DataFrame, columns: list[str] | None = None, values: DataFrame | None = None) -> DataFrame:
+def statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """column, stddev, variance, skewness, kurtosis, p25, p75 of the numeric columns."""
     columns = [c for c in columns or df.columns if isinstance(df.schema[c].dataType, NUMERIC)]
     moments = _stack(df, columns, lambda c: _moments(df, c))
-    quarters = quantiles(values if values is not None else _numeric_counts(df, columns), {"p25": 0.25, "p75": 0.75})
+    quarters = quantiles(df, columns, {"p25": 0.25, "p75": 0.75})
     return moments.join(F.broadcast(quarters), "column", "left")
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES, approx: bool = False) -> DataFrame:
     """The full profile, one row per column.
 
-    The exact form writes the value counts to the shared folder once, because three measures read them.
+    The exact form writes the value counts to the shared folder once, because two measures read them.
     """
     columns = columns or df.columns
 
@@ -184,7 +235,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES
         top = top_values(values, k).groupBy("column").agg(
             F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("place", "value", "n"))),
                                            lambda e: F.struct(e["value"], e["n"]))).alias("top_values"))
-        quarters = quantiles(values, {"p25": 0.25, "q": 0.5, "p75": 0.75})
+        quarters = quantiles(df, columns, {"p25": 0.25, "q": 0.5, "p75": 0.75})
         whole = _stack(df, columns, scalars)
         # each right side has one row per column
         for part in (_unique_of(values), top, quarters):

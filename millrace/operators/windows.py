@@ -47,8 +47,11 @@ def _plain(function: str, partition_by: list[str], order_by: list[str], source:
 
 def apply_window(df: DataFrame, function: str, partition_by: list[str], order_by: list[str], target: str,
                  source: str | None = None, expression: str | None = None,
-                 max_group_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
-    """Add ``target`` computed by a window function."""
+                 max_group_rows: int = skew.MAX_GROUP_ROWS, heavy: list[int] | None = None) -> DataFrame:
+    """Add ``target`` computed by a window function.
+
+    ``heavy`` takes the hashes of the large partitions where the caller knows them (none: an empty list).
+    """
     if function == "Custom":
         return df.withColumn(target, F.expr(expression))
     known = RANKING + SHIFTING + EDGES + tuple(AGGREGATES)
@@ -58,7 +61,8 @@ def apply_window(df: DataFrame, function: str, partition_by: list[str], order_by
         raise ValueError(f"{function} needs order fields")
     if function not in RANKING and function != "Count" and source is None:
         raise ValueError(f"{function} needs a source field")
-    heavy = skew.heavy_keys(df, partition_by, max_group_rows)
+    if heavy is None:
+        heavy = skew.heavy_keys(df, partition_by, max_group_rows)
     if not heavy:
         return df.withColumn(target, _plain(function, partition_by, order_by, source))
     ordinary, large = skew.split_heavy(df, partition_by, heavy)

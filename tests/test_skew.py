@@ -109,10 +109,17 @@ def test_split_upsert_and_change_apply(spark, hot):
     assert rows(changes.apply(target, log, ["k"], SPLIT)) == rows(changes.apply(target, log, ["k"]))
 
 
-def test_split_quantiles(hot):
-    values = profiling.value_counts(hot, ["id"])
-    exact = profiling.quantiles(values, {"a": 0.5, "b": 0.25}, max_group_rows=50).first()
-    assert (exact["a"], exact["b"]) == (449.5, 224.75)
+@pytest.mark.parametrize("open_brackets", [False, True])
+def test_split_quantiles(spark, hot, monkeypatch, open_brackets):
+    if open_brackets:  # a sketch that is always wrong must not change the answer
+        monkeypatch.setattr(profiling.F, "percentile_approx", lambda column, ps, accuracy: F.array(*[F.lit(1e9)] * 8))
+    df = hot.select("id", "v", F.lit(None).cast("double").alias("none"), F.lit(3).alias("same"))
+    exact = {r["column"]: r for r in profiling.quantiles(
+        df, df.columns, {"a": 0.5, "b": 0.25, "c": 1.0, "d": 0.0}, max_group_rows=50).collect()}
+    assert tuple(exact["id"])[1:] == (449.5, 224.75, 899.0, 0.0)
+    assert tuple(exact["same"])[1:] == (3.0, 3.0, 3.0, 3.0) and "none" not in exact
+    expected = df.agg(*[F.percentile("v", p) for p in (0.5, 0.25, 1.0, 0.0)]).first()
+    assert tuple(exact["v"])[1:] == tuple(expected)
 
 
 def test_split_lineage_walk(spark):
