@@ -1,7 +1,8 @@
 """Joins on lists of field comparisons.
 
 Right columns whose name is taken get a ``right_`` prefix. Conditions are ANDed; with at least one equality
-the join shuffles on it and re-checks the rest, a lone range condition goes through the bucketed range join.
+the join shuffles on it and re-checks the rest, a lone inner ordering comparison goes through the bucketed
+inequality join, and what is left (cross joins and the like) needs an explicit ``allow_cross``.
 """
 
 from __future__ import annotations
@@ -66,6 +67,8 @@ def apply_join(left: DataFrame, right: DataFrame, how: str = "Inner", conditions
             return inequality_join(left, right, only.left, names[only.right], only.operator)
     if equal:
         return _equality_join(left, right, names, conditions, equal, kind, max_group_rows)
+    if not allow_cross:
+        raise ValueError("a join without an equality compares all pairs and needs allow_cross=True")
     return left.join(right, _test(left, right, names, conditions), kind)
 
 

@@ -61,8 +61,10 @@ def test_clashing_names_get_a_prefix(spark):
     right = spark.createDataFrame([(1, "y")], "id int, v string")
     assert apply_join(left, right, "Inner", [On("id", "id")]).first().asDict() == {
         "id": 1, "v": "x", "right_id": 1, "right_v": "y"}
-    with pytest.raises(ValueError):
-        apply_join(left, right, "Cross")
+    for how, on in (("Cross", []), ("Left", [On("id", "id", "LessThan")]), ("Inner", [On("id", "id", "NotEqual")])):
+        with pytest.raises(ValueError):
+            apply_join(left, right, how, on)
+        assert apply_join(left, right, how, on, allow_cross=True).count() == (0 if how == "Inner" else 1)
 
 
 @pytest.mark.parametrize("operator", ["LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual"])

@@ -65,11 +65,13 @@ _mask("mask_date_shift", lambda s, d: table(s, d, "orders").withColumn("o_orderd
           AS INTEGER) AS o_orderdate FROM orders""")
 
 
-@query("mask_number_variance", f"""SELECT c_custkey, round(c_acctbal * (1 + (-1e1 + ({_number("CAST(c_acctbal AS VARCHAR)")}
-    % 100001) / 1e5 * 2e1) / 1e2), 9) AS c_acctbal FROM customer WHERE c_acctbal <> floor(c_acctbal)""")
+_SHOWN = "CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(CAST(c_acctbal AS BIGINT) AS VARCHAR) ELSE CAST(c_acctbal AS VARCHAR) END"
+
+
+@query("mask_number_variance", f"""SELECT c_custkey, round(c_acctbal * (1 + (-1e1 + ({_number("shown")}
+    % 100001) / 1e5 * 2e1) / 1e2), 9) AS c_acctbal FROM (SELECT c_custkey, c_acctbal, {_SHOWN} AS shown FROM customer)""")
 def mask_number_variance(spark, sf_dir):
-    # the digest is of the value's text; whole numbers print differently in the oracle, so it leaves them out
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").filter("c_acctbal <> floor(c_acctbal)")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     out = masking.mask_data(customers, {"c_acctbal": Mask("NumberVariance", {"salt": _SALT})})
     return out.withColumn("c_acctbal", F.round("c_acctbal", 9))
 

@@ -14,24 +14,21 @@ from workload.rules import TEXT_NUMBERS, text_numbers
 
 # -- joins ------------------------------------------------------------------------------------------------------
 
-# customers without the BUILDING segment against orders of the last years, so every side has unmatched rows
-_CUST = "(SELECT c_custkey, c_name FROM customer WHERE c_mktsegment <> 'BUILDING')"
-_ORD = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '2001-06-01')"
+# all customers against all orders with the buyer key moved by 100, so both sides have unmatched rows
+_BUYERS = "(SELECT o_orderkey, o_custkey + 100 AS buyer, o_totalprice FROM orders)"
 
 
 def _sides(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_name")
-    orders = table(spark, sf_dir, "orders").filter("o_orderdate >= TIMESTAMP '2001-06-01'") \
-        .select("o_orderkey", "o_custkey", "o_totalprice")
-    return customers, orders
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey + 100 AS buyer", "o_totalprice")
+    return table(spark, sf_dir, "customer").select("c_custkey", "c_name"), orders
 
 
 def _join(key: str, how: str):
-    @query(key, f"SELECT c_custkey, c_name, o_orderkey, o_custkey, o_totalprice "
-                f"FROM {_CUST} {how.upper()} JOIN {_ORD} ON c_custkey = o_custkey")
+    @query(key, f"SELECT c_custkey, c_name, o_orderkey, buyer, o_totalprice "
+                f"FROM customer {how.upper()} JOIN {_BUYERS} ON c_custkey = buyer")
     def run(spark, sf_dir):
         customers, orders = _sides(spark, sf_dir)
-        return apply_join(customers, orders, how, [On("c_custkey", "o_custkey")])
+        return apply_join(customers, orders, how, [On("c_custkey", "buyer")])
 
     return run
 
@@ -114,11 +111,10 @@ def enrich_lookup_nulls(spark, sf_dir):
                               ["n_name"], include_null_matches=True).select("c_custkey", "c_nationkey", "n_name")
 
 
-@query("anti_missing", """SELECT c_custkey, c_name FROM customer
-    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""")
+@query("anti_missing", f"SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT buyer FROM {_BUYERS})")
 def anti_missing(spark, sf_dir):
-    buyers = table(spark, sf_dir, "orders").filter("o_totalprice > 300000").selectExpr("o_custkey AS c_custkey")
-    return joins.missing_rows(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), buyers, ["c_custkey"])
+    customers, orders = _sides(spark, sf_dir)
+    return joins.missing_rows(customers, orders.selectExpr("buyer AS c_custkey"), ["c_custkey"])
 
 
 # -- aggregation ------------------------------------------------------------------------------------------------
