@@ -13,8 +13,8 @@ SF = "/root/testdata/sf0.001"
 def spark():
     from millrace.session import build_session
 
-    session = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
+    session = build_session("tests", "local[4]", **{
+        "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
         "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="millrace-test-"),
         "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="millrace-wh-")})
     session.sparkContext.setLogLevel("ERROR")
