@@ -87,3 +87,12 @@ def numeric_value(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, NUMERIC):
         return field(name)
     return parse_decimal(as_text(field(name), dtype, ("true", "false")))
+
+
+def unnest(df: DataFrame, keys: list[str], rows: Column, present: str) -> DataFrame:
+    """Key columns and the fields of every struct in an array; ``present`` is a field that is never null.
+
+    The outer form with a filter on top computes the array once. For the plain form Spark adds a size filter below
+    it and so computes a costly array twice.
+    """
+    return df.select(*[field(k) for k in keys], F.inline_outer(rows)).filter(field(present).isNotNull())

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.columns import INTEGRAL, field
+from millrace.functions.columns import INTEGRAL, field, unnest
 
 # The wording of schema errors.
 MESSAGES = {
@@ -153,5 +153,4 @@ def validate(df: DataFrame, schema: DataSchema, target: str = "errors") -> DataF
 
 def error_list(df: DataFrame, schema: DataSchema, keys: list[str]) -> DataFrame:
     """One output row per error: the key columns, field and message."""
-    checked = df.select(*[field(k) for k in keys], F.explode(schema_errors(df, schema)).alias("e"))
-    return checked.select(*[field(k) for k in keys], "e.field", "e.message")
+    return unnest(df, keys, schema_errors(df, schema), "field")

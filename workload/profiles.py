@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import unnest
 from millrace.operators import profiling
 from workload.quality import CUSTOMER_NULLS, CUSTOMER_RULES, customer_nulls
 from workload.registry import query, table
@@ -100,7 +101,7 @@ def profile_anomalies(spark, sf_dir):
         "o_orderkey", "CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN o_totalprice * 5 "
         "ELSE o_totalprice END AS price", "IF(o_orderkey % 17 = 0, 'X', o_orderstatus) AS status")
     found = profiling.anomalies(later, profiling.profile(base), ["price", "status"])
-    return found.select("o_orderkey", F.inline("anomalies"))
+    return unnest(found, ["o_orderkey"], F.col("anomalies"), "anomaly")
 
 
 _SCORES = f"""SELECT 1 - (5 * count(*) - count(c_custkey) - count(c_name) - count(c_nationkey) - count(c_acctbal)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import unnest
 from millrace.operators import enrichment, masking
 from millrace.operators.masking import Mask, MaskingProfile
 from workload.quality import CUSTOMER_NULLS, customer_nulls
@@ -103,7 +104,7 @@ _LUHN = """len(list_filter(list_transform(regexp_extract_all(text, '{card}', 1),
     for name, pattern in _P.items()) + f" UNION ALL SELECT doc_id, 'text', 'CreditCardNumber' FROM documents WHERE {_LUHN}")
 def detect_sensitive(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return masking.detect(documents, columns=["text"]).select("doc_id", F.inline("sensitive"))
+    return unnest(masking.detect(documents, columns=["text"]), ["doc_id"], F.col("sensitive"), "type")
 
 
 @query("suggest_masking", """SELECT unnest(['contact', 'customer_name', 'c_acctbal', 'host']) AS "column",
@@ -179,7 +180,7 @@ _E = enrichment.ENTITY_PATTERNS
     for name, pattern in ((n, p.replace("'", "''")) for n, p in _E.items())))
 def enrich_entities(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return enrichment.enrich_entities(documents, "text").select("doc_id", F.inline("entities"))
+    return unnest(enrichment.enrich_entities(documents, "text"), ["doc_id"], F.col("entities"), "type")
 
 
 def _linear_model():

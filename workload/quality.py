@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import unnest
 from millrace.operators import contracts, inference, quality_rules, schema_checks
 from millrace.operators.quality_rules import QualityRule
 from millrace.operators.schema_checks import DataSchema, SchemaField
@@ -202,8 +203,8 @@ _SEGMENT, _BALANCE = "c_mktsegment IS NULL", "(c_acctbal IS NULL OR c_acctbal <
       FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE n > 1""")
 def dq_validate(spark, sf_dir):
     checked = quality_rules.validate(customer_nulls(spark, sf_dir), CUSTOMER_RULES)
-    failed = checked.select("c_custkey", F.explode(F.filter("results", lambda r: ~r["valid"])).alias("r"))
-    return failed.select("c_custkey", "r.rule", "r.severity", "r.message")
+    failed = unnest(checked, ["c_custkey"], F.filter("results", lambda r: ~r["valid"]), "rule")
+    return failed.drop("valid")
 
 
 @query("dq_summary", f"""
