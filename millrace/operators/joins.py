@@ -77,10 +77,13 @@ def _equality_join(left: DataFrame, right: DataFrame, names: dict[str, str], con
     """Shuffle join on the equalities, the other comparisons re-checked; heavy keys go through the grid."""
     l_keys, r_keys = [c.left for c in equal], [names[c.right] for c in equal]
     matching = all(left.schema[a].dataType == right.schema[b].dataType for a, b in zip(l_keys, r_keys))
-    heavy: list[int] = []
+    l_counts: dict[int, int] = {}
+    r_counts: dict[int, int] = {}
     small = (kind in ("inner", "left") and skew.broadcasts(right)) or (kind in ("inner", "right") and skew.broadcasts(left))
     if matching and not small:
-        heavy = sorted({*skew.heavy_keys(left, l_keys, max_group_rows), *skew.heavy_keys(right, r_keys, max_group_rows)})
+        l_counts = skew.heavy_counts(left, l_keys, max_group_rows)
+        r_counts = skew.heavy_counts(right, r_keys, max_group_rows)
+    heavy = sorted({*l_counts, *r_counts})
     if not heavy:
         return left.join(right, _test(left, right, names, conditions), kind)
     l_rest, l_big = skew.split_heavy(left, l_keys, heavy)
@@ -91,7 +94,8 @@ def _equality_join(left: DataFrame, right: DataFrame, names: dict[str, str], con
         l_big = materialize(l_big.withColumn("__lid", F.monotonically_increasing_id()))
         r_big = materialize(r_big.withColumn("__rid", F.monotonically_increasing_id()))
     met = all_of([_COMPARE[c.operator](F.col(f"`{c.left}`"), F.col(f"`{names[c.right]}`")) for c in conditions])
-    matched = skew.salted_inner(l_big, r_big, met)
+    matched = skew.salted_inner(l_big, r_big, l_keys, r_keys, met, skew.tile_counts(l_counts, max_group_rows),
+                                skew.tile_counts(r_counts, max_group_rows))
     parts = [l_rest.join(r_rest, _test(l_rest, r_rest, names, conditions), kind), matched]
     if kind in ("left", "full"):
         parts.append(l_big.join(matched.select("__lid").distinct(), "__lid", "left_anti") if residual

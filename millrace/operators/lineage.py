@@ -53,7 +53,7 @@ def _walk(steps: DataFrame, roots: DataFrame, node: list[str], depth: int, max_g
     steps = steps.distinct()
     if depth > 1:
         steps = materialize(steps)
-    heavy = skew.heavy_keys(steps, leaving, max_group_rows)
+    heavy = skew.tile_counts(skew.heavy_counts(steps, leaving, max_group_rows), max_group_rows)
     frontier = roots.distinct().select(*[field(n).alias(r) for n, r in zip(node, root)], *[field(n) for n in node])
     seen, levels = frontier, []
     for level in range(1, depth + 1):
@@ -71,14 +71,16 @@ def _walk(steps: DataFrame, roots: DataFrame, node: list[str], depth: int, max_g
     return reduce(DataFrame.unionByName, levels)
 
 
-def _hop(frontier: DataFrame, steps: DataFrame, node: list[str], leaving: list[str], heavy: list[int]) -> DataFrame:
+def _hop(frontier: DataFrame, steps: DataFrame, node: list[str], leaving: list[str],
+         heavy: dict[int, int]) -> DataFrame:
     """One step from every frontier node; the steps of heavy nodes are spread over a grid of tasks."""
     met = all_of([F.col(a) == F.col(n) for a, n in zip(leaving, node)])
     if not heavy:
         return frontier.join(steps, met)
-    few_steps, big_steps = skew.split_heavy(steps, leaving, heavy)
-    few_front, big_front = skew.split_heavy(frontier, node, heavy)
-    return few_front.join(few_steps, met).unionByName(skew.salted_inner(big_front, big_steps, met))
+    few_steps, big_steps = skew.split_heavy(steps, leaving, list(heavy))
+    few_front, big_front = skew.split_heavy(frontier, node, list(heavy))
+    return few_front.join(few_steps, met).unionByName(
+        skew.salted_inner(big_front, big_steps, node, leaving, met, {}, heavy))
 
 
 def downstream(edges: DataFrame, roots: DataFrame, depth: int = 1,

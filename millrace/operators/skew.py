@@ -13,6 +13,7 @@ from millrace.functions.columns import all_of, field, same
 
 MAX_GROUP_ROWS = 5_000_000   # a larger group is split
 MAX_HEAVY = 1024             # a heavy group holds at least 1/1024 of the rows, so there are at most 1024
+MAX_TILES = 20_000           # tiles per heavy group; beyond it the tiles just grow
 _TRACKED = 50_000            # sketch entries; its error stays well under the 1/1024 share
 
 
@@ -27,15 +28,25 @@ def key_hash(df: DataFrame, keys: list[str]) -> Column:
     return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
 
 
-def heavy_keys(df: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_ROWS) -> list[int]:
-    """Hashes of the key groups with more than ``max_group_rows`` rows; at most MAX_HEAVY of them."""
+def heavy_counts(df: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_ROWS) -> dict[int, int]:
+    """Hash and row count of the key groups with more than ``max_group_rows`` rows; at most MAX_HEAVY of them."""
     found = (
         df.select(key_hash(df, keys).alias("h"))
         .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {MAX_HEAVY}, {_TRACKED})").alias("top"))
         .first()
     )
     floor = max(max_group_rows, found["n"] // MAX_HEAVY)
-    return [entry["item"] for entry in found["top"] if entry["count"] > floor]
+    return {entry["item"]: entry["count"] for entry in found["top"] if entry["count"] > floor}
+
+
+def heavy_keys(df: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_ROWS) -> list[int]:
+    """Hashes of the key groups too large for one task."""
+    return list(heavy_counts(df, keys, max_group_rows))
+
+
+def tile_counts(counts: dict[int, int], max_group_rows: int = MAX_GROUP_ROWS) -> dict[int, int]:
+    """Tasks to spread each heavy group over, so that a tile holds about ``max_group_rows`` rows."""
+    return {h: min(-(-n // max_group_rows), MAX_TILES) for h, n in counts.items()}
 
 
 def broadcasts(df: DataFrame) -> bool:
@@ -92,13 +103,30 @@ def join_per_key(left: DataFrame, right: DataFrame, keys: list[str], how: str =
     return joined(ordinary, typed.filter(~is_heavy).drop(*probe)).unionByName(joined(large, F.broadcast(few)))
 
 
-def salted_inner(left: DataFrame, right: DataFrame, on: Column, tiles: int = 16) -> DataFrame:
-    """Equi-join of heavy groups as a grid: each (left tile, right tile) pair meets in its own task.
+def _tiles(hashed: Column, tiles: dict[int, int]) -> Column:
+    if not tiles:
+        return F.lit(1)
+    lookup = F.create_map(*[F.lit(x).cast("bigint") for pair in tiles.items() for x in pair])
+    return F.coalesce(F.element_at(lookup, hashed), F.lit(1).cast("bigint"))
 
-    Tiles follow the input partition, which stays the same when a lost task is run again.
+
+def salted_inner(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], on: Column,
+                 left_tiles: dict[int, int], right_tiles: dict[int, int]) -> DataFrame:
+    """Equi-join of heavy groups as a grid: each (left tile, right tile) pair of a key meets in its own task.
+
+    A side is cut into as many tiles as its group is large, and repeated once per tile of the other side; a side
+    with few rows of a key has one tile. Tiles follow the input partition, which stays the same when a lost task
+    is run again.
     """
-    across = F.array(*[F.lit(i) for i in range(tiles)])
-    l_rows = left.withColumn("__lt", F.spark_partition_id() % tiles).withColumn("__rt", F.explode(across))
-    r_rows = right.withColumn("__rt2", F.spark_partition_id() % tiles).withColumn("__lt2", F.explode(across))
+    lh, rh = key_hash(left, left_keys), key_hash(right, right_keys)
+
+    def own(hashed: Column, tiles: dict[int, int]) -> Column:
+        return F.spark_partition_id() % _tiles(hashed, tiles)
+
+    def every(hashed: Column, tiles: dict[int, int]) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), _tiles(hashed, tiles) - 1))
+
+    l_rows = left.withColumn("__lt", own(lh, left_tiles)).withColumn("__rt", every(lh, right_tiles))
+    r_rows = right.withColumn("__rt2", own(rh, right_tiles)).withColumn("__lt2", every(rh, left_tiles))
     met = on & (F.col("__lt") == F.col("__lt2")) & (F.col("__rt") == F.col("__rt2"))
     return l_rows.join(r_rows, met, "inner").drop("__lt", "__rt", "__lt2", "__rt2")
