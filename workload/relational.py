@@ -10,7 +10,7 @@ from millrace.operators.enrichment import enrich_from_lookup
 from millrace.operators.joins import On, apply_join
 from millrace.operators.windows import apply_window
 from workload.registry import query, table
-from workload.rules import TEXT_NUMBERS, text_numbers
+from workload.rules import TEXT_NUMBERS
 
 # -- joins ------------------------------------------------------------------------------------------------------
 
