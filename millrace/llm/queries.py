@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, packing, token_files
+from millrace.llm import bpe, language, neighbours, packing, pii, quality, rollups, simhash, token_files, urls
 from millrace.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,6 +15,8 @@ ORACLES: dict[str, str] = {}
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+RULES = [urls.Rule("allow", "com"), urls.Rule("block", "example.com", "/en/"), urls.Rule("allow", "www.example.com", "/en/"),
+         urls.Rule("block", "net", "/es/"), urls.Rule("block", "net", "/fr/")]
 
 
 def query(fn):
@@ -33,6 +35,18 @@ def op1_byte_bpe(spark, sf_dir):
         .select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op2_neighbours(spark, sf_dir):
+    embeddings = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.search(embeddings, embeddings.filter("vec_id % 20 = 0"), 20)
+
+
+@query
+def op3_simhash(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(documents).select("doc_id", "fingerprint", "component_id")
+
+
 @query
 def op4_packing(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -41,8 +55,67 @@ def op4_packing(spark, sf_dir):
         .select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op5_pii(spark, sf_dir):
+    found = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def of_kinds(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    named = [F.size(of_kinds(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
+    return found.select("doc_id", *named, F.sha2(listed(of_kinds(*pii.BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op6_url_filters(spark, sf_dir):
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge(pages.select("page_id", "url"), RULES, urls.word_counts(pages, "html")) \
+        .select("page_id", "host", "path", "rule", "verdict", "block_score", "host_words")
+
+
+@query
+def op7_language(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(documents.filter(~language.held_out()))
+    return language.identify(documents.select("doc_id", "text"), model) \
+        .select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "languages")
+
+
+@query
+def op8_quality(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.train(documents, _table(spark, sf_dir, "labels"))
+    return quality.judge(documents, trees).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 @query
 def op9_token_files(spark, sf_dir):
     folder = new_folder(spark, "token-files")
     token_files.write_files(_table(spark, sf_dir, "documents"), folder, WORDS)
     return token_files.read_files(spark, folder)
+
+
+@query
+def op10_token_rollup(spark, sf_dir):
+    """Four batches over all documents: their tokens, the withdrawal of exact copies (the smallest doc_id stays), an end
+    id for each that is left, and a second tokenizer (one id per byte). The second batch is sent twice."""
+    counted = rollups.count_documents(_table(spark, sf_dir, "documents"), WORDS)
+    kept, copies = rollups.split_copies(counted)
+    words = F.lit("word_bpe_49k").alias("tokenizer")
+    group = ["source", "lang"]
+    batches = {
+        "load": counted.select(F.lit("insert").alias("op"), *group, words, "n_tokens"),
+        "copies": copies.select(F.lit("delete").alias("op"), *group, words, "n_tokens"),
+        "end-ids": kept.select(F.lit("revise").alias("op"), *group, words, (F.col("n_tokens") + 1).alias("n_tokens"),
+                               F.col("n_tokens").alias("old_tokens")),
+        "bytes": kept.select(F.lit("insert").alias("op"), *group, F.lit("bytes_256").alias("tokenizer"),
+                             F.col("n_bytes").alias("n_tokens")),
+    }
+    rollup = rollups.Rollup(spark, new_folder(spark, "rollup"))
+    for batch in ("load", "copies", "end-ids", "copies", "bytes"):
+        rollup.commit(batch, batches[batch])
+    return rollup.totals()
