@@ -116,7 +116,7 @@ def upsert(source: DataFrame, destination: DataFrame, keys: list[str], columns:
         return F.when(known, F.col("__src")[name]).otherwise(field(name)) if name in keys + synced else field(name)
 
     output = [merged(c).alias(c) for c in destination.columns]
-    heavy = skew.heavy_keys(current, joint, max_group_rows)
+    heavy = skew.heavy_groups(current, joint, max_group_rows)
     if not heavy:
         return current.join(incoming, joint, "full").select(*output)
     updated = skew.join_per_key(current, incoming, joint, "left", heavy=heavy).select(*output)

@@ -1,8 +1,8 @@
 """Joins on lists of field comparisons.
 
 Right columns whose name is taken get a ``right_`` prefix. Conditions are ANDed; with at least one equality
-the join shuffles on it and re-checks the rest, a lone inner ordering comparison goes through the bucketed
-inequality join, and what is left (cross joins and the like) needs an explicit ``allow_cross``.
+the join shuffles on it and re-checks the rest. Whatever compares all pairs needs an explicit ``allow_cross``: a
+lone inner ordering comparison then goes through the bucketed inequality join, the rest through a cross join.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from millrace.operators import skew
 from millrace.session import materialize
 
 JOIN_TYPES = {"Inner": "inner", "Left": "left", "Right": "right", "Full": "full", "Cross": "cross"}
+INEQUALITY_TASK_ROWS = 1_000_000  # left rows of a lone ordering comparison that meet in one task
 _COMPARE = {
     "Equal": lambda a, b: a == b,
     "NotEqual": lambda a, b: a != b,
@@ -62,8 +63,8 @@ def apply_join(left: DataFrame, right: DataFrame, how: str = "Inner", conditions
     equal = [c for c in conditions if c.operator == "Equal"]
     if not equal and kind == "inner" and len(conditions) == 1 and conditions[0].operator != "NotEqual":
         only = conditions[0]
-        dtype = left.schema[only.left].dataType
-        if isinstance(dtype, NUMERIC + TEMPORAL):
+        if allow_cross and skew.common_types(left, right, [only.left], [names[only.right]]) is not None \
+                and isinstance(left.schema[only.left].dataType, NUMERIC + TEMPORAL):
             return inequality_join(left, right, only.left, names[only.right], only.operator)
     if equal:
         return _equality_join(left, right, names, conditions, equal, kind, max_group_rows)
@@ -74,35 +75,35 @@ def apply_join(left: DataFrame, right: DataFrame, how: str = "Inner", conditions
 
 def _equality_join(left: DataFrame, right: DataFrame, names: dict[str, str], conditions: list[On], equal: list[On],
                    kind: str, max_group_rows: int) -> DataFrame:
-    """Shuffle join on the equalities, the other comparisons re-checked; heavy keys go through the grid."""
+    """Shuffle join on the equalities, the other comparisons re-checked; heavy keys go through the grid.
+
+    Keys of unequal numeric or temporal types are hashed under their common type; other unequal types (text against
+    a number) have no common hash and are left to Spark.
+    """
     l_keys, r_keys = [c.left for c in equal], [names[c.right] for c in equal]
-    matching = all(left.schema[a].dataType == right.schema[b].dataType for a, b in zip(l_keys, r_keys))
-    l_counts: dict[int, int] = {}
-    r_counts: dict[int, int] = {}
+    types = skew.common_types(left, right, l_keys, r_keys)
     small = (kind in ("inner", "left") and skew.broadcasts(right)) or (kind in ("inner", "right") and skew.broadcasts(left))
-    if matching and not small:
-        l_counts = skew.heavy_counts(left, l_keys, max_group_rows)
-        r_counts = skew.heavy_counts(right, r_keys, max_group_rows)
-    heavy = sorted({*l_counts, *r_counts})
-    if not heavy:
+    l_heavy = r_heavy = skew.NONE
+    if types is not None and not small:
+        l_heavy = skew.heavy_groups(left, l_keys, max_group_rows, types)
+        r_heavy = skew.heavy_groups(right, r_keys, max_group_rows, types)
+    if not l_heavy and not r_heavy:
         return left.join(right, _test(left, right, names, conditions), kind)
-    l_rest, l_big = skew.split_heavy(left, l_keys, heavy)
-    r_rest, r_big = skew.split_heavy(right, r_keys, heavy)
+    spread = skew.tiles(l_heavy, r_heavy, max_group_rows)
+    l_rest, l_big = skew.split_heavy(left, l_keys, spread, types)
+    r_rest, r_big = skew.split_heavy(right, r_keys, spread, types)
+    # tiles follow a row's own number; it also tells which outer rows no tile has matched
+    l_big, r_big = skew.numbered(l_big, "__lid"), skew.numbered(r_big, "__rid")
     residual = len(equal) < len(conditions)
-    if residual and kind != "inner":
-        # an outer row is unmatched only when no tile kept it, so the rows need a fixed identity
-        l_big = materialize(l_big.withColumn("__lid", F.monotonically_increasing_id()))
-        r_big = materialize(r_big.withColumn("__rid", F.monotonically_increasing_id()))
     met = all_of([_COMPARE[c.operator](F.col(f"`{c.left}`"), F.col(f"`{names[c.right]}`")) for c in conditions])
-    matched = skew.salted_inner(l_big, r_big, l_keys, r_keys, met, skew.tile_counts(l_counts, max_group_rows),
-                                skew.tile_counts(r_counts, max_group_rows))
+    matched = skew.salted_inner(l_big, r_big, l_keys, r_keys, met, spread, types)
     parts = [l_rest.join(r_rest, _test(l_rest, r_rest, names, conditions), kind), matched]
     if kind in ("left", "full"):
         parts.append(l_big.join(matched.select("__lid").distinct(), "__lid", "left_anti") if residual
-                     else _unmatched(l_big, r_big, l_keys, r_keys, heavy))
+                     else _unmatched(l_big, r_big, l_keys, r_keys, spread))
     if kind in ("right", "full"):
         parts.append(r_big.join(matched.select("__rid").distinct(), "__rid", "left_anti") if residual
-                     else _unmatched(r_big, l_big, r_keys, l_keys, heavy))
+                     else _unmatched(r_big, l_big, r_keys, l_keys, spread))
     columns = left.columns + right.columns
     whole = parts[0].select(*[F.col(f"`{c}`") for c in columns])
     for part in parts[1:]:
@@ -111,72 +112,99 @@ def _equality_join(left: DataFrame, right: DataFrame, names: dict[str, str], con
 
 
 def _unmatched(rows: DataFrame, others: DataFrame, keys: list[str], other_keys: list[str],
-               heavy: list[int]) -> DataFrame:
+               heavy: skew.Heavy) -> DataFrame:
     present = others.select(*[F.col(f"`{k}`") for k in other_keys]).distinct()
     return skew.join_per_key(rows, present, keys, "left_anti", other_keys, null_safe=False, heavy=heavy)
 
 
 def _position(dtype: T.DataType, column: Column) -> Column:
+    """A value of a common type as a double that keeps its order (not always its difference)."""
     if isinstance(dtype, T.DateType):
         return F.unix_date(column).cast("double")
+    if isinstance(dtype, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), column).cast("double")
     if isinstance(dtype, T.TimestampType):
         return F.unix_micros(column).cast("double")
     return column.cast("double")
 
 
 def inequality_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, operator: str,
-                    buckets: int = 64) -> DataFrame:
-    """Inner join on a single ordering comparison.
-
-    Both sides are cut at the same value bounds. A right row meets the left rows of its own bucket (with the
-    comparison re-checked) and every left row of the buckets wholly on the right side of it; those are spread
-    over tasks by bucket, so no task holds all of either side.
+                    task_rows: int = INEQUALITY_TASK_ROWS) -> DataFrame:
+    """Inner join on a single ordering comparison of two numeric or two temporal columns.
+
+    Its result grows with the product of both sides, which is why ``apply_join`` asks for ``allow_cross``. Both sides
+    are compared under their common type and cut at the same value bounds. A right row meets the left rows of its own
+    bucket (with the comparison re-checked) and every left row of the buckets wholly on the right side of it. The
+    number of buckets, and the tiles a bucket of more than ``task_rows`` left rows (equal values, say) is dealt into,
+    follow from the rows counted; a right row is repeated once per tile.
     """
-    l_type, r_type = left.schema[left_key].dataType, right.schema[right_key].dataType
-    l_pos, r_pos = _position(l_type, left[f"`{left_key}`"]), _position(r_type, right[f"`{right_key}`"])
-    probabilities = [i / buckets for i in range(1, buckets)]
-    bounds = left.agg(F.percentile_approx(l_pos, F.array(*[F.lit(p) for p in probabilities]), 1000)).first()[0]
+    types = skew.common_types(left, right, [left_key], [right_key])
+    if types is None:
+        raise ValueError("an ordering comparison needs two numeric or two temporal columns")
+    dtype = types[0]
+
+    def position(df: DataFrame, key: str) -> Column:
+        return _position(dtype, df[f"`{key}`"].cast(dtype))
+
+    l_pos, r_pos = position(left, left_key), position(right, right_key)
+    l_rows = left.filter(left[f"`{left_key}`"].isNotNull()).withColumn("__p", l_pos)
+    buckets = max(1, -(-l_rows.count() // task_rows))
+    bounds = l_rows.agg(F.percentile_approx("__p", F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10 * buckets)
+                        ).first()[0] if buckets > 1 else []
     cuts = sorted(set(bounds or []))
     lower = operator in ("GreaterThan", "GreaterThanOrEqual")
 
-    def bucket(position: Column) -> Column:
-        # number of cuts at or below the value
-        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= position)) \
-            if cuts else F.lit(0)
+    def bucket(place: Column) -> Column:
+        """Number of cuts at or below the value."""
+        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= place)) if cuts else F.lit(0)
 
-    # left rows also carry a tile, so the rows of one bucket (equal values included) spread over tasks
-    l_rows = left.filter(left[f"`{left_key}`"].isNotNull()).withColumn("__b", bucket(l_pos)) \
-        .withColumn("__t", F.spark_partition_id() % 8)
+    # a row's own number spreads the rows of one bucket, equal values included, over tiles
+    l_rows = skew.numbered(l_rows.withColumn("__b", bucket(F.col("__p"))), "__lid")
+    sizes = materialize(l_rows.groupBy("__b").agg(F.ceil(F.count(F.lit(1)) / task_rows).cast("int").alias("__tiles")))
+    l_rows = l_rows.join(F.broadcast(sizes), "__b").withColumn("__t", F.pmod(F.xxhash64("__lid"), F.col("__tiles")).cast("int"))
     r_bucket = bucket(r_pos)
     reach = F.sequence(r_bucket, F.lit(len(cuts))) if lower else F.sequence(F.lit(0), r_bucket)
-    r_rows = right.filter(right[f"`{right_key}`"].isNotNull()) \
-        .withColumn("__rb", F.explode(reach)) \
-        .withColumn("__rt", F.explode(F.array(*[F.lit(i) for i in range(8)])))
-    check = _COMPARE[operator](l_rows[f"`{left_key}`"], r_rows[f"`{right_key}`"])
+    r_rows = right.filter(right[f"`{right_key}`"].isNotNull()).withColumn("__rb", F.explode(reach)) \
+        .join(F.broadcast(sizes.withColumnsRenamed({"__b": "__rb", "__tiles": "__rtiles"})), "__rb") \
+        .withColumn("__rt", F.explode(F.sequence(F.lit(0), F.col("__rtiles") - 1)))
+    check = _COMPARE[operator](F.col(f"`{left_key}`"), F.col(f"`{right_key}`"))
     met = (l_rows["__b"] == r_rows["__rb"]) & (l_rows["__t"] == r_rows["__rt"]) & check
-    return l_rows.join(r_rows, met, "inner").drop("__b", "__t", "__rb", "__rt")
+    return l_rows.join(r_rows, met, "inner").drop("__b", "__t", "__p", "__lid", "__tiles", "__rb", "__rt", "__rtiles")
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Points joined to the ranges that hold them (``low <= point <= high``), numbers or timestamps.
+def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float,
+               keys: list[tuple[str, str]] = (), max_group_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
+    """Points joined to the ranges that hold them (``low <= point <= high``), numbers or times, and whose ``keys``
+    (pairs of a points' and a ranges' column) are equal.
 
-    Points and ranges meet on ``floor(value / width)``: each range is listed under every bucket it touches and
-    the bounds are re-checked. ``width`` is in the column's unit (seconds for timestamps, days for dates); near
-    the usual range length is best, since a range then touches about two buckets.
+    Points and ranges meet on ``floor(value / step)``, where a range's step is the smallest of width, 16 widths, 256
+    widths and so on that is not shorter than the range, so that it touches at most two buckets of its level; a point
+    looks once at each level in use. The bounds are re-checked. ``width`` is in the column's unit (seconds for times,
+    days for dates); near the usual range length is best. Busy buckets are split like any heavy join key.
     """
     ranges, names = _disjoint(points, ranges)
     low, high = names[low], names[high]
-    dtype = points.schema[point].dataType
-    scale = 1e6 if isinstance(dtype, T.TimestampType) else 1.0
-
-    def bucket(column: Column) -> Column:
-        return F.floor(_position(dtype, column) / F.lit(width * scale))
-
-    p = points.withColumn("__b", bucket(points[f"`{point}`"]))
-    r = ranges.filter(F.col(f"`{low}`") <= F.col(f"`{high}`")) \
-        .withColumn("__rb", F.explode(F.sequence(bucket(F.col(f"`{low}`")), bucket(F.col(f"`{high}`")))))
-    inside = (p["__b"] == r["__rb"]) & (p[f"`{point}`"] >= r[f"`{low}`"]) & (p[f"`{point}`"] <= r[f"`{high}`"])
-    return p.join(r, inside, "inner").drop("__b", "__rb")
+    types = skew.common_types(points, ranges, [point, point], [low, high])
+    if types is None:
+        raise ValueError("points and bounds need to be all numeric or all temporal")
+    dtype = next((t for t in types if isinstance(t, (T.TimestampType, T.TimestampNTZType))), types[0])
+    scale = width * (1.0 if isinstance(dtype, NUMERIC + (T.DateType,)) else 1e6)
+
+    def place(column: str) -> Column:
+        return _position(dtype, F.col(f"`{column}`").cast(dtype)) / F.lit(scale)
+
+    r = ranges.filter(F.col(f"`{low}`") <= F.col(f"`{high}`")).withColumns({"__from": place(low), "__to": place(high)})
+    length = F.greatest(F.col("__to") - F.col("__from"), F.lit(1.0))
+    r = r.withColumn("__level", F.ceil(F.log2(length) / 4).cast("int"))
+    levels = sorted(x["__level"] for x in r.select("__level").distinct().collect())  # one per factor of 16 in length
+    step = F.pow(F.lit(16.0), F.col("__level"))
+    r = r.withColumn("__rb", F.explode(F.array_distinct(F.array(F.floor(F.col("__from") / step), F.floor(F.col("__to") / step)))))
+    p = points.filter(F.col(f"`{point}`").isNotNull()).withColumn("__plevel", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))) \
+        .withColumn("__b", F.floor(place(point) / F.pow(F.lit(16.0), F.col("__plevel"))))
+    on = [On("__plevel", "__level"), On("__b", "__rb"), On(point, low, "GreaterThanOrEqual"), On(point, high, "LessThanOrEqual"),
+          *[On(a, names[b]) for a, b in keys]]
+    extra = ["__b", "__plevel", "__level", "__rb", "__from", "__to"]
+    return apply_join(p, r, "Inner", on, max_group_rows=max_group_rows).drop(*extra)
 
 
 def missing_rows(source: DataFrame, destination: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ Edges have ``pipeline, execution, source_table, target_table`` and ``columns``,
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -41,8 +42,9 @@ def select_edges(edges: DataFrame, pipeline=None, execution=None, source_table=N
     return edges.filter(all_of([field(n) == F.lit(v) for n, v in wanted.items() if v is not None]))
 
 
-def _walk(steps: DataFrame, roots: DataFrame, node: list[str], depth: int, max_group_rows: int) -> DataFrame:
-    """Nodes within ``depth`` steps of each root: (root…, node…, depth), each once at its smallest depth.
+def _walk(steps: DataFrame, roots: DataFrame, node: list[str], depth: int | None, max_group_rows: int) -> DataFrame:
+    """Nodes within ``depth`` steps of each root (None: all reachable): (root…, node…, depth), each once at its
+    smallest depth.
 
     ``steps`` has ``from_<n>`` and ``to_<n>`` for each node column, ``roots`` has the node columns. Each level
     joins the frontier to the steps and drops what was visited, so cycles end. A level is written to the shared
@@ -51,36 +53,41 @@ def _walk(steps: DataFrame, roots: DataFrame, node: list[str], depth: int, max_g
     root = [f"root_{n}" for n in node]
     leaving = [f"from_{n}" for n in node]
     steps = steps.distinct()
-    if depth > 1:
+    if depth != 1:
         steps = materialize(steps)
-    heavy = skew.tile_counts(skew.heavy_counts(steps, leaving, max_group_rows), max_group_rows)
+    heavy = skew.heavy_groups(steps, leaving, max_group_rows)
+    if heavy:
+        few_steps, big_steps = skew.split_heavy(steps, leaving, heavy)
+        parts = few_steps, skew.numbered(big_steps, "__rid"), heavy, skew.tiles(skew.NONE, heavy, max_group_rows)
     frontier = roots.distinct().select(*[field(n).alias(r) for n, r in zip(node, root)], *[field(n) for n in node])
     seen, levels = frontier, []
-    for level in range(1, depth + 1):
-        reached = _hop(frontier, steps, node, leaving, heavy) \
+    for level in count(1):
+        reached = (_hop(frontier, *parts, node, leaving) if heavy else frontier.join(steps, _met(node, leaving))) \
             .select(*root, *[F.col(f"to_{n}").alias(n) for n in node]).distinct()
         fresh = reached.join(seen, root + node, "left_anti")
-        if level < depth:
+        if level != depth:
             fresh = materialize(fresh)
             if fresh.isEmpty():
                 break
         levels.append(fresh.withColumn("depth", F.lit(level)))
+        if level == depth:
+            break
         seen, frontier = seen.unionByName(fresh), fresh
     if not levels:
         return frontier.withColumn("depth", F.lit(0)).filter(F.lit(False))
     return reduce(DataFrame.unionByName, levels)
 
 
-def _hop(frontier: DataFrame, steps: DataFrame, node: list[str], leaving: list[str],
-         heavy: dict[int, int]) -> DataFrame:
+def _met(node: list[str], leaving: list[str]) -> Column:
+    return all_of([F.col(a) == F.col(n) for a, n in zip(leaving, node)])
+
+
+def _hop(frontier: DataFrame, few_steps: DataFrame, big_steps: DataFrame, heavy: skew.Heavy, tiles: skew.Heavy,
+         node: list[str], leaving: list[str]) -> DataFrame:
     """One step from every frontier node; the steps of heavy nodes are spread over a grid of tasks."""
-    met = all_of([F.col(a) == F.col(n) for a, n in zip(leaving, node)])
-    if not heavy:
-        return frontier.join(steps, met)
-    few_steps, big_steps = skew.split_heavy(steps, leaving, list(heavy))
-    few_front, big_front = skew.split_heavy(frontier, node, list(heavy))
-    return few_front.join(few_steps, met).unionByName(
-        skew.salted_inner(big_front, big_steps, node, leaving, met, {}, heavy))
+    few_front, big_front = skew.split_heavy(frontier, node, heavy)
+    met = skew.salted_inner(skew.numbered(big_front, "__lid"), big_steps, node, leaving, _met(node, leaving), tiles)
+    return few_front.join(few_steps, _met(node, leaving)).unionByName(met.drop("__lid", "__rid"))
 
 
 def downstream(edges: DataFrame, roots: DataFrame, depth: int = 1,
@@ -97,21 +104,23 @@ def upstream(edges: DataFrame, roots: DataFrame, depth: int = 1,
     return _walk(steps, roots, ["table"], depth, max_group_rows)
 
 
-def graph(edges: DataFrame, roots: DataFrame, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+def graph(edges: DataFrame, roots: DataFrame, upstream_depth: int = 1, downstream_depth: int = 1,
+          max_group_rows: int = skew.MAX_GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) around the roots: root_table, table, direction, depth; and the edges among those tables."""
-    up = upstream(edges, roots, depth).withColumn("direction", F.lit("upstream"))
-    down = downstream(edges, roots, depth).withColumn("direction", F.lit("downstream"))
+    up = upstream(edges, roots, upstream_depth, max_group_rows).withColumn("direction", F.lit("upstream"))
+    down = downstream(edges, roots, downstream_depth, max_group_rows).withColumn("direction", F.lit("downstream"))
     centre = roots.distinct().select(F.col("table").alias("root_table"), "table", F.lit(0).alias("depth"),
                                      F.lit("root").alias("direction"))
     nodes = centre.unionByName(up).unionByName(down)
     known = nodes.select("table").distinct()
-    inside = skew.join_per_key(edges, known, ["source_table"], "left_semi", ["table"])
-    return nodes, skew.join_per_key(inside, known, ["target_table"], "left_semi", ["table"])
+    inside = skew.join_per_key(edges, known, ["source_table"], "left_semi", ["table"], max_group_rows)
+    return nodes, skew.join_per_key(inside, known, ["target_table"], "left_semi", ["table"], max_group_rows)
 
 
-def impact(edges: DataFrame, roots: DataFrame, depth: int = 10,
+def impact(edges: DataFrame, roots: DataFrame, depth: int | None = None,
            max_group_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
-    """Columns downstream of each root (table, column): root_table, root_column, table, column, depth."""
+    """All columns downstream of each root (table, column), or those within ``depth`` steps: root_table, root_column,
+    table, column, depth."""
     mapped = edges.select("source_table", "target_table", F.explode("columns").alias("m"))
     steps = mapped.select(F.col("source_table").alias("from_table"), F.explode("m.depends_on").alias("from_column"),
                           F.col("target_table").alias("to_table"), F.col("m.target_column").alias("to_column"))

@@ -117,12 +117,12 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float]
 
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
                                F.when(inside(i, j), _number(df, columns[i])).alias("x")) for i, j, _ in targets])
-    counted = df.select(F.inline(cells)).filter(F.col("x").isNotNull()).groupBy("i", "j", "x") \
+    counted = df.select(F.inline(F.filter(cells, lambda c: c["x"].isNotNull()))).groupBy("i", "j", "x") \
         .agg(F.count(F.lit(1)).alias("n"))
     # the bracket sizes are known, so large ones are looked for only when there are any
     largest = max(size for _, _, size in totals.values())
     running = apply_window(counted, "Sum", ["i", "j"], ["x"], "upto", "n", max_group_rows=max_group_rows,
-                           heavy=None if largest > max_group_rows else [])
+                           heavy=None if largest > max_group_rows else skew.NONE)
     ranks = []
     for i, j, p in targets:
         n, below, _ = totals[i, j]

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field as dc_field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions.columns import TEMPORAL, as_text, field, numeric_value
 from millrace.operators import skew
+from millrace.session import materialize
 
 SEVERITIES = ("Info", "Warning", "Error", "Critical")
 
@@ -103,17 +104,36 @@ def _mark(name: str) -> str:
     return f"__dup_{name}"
 
 
+def _digest(df: DataFrame, name: str) -> list[Column]:
+    """A 128-bit hash of a value in two numbers, equal wherever grouping treats values as equal."""
+    value, dtype = field(name), df.schema[name].dataType
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        value = value + F.lit(0.0)
+    elif "map<" in dtype.simpleString():
+        value = F.to_json(value)
+    return [F.xxhash64(F.lit(seed), value.isNull(), value) for seed in (0, 1)]
+
+
 def with_unique_marks(df: DataFrame, columns: list[str], max_group_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
     """Add a non-null marker to rows whose value occurs more than once (nulls count as a value).
 
-    Values are counted first (partial counts before the shuffle); only the repeated ones are joined back, and
-    a value that fills many rows is matched by broadcast, so it never lands in one task.
+    One pass counts the values of all columns together, by their 128-bit hashes and with partial counts before the
+    shuffle; the repeated ones are written and joined back. The counts also tell which values fill many rows.
     """
-    for name in columns:
-        repeated = df.groupBy(field(name)).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1") \
-            .select(field(name), F.lit(True).alias(_mark(name)))
-        df = skew.join_per_key(df, repeated, [name], "left", max_group_rows=max_group_rows)
-    return df
+    if not columns:
+        return df
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), *[c.alias(n) for c, n in zip(_digest(df, name), "ab")])
+                      for i, name in enumerate(columns)])
+    repeated = materialize(df.select(F.inline(cells)).groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    large = {r["i"]: r["count"] for r in repeated.filter(F.col("n") > max_group_rows).groupBy("i").count().collect()}
+    marked = df.select("*", *[c.alias(f"__dup_{n}_{i}") for i, name in enumerate(columns)
+                              for c, n in zip(_digest(df, name), "ab")])
+    for i, name in enumerate(columns):
+        own, keys = repeated.filter(F.col("i") == i), [f"__dup_a_{i}", f"__dup_b_{i}"]
+        heavy = skew.Heavy(own.filter(F.col("n") > max_group_rows).select(F.xxhash64("a", "b").alias("h"), "n"), large.get(i, 0))
+        marked = skew.join_per_key(marked, own.select("a", "b", F.lit(True).alias(_mark(name))), keys, "left", ["a", "b"],
+                                   null_safe=False, heavy=heavy).drop(*keys)
+    return marked
 
 
 def prepare(df: DataFrame, rules: list[QualityRule], max_group_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
@@ -167,22 +187,15 @@ def failed_severity(results: Column) -> Column:
     return F.get(F.array(*[F.lit(s) for s in SEVERITIES]), (F.array_max(ranked) - 1).cast("int"))
 
 
-def quarantine(df: DataFrame, rules: list[QualityRule], at_least: str = "Error") -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, quarantined rows with their worst severity): a row is quarantined from ``at_least`` on."""
+def quarantine(df: DataFrame, rules: list[QualityRule], at_least: str = "Error") -> DataFrame:
+    """Rows with their worst failed ``severity``, the ``failures`` and ``quarantined``: true from ``at_least`` on."""
     columns = df.columns
     checked = validate(df, rules, "__results").withColumn("severity", failed_severity(F.col("__results")))
-    blocking = list(SEVERITIES[SEVERITIES.index(at_least):])
-    held = F.coalesce(F.col("severity").isin(blocking), F.lit(False))
-    return (checked.filter(~held).select(*[field(c) for c in columns]),
-            checked.filter(held).select(*[field(c) for c in columns], "severity",
-                                        F.filter("__results", lambda r: ~r["valid"]).alias("failures")))
+    held = F.coalesce(F.col("severity").isin(list(SEVERITIES[SEVERITIES.index(at_least):])), F.lit(False))
+    return checked.select(*[field(c) for c in columns], "severity",
+                          F.filter("__results", lambda r: ~r["valid"]).alias("failures"), held.alias("quarantined"))
 
 
 def write_quarantine(df: DataFrame, rules: list[QualityRule], path: str, at_least: str = "Error") -> None:
     """Write both parts in one pass: ``<path>/quarantined=false`` and ``<path>/quarantined=true``."""
-    columns = df.columns
-    checked = validate(df, rules, "__results").withColumn("severity", failed_severity(F.col("__results")))
-    held = F.coalesce(F.col("severity").isin(list(SEVERITIES[SEVERITIES.index(at_least):])), F.lit(False))
-    checked.select(*[field(c) for c in columns], "severity",
-                   F.filter("__results", lambda r: ~r["valid"]).alias("failures"), held.alias("quarantined")) \
-        .write.partitionBy("quarantined").parquet(path)
+    quarantine(df, rules, at_least).write.partitionBy("quarantined").parquet(path)

@@ -1,52 +1,77 @@
 """Finding and splitting key groups that are too large for one task.
 
-``heavy_keys`` runs one column-pruned pass with a bounded sketch and returns the hashes of the few groups
-that need splitting (usually none, then the plain plan is used). Their number is bounded by construction:
-a group counts as heavy only above a fixed share of the rows.
+``heavy_groups`` counts the rows of each group by the key's hash, which combines before the shuffle, and keeps the
+groups above ``max_group_rows`` as a table (usually there are none, then the plain plan is used). That table has at most
+rows / max_group_rows rows; its size is known before a broadcast is chosen.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.columns import all_of, field, same
+from millrace.functions.columns import NUMERIC, TEMPORAL, all_of, field, same
+from millrace.session import materialize
+
+MAX_GROUP_ROWS = 5_000_000     # a larger group is split
+MAX_BROADCAST_GROUPS = 500_000  # of 16 bytes each; longer tables are joined as Spark decides
+
+
+@dataclass(frozen=True)
+class Heavy:
+    """The groups that are too large: a written table of their hash ``h`` and rows ``n``. False if there are none."""
+
+    table: DataFrame | None = None
+    groups: int = 0
+
+    def __bool__(self) -> bool:
+        return self.groups > 0
+
+    def small(self, table: DataFrame) -> DataFrame:
+        """A table with one row per heavy group, broadcast if that is known to be small."""
+        return F.broadcast(table) if self.groups <= MAX_BROADCAST_GROUPS else table
 
-MAX_GROUP_ROWS = 5_000_000   # a larger group is split
-MAX_HEAVY = 1024             # a heavy group holds at least 1/1024 of the rows, so there are at most 1024
-MAX_TILES = 20_000           # tiles per heavy group; beyond it the tiles just grow
-_TRACKED = 50_000            # sketch entries; its error stays well under the 1/1024 share
 
+NONE = Heavy()
 
-def key_hash(df: DataFrame, keys: list[str]) -> Column:
-    """Hash of the key columns, equal wherever grouping treats the keys as equal."""
+
+def key_hash(df: DataFrame, keys: list[str], types: list[T.DataType] | None = None) -> Column:
+    """Hash of the key columns, equal wherever grouping treats the keys as equal; ``types`` casts them first."""
     parts = []
-    for name in keys:
-        column = field(name)
-        if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
+    for i, name in enumerate(keys):
+        column, dtype = field(name), df.schema[name].dataType
+        if types and types[i] != dtype:
+            column, dtype = column.cast(types[i]), types[i]
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
             column = column + F.lit(0.0)  # -0.0 and 0.0 group together
         parts.append(column)
     return F.xxhash64(*parts) if parts else F.lit(0).cast("bigint")
 
 
-def heavy_counts(df: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_ROWS) -> dict[int, int]:
-    """Hash and row count of the key groups with more than ``max_group_rows`` rows; at most MAX_HEAVY of them."""
-    found = (
-        df.select(key_hash(df, keys).alias("h"))
-        .agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {MAX_HEAVY}, {_TRACKED})").alias("top"))
-        .first()
-    )
-    floor = max(max_group_rows, found["n"] // MAX_HEAVY)
-    return {entry["item"]: entry["count"] for entry in found["top"] if entry["count"] > floor}
-
-
-def heavy_keys(df: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_ROWS) -> list[int]:
-    """Hashes of the key groups too large for one task."""
-    return list(heavy_counts(df, keys, max_group_rows))
+def common_types(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str]) -> list[T.DataType] | None:
+    """Types under which each pair of keys is compared, or None where hashes cannot stand for the comparison."""
+    out = []
+    for a, b in zip(left_keys, right_keys):
+        types = left.schema[a].dataType, right.schema[b].dataType
+        if types[0] == types[1]:
+            out.append(types[0])
+        elif all(isinstance(t, NUMERIC) for t in types) or all(isinstance(t, TEMPORAL) for t in types):
+            out.append(left.select(field(a).alias("x")).union(right.select(field(b).alias("x"))).schema[0].dataType)
+        else:
+            return None
+    return out
 
 
-def tile_counts(counts: dict[int, int], max_group_rows: int = MAX_GROUP_ROWS) -> dict[int, int]:
-    """Tasks to spread each heavy group over, so that a tile holds about ``max_group_rows`` rows."""
-    return {h: min(-(-n // max_group_rows), MAX_TILES) for h, n in counts.items()}
+def heavy_groups(df: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_ROWS,
+                 types: list[T.DataType] | None = None) -> Heavy:
+    """The key groups with more than ``max_group_rows`` rows."""
+    found = df.select(key_hash(df, keys, types).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")) \
+        .filter(F.col("n") > max_group_rows)
+    if found.isEmpty():
+        return NONE
+    found = materialize(found)
+    return Heavy(found, found.count())
 
 
 def broadcasts(df: DataFrame) -> bool:
@@ -63,20 +88,22 @@ def broadcasts(df: DataFrame) -> bool:
     return size <= limit
 
 
-def split_heavy(df: DataFrame, keys: list[str], heavy: list[int]) -> tuple[DataFrame, DataFrame]:
+def split_heavy(df: DataFrame, keys: list[str], heavy: Heavy,
+                types: list[T.DataType] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary groups, rows of heavy groups)."""
-    is_heavy = key_hash(df, keys).isin(heavy)
-    return df.filter(~is_heavy), df.filter(is_heavy)
+    hashed, groups = df.withColumn("__heavy_h", key_hash(df, keys, types)), heavy.small(heavy.table.select(F.col("h").alias("__heavy_h")))
+    return (hashed.join(groups, "__heavy_h", "left_anti").drop("__heavy_h"),
+            hashed.join(groups, "__heavy_h", "left_semi").drop("__heavy_h"))
 
 
 def join_per_key(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner",
                  right_keys: list[str] | None = None, max_group_rows: int = MAX_GROUP_ROWS,
-                 null_safe: bool = True, heavy: list[int] | None = None) -> DataFrame:
+                 null_safe: bool = True, heavy: Heavy | None = None) -> DataFrame:
     """Join rows to a table with at most one row per key (an aggregate or a deduplicated lookup).
 
-    Rows of heavy keys meet their (at most MAX_HEAVY) partner rows by broadcast, so they are never moved into
-    one task; all other rows take the ordinary shuffle join. ``how`` is inner, left, left_semi or left_anti.
-    The right key columns are dropped.
+    Rows of heavy keys meet their partner rows (one per heavy key) without a shuffle, so they are never moved into
+    one task; all other rows take the ordinary shuffle join. ``how`` is inner, left, left_semi or left_anti. The
+    right key columns are dropped.
     """
     right_keys = right_keys or keys
     renamed = [f"__key_{i}" for i in range(len(keys))]
@@ -88,45 +115,50 @@ def join_per_key(left: DataFrame, right: DataFrame, keys: list[str], how: str =
                  for k, r in zip(keys, renamed)]
         return rows.join(partners, all_of(pairs), how).drop(*renamed)
 
+    types = common_types(left, right, keys, renamed)
     if heavy is None:
-        heavy = [] if broadcasts(right) else heavy_keys(left, keys, max_group_rows)
+        heavy = NONE if types is None or broadcasts(right) else heavy_groups(left, keys, max_group_rows, types)
     if not heavy:
         return joined(left, right)
-    # the hash compares equal only for equal types, so hash the right keys under the left types
-    typed = right.select("*", *[
-        right[r].cast(left.schema[k].dataType).alias(f"__typed_{k}") for k, r in zip(keys, renamed)
-    ])
-    probe = [f"__typed_{k}" for k in keys]
-    ordinary, large = split_heavy(left, keys, heavy)
-    is_heavy = key_hash(typed, probe).isin(heavy)
-    few = typed.filter(is_heavy).drop(*probe)
-    return joined(ordinary, typed.filter(~is_heavy).drop(*probe)).unionByName(joined(large, F.broadcast(few)))
+    right = materialize(right)  # two branches read it
+    ordinary, large = split_heavy(left, keys, heavy, types)
+    rest, few = split_heavy(right, renamed, heavy, types)
+    return joined(ordinary, rest).unionByName(joined(large, heavy.small(few)))
 
 
-def _tiles(hashed: Column, tiles: dict[int, int]) -> Column:
-    if not tiles:
-        return F.lit(1)
-    lookup = F.create_map(*[F.lit(x).cast("bigint") for pair in tiles.items() for x in pair])
-    return F.coalesce(F.element_at(lookup, hashed), F.lit(1).cast("bigint"))
+def tiles(left: Heavy, right: Heavy, max_group_rows: int = MAX_GROUP_ROWS) -> Heavy:
+    """Tasks to spread each heavy group of either side over: h, ``left`` and ``right`` tiles of about
+    ``max_group_rows`` rows, 1 on a side where the group is not large."""
+    sides = [side.table.select("h", *[F.ceil(F.col("n") / max_group_rows).cast("bigint").alias(n) if n == name
+                                      else F.lit(1).cast("bigint").alias(n) for n in ("left", "right")])
+             for side, name in ((left, "left"), (right, "right")) if side]
+    table = materialize((sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1]))
+                        .groupBy("h").agg(F.max("left").alias("left"), F.max("right").alias("right")))
+    return Heavy(table, table.count())
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Rows written once with a number of their own, which a lost task finds again."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 def salted_inner(left: DataFrame, right: DataFrame, left_keys: list[str], right_keys: list[str], on: Column,
-                 left_tiles: dict[int, int], right_tiles: dict[int, int]) -> DataFrame:
+                 spread: Heavy, types: list[T.DataType] | None = None) -> DataFrame:
     """Equi-join of heavy groups as a grid: each (left tile, right tile) pair of a key meets in its own task.
 
-    A side is cut into as many tiles as its group is large, and repeated once per tile of the other side; a side
-    with few rows of a key has one tile. Tiles follow the input partition, which stays the same when a lost task
-    is run again.
+    A side is cut into as many tiles as its group is large (``tiles``), and repeated once per tile of the other side.
+    Rows must be ``numbered`` as ``__lid`` and ``__rid``: the number's hash gives the tile, so equal rows spread too
+    and earlier shuffles on the key do not matter.
     """
-    lh, rh = key_hash(left, left_keys), key_hash(right, right_keys)
-
-    def own(hashed: Column, tiles: dict[int, int]) -> Column:
-        return F.spark_partition_id() % _tiles(hashed, tiles)
+    table = spread.small(spread.table.select(F.col("h").alias("__h"), F.col("left").alias("__lefts"), F.col("right").alias("__rights")))
 
-    def every(hashed: Column, tiles: dict[int, int]) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), _tiles(hashed, tiles) - 1))
+    def dealt(rows: DataFrame, keys: list[str], number: str, own: str, other: str, mine: str, every: str) -> DataFrame:
+        known = rows.withColumn("__h", key_hash(rows, keys, types)).join(table, "__h")
+        return known.withColumn(mine, F.pmod(F.xxhash64(number), F.col(own))) \
+            .withColumn(every, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))) \
+            .drop("__h", "__lefts", "__rights")
 
-    l_rows = left.withColumn("__lt", own(lh, left_tiles)).withColumn("__rt", every(lh, right_tiles))
-    r_rows = right.withColumn("__rt2", own(rh, right_tiles)).withColumn("__lt2", every(rh, left_tiles))
+    l_rows = dealt(left, left_keys, "__lid", "__lefts", "__rights", "__lt", "__rt")
+    r_rows = dealt(right, right_keys, "__rid", "__rights", "__lefts", "__rt2", "__lt2")
     met = on & (F.col("__lt") == F.col("__lt2")) & (F.col("__rt") == F.col("__rt2"))
     return l_rows.join(r_rows, met, "inner").drop("__lt", "__rt", "__lt2", "__rt2")

@@ -10,7 +10,9 @@ own rows, and a small per-chunk summary carries the totals forward. Results are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from millrace.functions.columns import field
 from millrace.operators import skew
@@ -20,7 +22,6 @@ RANKING = ("RowNumber", "Rank", "DenseRank")
 SHIFTING = ("Lead", "Lag")
 EDGES = ("FirstValue", "LastValue")
 AGGREGATES = {"Sum": F.sum, "Average": F.avg, "Min": F.min, "Max": F.max, "Count": F.count}
-MAX_CHUNKS = 8192
 
 
 def _ordered(order_by: list[str]) -> list[Column]:
@@ -47,13 +48,17 @@ def _plain(function: str, partition_by: list[str], order_by: list[str], source:
 
 def apply_window(df: DataFrame, function: str, partition_by: list[str], order_by: list[str], target: str,
                  source: str | None = None, expression: str | None = None,
-                 max_group_rows: int = skew.MAX_GROUP_ROWS, heavy: list[int] | None = None) -> DataFrame:
+                 max_group_rows: int = skew.MAX_GROUP_ROWS, heavy: skew.Heavy | None = None) -> DataFrame:
     """Add ``target`` computed by a window function.
 
-    ``heavy`` takes the hashes of the large partitions where the caller knows them (none: an empty list).
+    Rows that tie in the order fields are ranked, numbered and shifted among themselves in no fixed order, and a large
+    partition may order them differently from a small one: end the order fields with a unique one where it matters.
+    ``heavy`` takes the large partitions where the caller knows them. A Custom expression without a window of its own
+    is put over the partition, and over its running frame if there are order fields; a large partition is not split
+    for it.
     """
     if function == "Custom":
-        return df.withColumn(target, F.expr(expression))
+        return df.withColumn(target, _custom(df, expression, partition_by, order_by))
     known = RANKING + SHIFTING + EDGES + tuple(AGGREGATES)
     if function not in known:
         raise ValueError(f"unknown window function {function!r}")
@@ -62,7 +67,7 @@ def apply_window(df: DataFrame, function: str, partition_by: list[str], order_by
     if function not in RANKING and function != "Count" and source is None:
         raise ValueError(f"{function} needs a source field")
     if heavy is None:
-        heavy = skew.heavy_keys(df, partition_by, max_group_rows)
+        heavy = skew.heavy_groups(df, partition_by, max_group_rows)
     if not heavy:
         return df.withColumn(target, _plain(function, partition_by, order_by, source))
     ordinary, large = skew.split_heavy(df, partition_by, heavy)
@@ -73,8 +78,15 @@ def apply_window(df: DataFrame, function: str, partition_by: list[str], order_by
     return narrow.unionByName(wide) if partition_by else wide
 
 
+def _custom(df: DataFrame, expression: str, partition_by: list[str], order_by: list[str]) -> Column:
+    if not (partition_by or order_by) or re.search(r"\bover\s*\(", expression, re.IGNORECASE):
+        return F.expr(expression)
+    window = Window.partitionBy(*[field(p) for p in partition_by])
+    return F.expr(expression).over(window.orderBy(*_ordered(order_by)) if order_by else window)
+
+
 def _large(df: DataFrame, function: str, partition_by: list[str], order_by: list[str], target: str,
-           source: str | None, max_group_rows: int, heavy: list[int]) -> DataFrame:
+           source: str | None, max_group_rows: int, heavy: skew.Heavy) -> DataFrame:
     if function == "RowNumber":
         return number_rows(df, partition_by, order_by, target, max_group_rows)
     if function in SHIFTING:
@@ -96,24 +108,24 @@ def _large(df: DataFrame, function: str, partition_by: list[str], order_by: list
 def _layout(df: DataFrame, partition_by: list[str], order_by: list[str], max_group_rows: int) -> DataFrame:
     """Rows in sorted chunks with a stable position ``__pos``; its high bits are the chunk ``__chunk``.
 
-    The input partition breaks ties, so a pile of equal rows spreads over chunks as well. Writing the layout
+    A number of the row's own breaks ties, so a pile of equal rows spreads over chunks as well. Writing the layout
     to the shared folder fixes the positions before they are read twice.
     """
-    chunks = min(max(2, -(-df.count() // max_group_rows)), MAX_CHUNKS)
-    by = [field(c).asc_nulls_first() for c in partition_by + order_by] + [F.col("__from").asc()]
-    laid = (
-        df.withColumn("__from", F.spark_partition_id())
-        .repartitionByRange(chunks, *by)
-        .sortWithinPartitions(*by)
-        .withColumn("__pos", F.monotonically_increasing_id())
-        .drop("__from")
-    )
+    rows = skew.numbered(df, "__tie")
+    chunks = max(2, -(-rows.count() // max_group_rows))
+    by = [field(c).asc_nulls_first() for c in partition_by + order_by] + [F.col("__tie").asc()]
+    laid = rows.repartitionByRange(chunks, *by).sortWithinPartitions(*by) \
+        .withColumn("__pos", F.monotonically_increasing_id()).drop("__tie")
     return materialize(laid).withColumn("__chunk", F.shiftright("__pos", 33))
 
 
 def _carry_join(rows: DataFrame, summary: DataFrame, partition_by: list[str]) -> DataFrame:
-    """Attach the per-(partition, chunk) summary: at most chunks + heavy partitions rows, so it is broadcast."""
-    return skew.join_per_key(rows, F.broadcast(summary), partition_by + ["__chunk"], "left", heavy=[])
+    """Attach the per-(partition, chunk) summary. It has a row per chunk and heavy partition, each standing for
+    ``max_group_rows`` rows or so, is written, and is broadcast if its count is small."""
+    summary = materialize(summary)
+    if summary.count() <= skew.MAX_BROADCAST_GROUPS:
+        summary = F.broadcast(summary)
+    return skew.join_per_key(rows, summary, partition_by + ["__chunk"], "left", heavy=skew.NONE)
 
 
 def number_rows(df: DataFrame, partition_by: list[str], order_by: list[str], target: str,
@@ -197,7 +209,9 @@ def _by_order_value(df: DataFrame, function: str, partition_by: list[str], order
     elif function == "DenseRank":
         answer = combined("__one")
     elif function == "Average":
-        answer = F.try_divide(combined("__v").cast("double"), combined("__c"))
+        exact = isinstance(groups.schema["__v"].dataType, T.DecimalType)
+        answer = F.try_divide(combined("__v") if exact else combined("__v").cast("double"),
+                              combined("__c").cast("decimal(20,0)") if exact else combined("__c"))
     else:
         answer = combined("__v")
     answers = joined.select(*[field(k) for k in keys], answer.alias(target))

@@ -17,13 +17,21 @@ DEFAULTS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# On a cluster shuffles start with many small partitions, which adaptive execution joins to the size a task should read
+CLUSTER = {
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+}
+
 
 def build_session(app: str = "millrace", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's defaults; ``conf`` entries win over them."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**DEFAULTS, **conf}.items():
+    cluster = {} if (master or "").startswith("local") else CLUSTER
+    for key, value in {**DEFAULTS, **cluster, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
@@ -31,11 +39,13 @@ def build_session(app: str = "millrace", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` where the cluster names one.
 
-    Only a session without that setting (a local test session) gets a temporary folder.
+    Only a local session may go without that setting and gets a temporary folder; on a cluster it is an error.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         root = tempfile.mkdtemp(prefix="millrace-")
         context.setCheckpointDir(root)
     elif not context.getCheckpointDir():

@@ -72,7 +72,27 @@ def test_inequality_join_equals_brute_force(spark, operator):
     left = spark.range(80).select(F.col("id").alias("a"), ((F.col("id") * 7) % 23).alias("x"))
     right = spark.range(60).select(F.col("id").alias("b"), ((F.col("id") * 5) % 29).alias("y"))
     test = {"LessThan": "x < y", "LessThanOrEqual": "x <= y", "GreaterThan": "x > y", "GreaterThanOrEqual": "x >= y"}[operator]
-    assert rows(apply_join(left, right, "Inner", [On("x", "y", operator)])) == rows(left.crossJoin(right).filter(test))
+    with pytest.raises(ValueError):
+        apply_join(left, right, "Inner", [On("x", "y", operator)])
+    assert rows(apply_join(left, right, "Inner", [On("x", "y", operator)], allow_cross=True)) == rows(left.crossJoin(right).filter(test))
+    split = joins.inequality_join(left, right, "x", "y", operator, task_rows=7)
+    assert rows(split) == rows(left.crossJoin(right).filter(test))
+
+
+_TYPES = [["tinyint", "bigint", "float", "double", "decimal(12,3)"], ["date", "timestamp", "timestamp_ntz"]]
+
+
+@pytest.mark.parametrize("x,y", [(a, b) for kind in _TYPES for a in kind for b in kind])
+def test_ordering_joins_over_all_pairs_of_types(spark, x, y):
+    def value(dtype, n):
+        return f"CAST({n} AS {dtype})" if dtype in _TYPES[0] else \
+            f"CAST(timestampadd(HOUR, CAST({n} * 7 AS INT), timestamp_ntz'2020-01-01') AS {dtype})"
+
+    left = spark.range(40).selectExpr("id AS a", f"{value(x, 'id % 23')} AS x")
+    right = spark.range(30).selectExpr("id AS b", f"{value(y, '(id * 5) % 29')} AS y", f"{value(y, '(id * 5) % 29 + id % 4')} AS z")
+    both = left.crossJoin(right)
+    assert rows(joins.inequality_join(left, right, "x", "y", "GreaterThanOrEqual", task_rows=9), "a", "b") == rows(both.filter("x >= y"), "a", "b")
+    assert rows(joins.range_join(left, right, "x", "y", "z", 1.0), "a", "b") == rows(both.filter("x BETWEEN y AND z"), "a", "b")
 
 
 @pytest.mark.parametrize("width", [1.0, 4.0, 50.0])

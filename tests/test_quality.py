@@ -134,9 +134,9 @@ def test_unique_counts_nulls_as_a_value(spark):
 
 def test_quarantine_and_contract(items):
     checks = [QualityRule("n", "NotNull", "name", severity="Warning"), QualityRule("a", "Range", "amount", {"min": 0})]
-    good, bad = quality_rules.quarantine(items, checks)
-    assert rows(good, "id") == [(1,)]
-    assert rows(bad, "id", "severity") == [(2, "Error"), (3, "Error")]
+    flagged = quality_rules.quarantine(items, checks)
+    assert rows(flagged.filter("NOT quarantined"), "id") == [(1,)]
+    assert rows(flagged.filter("quarantined"), "id", "severity") == [(2, "Error"), (3, "Error")]
     contract = contracts.Contract("c", DataSchema("s", [SchemaField("id", "Integer")], True), checks[:1])
     out = contracts.check(items, contract).select("id", "compliance.is_compliant", F.size("compliance.rule_violations").alias("n"))
     assert rows(out) == [(1, True, 0), (2, True, 1), (3, True, 0)]

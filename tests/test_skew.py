@@ -34,10 +34,10 @@ def hot(spark):
 
 
 def test_heavy_keys_finds_only_the_large_groups(hot):
-    found = skew.heavy_keys(hot, ["k"], SPLIT)
+    found = [r["h"] for r in skew.heavy_groups(hot, ["k"], SPLIT).table.collect()]
     counted = hot.groupBy("k").count().filter(f"count > {SPLIT}").select(skew.key_hash(hot, ["k"]).alias("h"))
     assert sorted(found) == sorted(r["h"] for r in counted.collect())
-    assert skew.heavy_keys(hot, ["k"]) == []
+    assert not skew.heavy_groups(hot, ["k"])
 
 
 WINDOWS = [
@@ -140,3 +140,62 @@ def test_deep_page(spark, monkeypatch):
     df = spark.range(1000).repartition(6)
     monkeypatch.setattr(paging, "_DEEP", 100)
     assert [r["id"] for r in paging.page(df, ["id"], 31, 20).collect()] == list(range(600, 620))
+
+
+@pytest.mark.parametrize("dtype", ["int", "bigint", "decimal(10,2)"])
+def test_hot_key_is_split_after_a_shuffle_on_it(spark, dtype):
+    """All rows of the key lie in one partition, most of them are equal, and the key types differ."""
+    left = spark.range(900).selectExpr("CAST(id % 3 AS INT) AS k", "id % 2 AS same").repartition(8, "k")
+    right = spark.range(40).selectExpr(f"CAST(id % 4 AS {dtype}) AS rk", "id AS r")
+    on = [On("k", "rk")]
+    assert rows(apply_join(left, right, "Full", on, max_group_rows=SPLIT)) == rows(apply_join(left, right, "Full", on))
+    big = skew.numbered(left, "__lid")
+    spread = skew.tiles(skew.heavy_groups(big, ["k"], SPLIT), skew.NONE, SPLIT)
+    assert {r["left"] for r in spread.table.collect()} == {15}
+    dealt = big.select(F.pmod(F.xxhash64("__lid"), F.lit(15)).alias("t")).groupBy("t").count().collect()
+    assert len(dealt) == 15 and max(r["count"] for r in dealt) < 3 * 900 / 15
+
+
+def test_many_hot_keys_each_with_a_small_share(spark):
+    df = spark.range(42_000).selectExpr("id % 2000 AS k", "id AS v")
+    assert skew.heavy_groups(df, ["k"], SPLIT).groups == 2000
+    plain = apply_window(df, "RowNumber", ["k"], ["v"], "w")
+    split = apply_window(df, "RowNumber", ["k"], ["v"], "w", max_group_rows=SPLIT)
+    assert plain.exceptAll(split).isEmpty() and split.count() == 42_000
+
+
+def test_split_average_of_decimals_is_exact(spark):
+    df = spark.range(200).selectExpr("id % 2 AS k", "id % 5 AS o", "CAST(99999999999999.99 AS DECIMAL(18,2)) AS v")
+    plain = apply_window(df, "Average", ["k"], ["o"], "w", "v")
+    split = apply_window(df, "Average", ["k"], ["o"], "w", "v", max_group_rows=SPLIT)
+    assert split.schema["w"].dataType == plain.schema["w"].dataType and rows(split) == rows(plain)
+
+
+def test_unique_rules_scan_the_table_a_fixed_number_of_times(spark, tmp_path):
+    spark.range(300).selectExpr("id % 3 AS a", "id AS b", "nullif(id, 1) AS c", "CAST(id % 7 AS DOUBLE) AS d").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+
+    def scans(n):
+        rules = [quality_rules.QualityRule(c, "Unique", c) for c in "abcd"[:n]]
+        plan = quality_rules.validate(df, rules)._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("Relation [")
+
+    assert scans(1) == scans(4) == 1
+    checked = quality_rules.validate(df, [quality_rules.QualityRule(c, "Unique", c) for c in "abcd"], max_group_rows=SPLIT)
+    assert [tuple(r["valid"] for r in row["results"]) for row in checked.select("results").distinct().collect()] == [(False, True, True, False)]
+
+
+def test_window_custom_uses_its_fields(spark):
+    df = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (2, 1, 7)], "k int, o int, v int")
+    assert rows(apply_window(df, "Custom", ["k"], ["o"], "w", expression="sum(v)"), "w") == [(11,), (5,), (7,)]
+    assert rows(apply_window(df, "Custom", ["k"], [], "w", expression="max(v)"), "w") == [(6,), (6,), (7,)]
+
+
+def test_impact_walks_to_the_end_of_chains_and_cycles(spark):
+    steps = [(f"t{i}", f"t{i + 1}") for i in range(12)] + [("t12", "t5")]
+    edges = spark.createDataFrame(steps, "source_table string, target_table string").selectExpr(
+        "*", "array(struct('c' AS target_column, array('c') AS depends_on)) AS columns")
+    roots = spark.createDataFrame([("t0", "c")], "table string, column string")
+    found = lineage.impact(edges, roots)
+    assert rows(found.filter("depth >= 9"), "table", "depth") == [("t10", 10), ("t11", 11), ("t12", 12), ("t9", 9)] and found.count() == 12
+    assert lineage.impact(edges, roots, 3).count() == 3

@@ -232,12 +232,12 @@ def lineage_filter(spark, sf_dir):
     return lineage.select_edges(edges(spark, sf_dir), target_table="7:2").drop("columns")
 
 
-def _reach(step: str, root_turn: int, depth: int) -> str:
+def _reach(step: str, root_turn: int, depth: int | None) -> str:
     return f"""(WITH RECURSIVE e AS (SELECT DISTINCT source_table AS s, target_table AS t FROM {_EDGES}),
       walk(root_table, "table", depth) AS (
         SELECT DISTINCT conv_id || ':' || turn, conv_id || ':' || turn, 0 FROM conversations WHERE turn = {root_turn}
         UNION SELECT root_table, {step}, depth + 1 FROM walk
-          JOIN e ON {'s' if step == 't' else 't'} = walk."table" WHERE depth < {depth})
+          JOIN e ON {'s' if step == 't' else 't'} = walk."table" {'' if depth is None else f'WHERE depth < {depth}'})
       SELECT root_table, "table", depth FROM walk WHERE depth > 0)"""
 
 
@@ -255,7 +255,7 @@ def lineage_upstream(spark, sf_dir):
     UNION ALL SELECT root_table, "table", depth, 'upstream' FROM {_reach('s', 1, 2)}
     UNION ALL SELECT DISTINCT conv_id || ':' || turn, conv_id || ':' || turn, 0, 'root' FROM conversations WHERE turn = 1""")
 def lineage_graph(spark, sf_dir):
-    return lineage.graph(edges(spark, sf_dir), _roots(spark, sf_dir, 1), 2)[0]
+    return lineage.graph(edges(spark, sf_dir), _roots(spark, sf_dir, 1), 2, 2)[0]
 
 
 @query("lineage_graph_edges", f"""WITH n AS (SELECT "table" FROM {_reach('t', 1, 2)} UNION SELECT "table" FROM {_reach('s', 1, 2)}
@@ -263,13 +263,13 @@ def lineage_graph(spark, sf_dir):
     SELECT source_table, target_table FROM {_EDGES} WHERE source_table IN (SELECT "table" FROM n)
       AND target_table IN (SELECT "table" FROM n)""")
 def lineage_graph_edges(spark, sf_dir):
-    return lineage.graph(edges(spark, sf_dir), _roots(spark, sf_dir, 1), 2)[1].select("source_table", "target_table")
+    return lineage.graph(edges(spark, sf_dir), _roots(spark, sf_dir, 1), 2, 2)[1].select("source_table", "target_table")
 
 
-@query("lineage_impact", f"""SELECT root_table, 'role' AS root_column, "table", 'line' AS "column", depth FROM {_reach('t', 0, 5)}""")
+@query("lineage_impact", f"""SELECT root_table, 'role' AS root_column, "table", 'line' AS "column", depth FROM {_reach('t', 0, None)}""")
 def lineage_impact(spark, sf_dir):
     roots = _roots(spark, sf_dir, 0).withColumn("column", F.lit("role"))
-    return lineage.impact(edges(spark, sf_dir), roots, 5)
+    return lineage.impact(edges(spark, sf_dir), roots)
 
 
 # -- run history ------------------------------------------------------------------------------------------------

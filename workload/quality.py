@@ -97,15 +97,22 @@ CUSTOMER_SCHEMA = DataSchema("customer", [
     SchemaField("c_mktsegment", "String", False, {"maxLength": 9})])
 
 
-@query("schema_validate", f"""SELECT c_custkey, CAST(
-      (c_acctbal IS NULL)::INT + (c_nationkey < 1)::INT + (c_nationkey > 20)::INT + coalesce((c_acctbal < 0)::INT, 0)
-      + coalesce((length(c_mktsegment) > 9)::INT, 0) AS INTEGER) AS errors,
-    CASE WHEN c_acctbal IS NULL THEN 'c_acctbal' WHEN c_nationkey < 1 OR c_nationkey > 20 THEN 'c_nationkey'
-         WHEN c_acctbal < 0 THEN 'c_acctbal' WHEN length(c_mktsegment) > 9 THEN 'c_mktsegment' END AS first_field
-    FROM {CUSTOMER_NULLS}""")
+_REQUIRED = "CASE WHEN c_acctbal IS NULL THEN 'Required field ''c_acctbal'' is missing or null' END"
+_BOUNDS = """CASE WHEN c_nationkey < 1 THEN 'Field ''c_nationkey'' value is less than minimum of 1' END,
+    CASE WHEN c_nationkey > 20 THEN 'Field ''c_nationkey'' value exceeds maximum of 20' END,
+    CASE WHEN c_acctbal < 0 THEN 'Field ''c_acctbal'' value is less than minimum of 0' END,
+    CASE WHEN length(c_mktsegment) > 9 THEN 'Field ''c_mktsegment'' length exceeds maximum length of 9' END"""
+_SCHEMA_MESSAGES = f"concat_ws('; ', {_REQUIRED}, {_BOUNDS})"
+
+
+def _joined(errors):
+    return F.array_join(F.transform(errors, lambda e: e["message"]), "; ")
+
+
+@query("schema_validate", f"SELECT c_custkey, {_SCHEMA_MESSAGES} AS errors FROM {CUSTOMER_NULLS}")
 def schema_validate(spark, sf_dir):
     checked = schema_checks.validate(customer_nulls(spark, sf_dir), CUSTOMER_SCHEMA)
-    return checked.select("c_custkey", F.size("errors").alias("errors"), F.get("errors", F.lit(0))["field"].alias("first_field"))
+    return checked.select("c_custkey", _joined(F.col("errors")).alias("errors"))
 
 
 def _flat(df):
@@ -219,12 +226,18 @@ def dq_summary(spark, sf_dir):
     return quality_rules.summary(customer_nulls(spark, sf_dir), CUSTOMER_RULES)
 
 
-@query("dq_quarantine", f"""SELECT c_custkey, CASE WHEN {_BALANCE} THEN 'Error' END AS severity,
-    {_BALANCE} AS held FROM {CUSTOMER_NULLS}""")
+_FAILED = "Validation failed for rule ''{}'': Field ''{}'' {}"
+_MESSAGES = f"""concat_ws('; ', CASE WHEN {_SEGMENT} THEN '{_FAILED.format("segment known", "c_mktsegment", "must not be null")}' END,
+    CASE WHEN {_BALANCE} THEN '{_FAILED.format("balance range", "c_acctbal", "is outside the allowed range")}' END"""
+_UNIQUE = f", CASE WHEN n > 1 THEN '{_FAILED.format('one per nation', 'c_nationkey', 'must be unique')}' END"
+
+
+@query("dq_quarantine", f"""SELECT c_custkey, CASE WHEN {_BALANCE} THEN 'Error' WHEN {_SEGMENT} THEN 'Warning'
+      WHEN n > 1 THEN 'Info' END AS severity, {_MESSAGES}{_UNIQUE}) AS messages, {_BALANCE} AS quarantined
+    FROM (SELECT *, count(*) OVER (PARTITION BY c_nationkey) AS n FROM {CUSTOMER_NULLS})""")
 def dq_quarantine(spark, sf_dir):
-    good, bad = quality_rules.quarantine(customer_nulls(spark, sf_dir), CUSTOMER_RULES, "Error")
-    return good.select("c_custkey", F.lit(None).cast("string").alias("severity"), F.lit(False).alias("held")) \
-        .unionByName(bad.select("c_custkey", "severity", F.lit(True).alias("held")))
+    flagged = quality_rules.quarantine(customer_nulls(spark, sf_dir), CUSTOMER_RULES, "Error")
+    return flagged.select("c_custkey", "severity", _joined(F.col("failures")).alias("messages"), "quarantined")
 
 
 CONTRACT = contracts.Contract("customer", CUSTOMER_SCHEMA, CUSTOMER_RULES[:3])
@@ -234,13 +247,13 @@ _VIOLATIONS = f"(({_SEGMENT})::INT + ({_BALANCE})::INT)"
 
 
 @query("contract_check", f"""SELECT c_custkey, {_SCHEMA_ERRORS} = 0 AND NOT {_BALANCE} AS is_compliant,
-    CAST({_SCHEMA_ERRORS} AS INTEGER) AS schema_errors, CAST({_VIOLATIONS} AS INTEGER) AS rule_violations
-    FROM {CUSTOMER_NULLS}""")
+    {_SCHEMA_MESSAGES} AS schema_errors, {_MESSAGES}) AS rule_violations FROM {CUSTOMER_NULLS}""")
 def contract_check(spark, sf_dir):
     c = F.col("compliance")
     return contracts.check(customer_nulls(spark, sf_dir), CONTRACT).select(
-        "c_custkey", c["is_compliant"].alias("is_compliant"), F.size(c["schema_errors"]).alias("schema_errors"),
-        F.size(c["rule_violations"]).alias("rule_violations"))
+        "c_custkey", c["is_compliant"].alias("is_compliant"),
+        _joined(c["schema_errors"]).alias("schema_errors"),
+        _joined(c["rule_violations"]).alias("rule_violations"))
 
 
 @query("contract_check_batch", f"""SELECT 'customer' AS contract, count(*) AS checked,

@@ -44,13 +44,15 @@ def join_cross(spark, sf_dir):
                       "Cross", allow_cross=True)
 
 
-@query("join_multi_key", """SELECT c_custkey, s_suppkey, c_nationkey, s_nationkey FROM customer
-    JOIN supplier ON c_nationkey = s_nationkey AND floor(c_acctbal / 100) = floor(s_acctbal / 100)""")
+@query("join_multi_key", """SELECT l_orderkey, l_partkey, l_suppkey, lines, parts FROM lineitem JOIN
+    (SELECT l_orderkey AS t_orderkey, l_suppkey AS t_suppkey, count(*) AS lines, count(DISTINCT l_partkey) AS parts FROM lineitem
+     GROUP BY 1, 2) ON l_orderkey = t_orderkey AND l_suppkey = t_suppkey""")
 def join_multi_key(spark, sf_dir):
-    customers = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_nationkey", "floor(c_acctbal / 100) AS c_step")
-    suppliers = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_nationkey", "floor(s_acctbal / 100) AS s_step")
-    return apply_join(customers, suppliers, "Inner", [On("c_nationkey", "s_nationkey"), On("c_step", "s_step")]) \
-        .select("c_custkey", "s_suppkey", "c_nationkey", "s_nationkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    totals = lines.groupBy(F.col("l_orderkey").alias("t_orderkey"), F.col("l_suppkey").alias("t_suppkey")) \
+        .agg(F.count(F.lit(1)).alias("lines"), F.countDistinct("l_partkey").alias("parts"))
+    return apply_join(lines, totals, "Inner", [On("l_orderkey", "t_orderkey"), On("l_suppkey", "t_suppkey")]) \
+        .select("l_orderkey", "l_partkey", "l_suppkey", "lines", "parts")
 
 
 def _theta(key: str, operator: str, sign: str):
@@ -76,15 +78,17 @@ _theta("join_ge", "GreaterThanOrEqual", ">=")
 
 
 @query("join_range", """SELECT event_id, o.o_orderkey FROM events e
-    JOIN (SELECT o_orderkey, o_orderdate + INTERVAL 8400 DAY AS opens,
-                 o_orderdate + INTERVAL 8400 DAY + INTERVAL 6 HOUR AS closes FROM orders) o
-    ON e.ts BETWEEN o.opens AND o.closes""")
+    JOIN (SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 8400 DAY AS opens,
+                 o_orderdate + INTERVAL 8400 DAY + o_orderkey % 40 * INTERVAL 1 DAY AS closes FROM orders) o
+    ON e.user_id = o.o_custkey AND e.ts BETWEEN o.opens AND o.closes""")
 def join_range(spark, sf_dir):
+    """Events of a customer while one of their (shifted) orders is open, for up to 39 days."""
     ranges = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", "CAST(o_orderdate AS TIMESTAMP) + INTERVAL 8400 DAYS AS opens",
-        "CAST(o_orderdate AS TIMESTAMP) + INTERVAL 8400 DAYS + INTERVAL 6 HOURS AS closes")
-    events = table(spark, sf_dir, "events").selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts")
-    return joins.range_join(events, ranges, "ts", "opens", "closes", 6 * 3600).select("event_id", "o_orderkey")
+        "o_orderkey", "o_custkey", "CAST(o_orderdate AS TIMESTAMP) + INTERVAL 8400 DAYS AS opens",
+        "CAST(o_orderdate AS TIMESTAMP) + INTERVAL 8400 DAYS + o_orderkey % 40 * INTERVAL 1 DAY AS closes")
+    events = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "CAST(ts AS TIMESTAMP) AS ts")
+    return joins.range_join(events, ranges, "ts", "opens", "closes", 5 * 86400, [("user_id", "o_custkey")]) \
+        .select("event_id", "o_orderkey")
 
 
 _NATIONS = """(SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <> 3
