@@ -81,21 +81,34 @@ def parse_timestamp(text: Column) -> Column:
     )
 
 
+_SCALE = 12  # digits kept beyond the point, or as many as the format asks for
+
+
 def _decimal(value: Column, digits: int) -> Column:
-    """Half-up rounding on the printed digits (not on the binary expansion)."""
-    return F.round(value.try_cast("decimal(38,12)"), digits)
+    """Half-up rounding on the printed digits (not on the binary expansion); null where 38 digits do not hold it."""
+    return F.round(value.try_cast(f"decimal(38,{max(_SCALE, min(digits, 37))})"), digits)
+
+
+def _fixed(value: Column, digits: int, grouped: bool, factor: int = 1) -> Column:
+    """Digits with a fixed number of decimals; what a decimal cannot hold is printed from the double."""
+    wide = F.format_string(f"%{',' if grouped else ''}.{digits}f", value.cast("double") * factor)
+    if digits > 37:
+        return wide
+    exact = F.round(value.try_cast(f"decimal(38,{max(_SCALE, digits)})") * factor, digits) if factor != 1 else _decimal(value, digits)
+    text = F.format_number(exact, digits) if grouped else exact.cast(f"decimal(38,{digits})").cast("string")
+    return F.coalesce(text, wide)
 
 
 def _standard_number(value: Column, dtype: T.DataType, letter: str, digits: int | None) -> Column:
     two = 2 if digits is None else digits
     if letter == "F":
-        return _decimal(value, two).cast(f"decimal(38,{min(two, 12)})").cast("string")
+        return _fixed(value, two, False)
     if letter == "N":
-        return F.format_number(_decimal(value, two), two)
+        return _fixed(value, two, True)
     if letter == "P":
-        return F.concat(F.format_number(_decimal(value.try_cast("decimal(38,12)") * 100, two), two), F.lit(" %"))
+        return F.concat(_fixed(value, two, True, 100), F.lit(" %"))
     if letter == "C":
-        text = F.format_number(F.abs(_decimal(value, two)), two)
+        text = _fixed(F.abs(value), two, True)
         return F.when(value < 0, F.concat(F.lit("(¤"), text, F.lit(")"))).otherwise(F.concat(F.lit("¤"), text))
     if letter == "E":
         six = 6 if digits is None else digits
@@ -146,7 +159,7 @@ def format_numeric(value: Column, dtype: T.DataType, spec: str) -> Column:
     standard = re.fullmatch(r"([A-Za-z])(\d{0,2})", spec)
     if standard:
         return _standard_number(value, dtype, standard[1].upper(), int(standard[2]) if standard[2] else None)
-    return _custom_number(value, spec)
+    return F.coalesce(_custom_number(value, spec), as_text(value, dtype))
 
 
 _HOLE = re.compile(r"\{\{|\}\}|\{(\d+)(?:,(-?\d+))?(?::([^{}]*))?\}|[{}]|[^{}]+")

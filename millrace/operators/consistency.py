@@ -51,11 +51,23 @@ def _differs(columns: list[str]) -> Column:
     return any_of([~same(F.col("src")[c], F.col("dst")[c]) for c in columns])
 
 
+def _comparable(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns that hold maps as text with sorted keys: maps have no order and do not compare."""
+
+    def text(name: str) -> Column:
+        value, dtype = field(name), df.schema[name].dataType
+        if isinstance(dtype, T.MapType) and "map<" not in dtype.keyType.simpleString() + dtype.valueType.simpleString():
+            value = F.array_sort(F.map_entries(value))
+        return F.to_json(F.struct(value))
+
+    return df.withColumns({c: text(c) for c in columns if "map<" in df.schema[c].dataType.simpleString()})
+
+
 def metrics(source: DataFrame, destination: DataFrame, keys: list[str], columns: list[str] | None = None,
             order_by: list[str] | None = None) -> DataFrame:
     """One row: missing, different, total (distinct source keys). Destination-only keys are not counted."""
     compared = _shared(source, destination, keys, columns)
-    pairs = paired(source, destination, keys, compared, order_by)
+    pairs = paired(_comparable(source, compared), _comparable(destination, compared), keys, compared, order_by)
     here, there = F.col("src").isNotNull(), F.col("dst").isNotNull()
     return pairs.agg(F.count_if(here & ~there).alias("missing"),
                      F.count_if(here & there & _differs(compared)).alias("different"), F.count_if(here).alias("total"))
@@ -104,7 +116,8 @@ def upsert(source: DataFrame, destination: DataFrame, keys: list[str], columns:
     """
     synced = _shared(source, destination, keys, columns)
     typed = source.select(*[field(k).cast(destination.schema[k].dataType).alias(k) for k in keys],
-                          *[field(c) for c in source.columns if c not in keys])
+                          *[field(c).cast(destination.schema[c].dataType).alias(c) if c in synced else field(c)
+                            for c in source.columns if c not in keys])
     row = F.struct(*[field(c).alias(c) for c in keys + synced])
     picked = F.max_by(row, F.struct(*[field(o).alias(f"o{i}") for i, o in enumerate(order_by)])) if order_by else F.max(row)
     joint = [f"__{p}{i}" for i in range(len(keys)) for p in "vf"]

@@ -100,17 +100,22 @@ def enrich_calculated(df: DataFrame, target: str, kind: str, **spec) -> DataFram
 def enrich_sentiment(df: DataFrame, text: str, lexicon: dict[str, float], target: str = "sentiment") -> DataFrame:
     """Lexicon score of whole words and its label, in one pass over each row and without a shuffle.
 
-    One alternation picks the lexicon words out of the text; only those hits are looked up.
+    A text is cut into words once and each is looked up, so a lexicon of many words costs no more than a short one.
+    Entries that are not one word of letters and digits are searched for by a pattern. Null text scores 0.
     """
-    words = sorted((w.lower() for w in lexicon), key=len, reverse=True)
-    pattern = r"(?<![\p{L}\p{N}])(" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}])"
-    weights = F.create_map(*[F.lit(x) for w in words for x in (w, float(lexicon[w]))])
-    hits = F.regexp_extract_all(F.lower(field(text)), F.lit(pattern), F.lit(1))
-    score = F.aggregate(hits, F.lit(0.0), lambda total, word: total + F.element_at(weights, word))
-    score = F.coalesce(score, F.lit(0.0))
+    weights = {w.lower(): float(v) for w, v in lexicon.items()}
+    phrases = sorted((w for w in weights if not re.fullmatch(r"[^\W_]+", w)), key=len, reverse=True)
+    pattern = re.compile("|".join([rf"(?<![^\W_])(?:{'|'.join(map(re.escape, phrases))})(?![^\W_])"] * bool(phrases) + [r"[^\W_]+"]))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        known = weights.get
+        return pd.Series([float(sum(filter(None, map(known, pattern.findall(t.lower()))))) if t else 0.0 for t in texts], dtype="float64")
+
+    scored = df.withColumn(f"{target}_score", score(field(text)))
     label = F.when(F.col(f"{target}_score") > 0, "positive").when(F.col(f"{target}_score") < 0, "negative") \
         .otherwise("neutral")
-    return df.withColumn(f"{target}_score", score).withColumn(f"{target}_label", label)
+    return scored.withColumn(f"{target}_label", label)
 
 
 # Entity patterns (common to Java and RE2 syntax).
@@ -185,7 +190,10 @@ def enrich_by_key(df: DataFrame, key: str, function: Callable[[pd.DataFrame], pd
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield function(batch)
+            found = function(batch)
+            if found[key].duplicated().any():
+                raise ValueError(f"the function returned several rows for one {key!r}")
+            yield found
 
     keys = df.select(field(key)).filter(field(key).isNotNull()).distinct()
     looked_up = keys.mapInPandas(call, schema)

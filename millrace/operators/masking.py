@@ -41,7 +41,10 @@ def _partial(text: Column, start: int, end: int, char: str) -> Column:
 def _tokenize(text: Column, secret: str, preserve_length: bool, preserve_format: bool) -> Column:
     hashed = digest(text, secret)
     if preserve_format:
-        return F.array_join(F.transform(F.split(text, ""), lambda c, i: _swap(c, i, hashed)), "")
+        # the lambda binds the digest, so that it is computed once and not for every character
+        swapped = F.transform(F.array(hashed), lambda h: F.array_join(
+            F.transform(F.split(text, ""), lambda c, i: _swap(c, i, h)), ""))
+        return F.get(swapped, F.lit(0))
     if preserve_length:
         return F.substring(F.repeat(hashed, F.ceil(F.length(text) / 64).cast("int")), F.lit(1), F.length(text))
     return hashed

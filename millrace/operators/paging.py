@@ -27,8 +27,10 @@ def _page_size(size: int | None) -> int:
     return min(max(size or DEFAULT_PAGE_SIZE, 1), MAX_PAGE_SIZE)
 
 
-def page(df: DataFrame, order_by: list[str], number: int = 1, size: int | None = None) -> DataFrame:
-    """Rows of one page (numbers from 1). Deep pages number the rows in parallel instead of skipping them."""
+def page(df: DataFrame, order_by: list[str], tie_breaker: str, number: int = 1, size: int | None = None) -> DataFrame:
+    """Rows of one page (numbers from 1) in the order of the fields and then of a unique one, so that pages never
+    repeat or skip a row. Deep pages number the rows in parallel instead of skipping them."""
+    order_by = [*order_by, tie_breaker]
     size, number = _page_size(size), max(number, 1)
     skip = (number - 1) * size
     if skip <= _DEEP:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from millrace.functions.columns import NUMERIC, as_text, field, trimmed
+from millrace.functions.columns import TEMPORAL, NUMERIC, as_text, field, trimmed
 from millrace.operators import skew
 from millrace.operators.quality_rules import QualityRule, summary
 from millrace.operators.windows import apply_window
@@ -31,8 +31,17 @@ def _number(df: DataFrame, name: str) -> Column:
 
 def _stack(df: DataFrame, columns: list[str], row) -> DataFrame:
     """One aggregation, one output row per column; ``row(name)`` lists aliased aggregates."""
-    described = F.array(*[F.struct(F.lit(c).alias("column"), *row(c)) for c in columns])
-    return df.agg(described.alias("rows")).select(F.inline("rows"))
+    return df.agg(_described(columns, row).alias("rows")).select(F.inline("rows"))
+
+
+def _described(columns: list[str], row) -> Column:
+    return F.array(*[F.struct(F.lit(c).alias("column"), *row(c)) for c in columns])
+
+
+def _listed(df: DataFrame, columns: list[str], rows: list, row) -> DataFrame:
+    """The rows of a :func:`_described` aggregate that has been read: one per column."""
+    schema = df.agg(_described(columns, row).alias("rows")).schema["rows"].dataType.elementType
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -65,11 +74,26 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def unique_counts(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """column, unique_count."""
+    """column, unique_count (of non-null values); values meet by 128-bit hashes, so long text is not shuffled."""
     columns = columns or df.columns
     if approx:
-        return _stack(df, columns, lambda c: [F.approx_count_distinct(field(c)).alias("unique_count")])
-    return _with_all(df, columns, _unique_of(value_counts(df, columns)), {"unique_count": F.lit(0).cast("bigint")})
+        return _stack(df, columns, lambda c: [F.approx_count_distinct(_text(df, c) if "map<" in df.schema[c].dataType.simpleString()
+                                                                      else field(c)).alias("unique_count")])
+
+    def cell(i: int, name: str) -> Column:
+        value, dtype = field(name), df.schema[name].dataType
+        if isinstance(dtype, (T.FloatType, T.DoubleType)):
+            value = value + F.lit(0.0)
+        elif not isinstance(dtype, NUMERIC + TEMPORAL + (T.StringType, T.BooleanType, T.BinaryType)):
+            value = _text(df, name)
+        hashes = [F.xxhash64(F.lit(seed), value).alias(n) for seed, n in ((0, "a"), (1, "b"))]
+        return F.when(value.isNotNull(), F.struct(F.lit(i).alias("i"), *hashes))
+
+    cells = F.filter(F.array(*[cell(i, c) for i, c in enumerate(columns)]), lambda c: c.isNotNull())
+    found = df.select(F.inline(cells)).groupBy("i", "a", "b").agg(F.lit(1).alias("one")).groupBy("i") \
+        .agg(F.count(F.lit(1)).alias("unique_count"))
+    named = found.select(F.get(F.array(*[F.lit(c) for c in columns]), F.col("i")).alias("column"), "unique_count")
+    return _with_all(df, columns, named, {"unique_count": F.lit(0).cast("bigint")})
 
 
 def _unique_of(values: DataFrame) -> DataFrame:
@@ -102,23 +126,37 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float]
     the values inside it are shuffled. The counts prove that the bracket holds the wanted ranks; one that did not
     would be opened to the whole column, so the answer is exact whatever the sketch says.
     """
+    return _quantiles(df, columns, probabilities, max_group_rows)[0]
+
+
+def _quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float], max_group_rows: int = skew.MAX_GROUP_ROWS,
+               values: DataFrame | None = None, also: Column | None = None) -> tuple[DataFrame, object]:
+    """Quantiles, and the value of ``also``, an aggregate over ``df`` that shares the sketch's pass.
+
+    ``values``, the written output of :func:`value_counts`, is counted and searched in place of ``df``.
+    """
     columns = [c for c in columns if isinstance(df.schema[c].dataType, NUMERIC)]
     spark = df.sparkSession
     if not columns:
-        return spark.createDataFrame([], "column string, " + ", ".join(f"{n} double" for n in probabilities))
+        shared = df.agg(also.alias("also")).first()["also"] if also is not None else None
+        return spark.createDataFrame([], "column string, " + ", ".join(f"{n} double" for n in probabilities)), shared
     targets = [(i, j, p) for i in range(len(columns)) for j, p in enumerate(probabilities.values())]
-    brackets, totals = _brackets(df, columns, targets)
+    sketched, shared = _sketch(df, columns, targets, also)
+    brackets, totals = _brackets(df if values is None else values, columns, targets, sketched, values is not None)
+
+    def number(i: int) -> Column:
+        return _number(df, columns[i]) if values is None else F.when(F.col("column") == columns[i], F.col("number"))
 
     def inside(i: int, j: int) -> Column:
         low, high = brackets[i, j]
-        x = _number(df, columns[i])
-        test = x.isNotNull()
-        return test if low is None else test & (x >= low) & (x <= high)
-
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                               F.when(inside(i, j), _number(df, columns[i])).alias("x")) for i, j, _ in targets])
-    counted = df.select(F.inline(F.filter(cells, lambda c: c["x"].isNotNull()))).groupBy("i", "j", "x") \
-        .agg(F.count(F.lit(1)).alias("n"))
+        test = number(i).isNotNull()
+        return test if low is None else test & (number(i) >= low) & (number(i) <= high)
+
+    weight = F.lit(1).cast("bigint") if values is None else F.col("n")
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(inside(i, j), number(i)).alias("x"),
+                               weight.alias("w")) for i, j, _ in targets])
+    counted = (df if values is None else values).select(F.inline(F.filter(cells, lambda c: c["x"].isNotNull()))) \
+        .groupBy("i", "j", "x").agg(F.sum("w").alias("n"))
     # the bracket sizes are known, so large ones are looked for only when there are any
     largest = max(size for _, _, size in totals.values())
     running = apply_window(counted, "Sum", ["i", "j"], ["x"], "upto", "n", max_group_rows=max_group_rows,
@@ -139,14 +177,14 @@ def quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float]
     value = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
     wide = found.groupBy("i").agg(*[F.max(F.when(F.col("j") == j, value)).alias(name)
                                     for j, name in enumerate(probabilities)])
-    return wide.select(F.get(F.array(*[F.lit(c) for c in columns]), F.col("i")).alias("column"), *probabilities)
+    return wide.select(F.get(F.array(*[F.lit(c) for c in columns]), F.col("i")).alias("column"), *probabilities), shared
 
 
 _ACCURACY = 2_000
 
 
-def _brackets(df: DataFrame, columns: list[str], targets: list[tuple[int, int, float]]) -> tuple[dict, dict]:
-    """(bracket per target, (column values, values below the bracket, values in it) per target): two aggregations."""
+def _sketch(df: DataFrame, columns: list[str], targets: list[tuple[int, int, float]], also: Column | None) -> tuple[dict, object]:
+    """(bracket per target, the value of ``also``) in one aggregation."""
     slack = 4 / _ACCURACY
     wanted: dict[int, list[tuple[int, float]]] = {}
     for i, j, p in targets:
@@ -154,19 +192,30 @@ def _brackets(df: DataFrame, columns: list[str], targets: list[tuple[int, int, f
     sketch = df.agg(*[
         F.percentile_approx(_number(df, columns[i]), F.array(*[
             F.lit(min(max(p + d, 0.0), 1.0)) for _, p in ps for d in (-slack, slack)]), _ACCURACY).alias(f"q{i}")
-        for i, ps in wanted.items()]).first()  # one sketch per column
+        for i, ps in wanted.items()], (F.lit(None) if also is None else also).alias("also")).first()  # one sketch per column
     brackets = {(i, j): tuple(sketch[f"q{i}"][2 * k:2 * k + 2]) if sketch[f"q{i}"] else (None, None)
                 for i, ps in wanted.items() for k, (j, _) in enumerate(ps)}
-    measures = []
+    return brackets, sketch["also"]
+
+
+def _brackets(rows: DataFrame, columns: list[str], targets: list[tuple[int, int, float]], brackets: dict,
+              weighted: bool) -> tuple[dict, dict]:
+    """(bracket per target, (column values, values below the bracket, values in it) per target) in one aggregation."""
+    brackets, measures = dict(brackets), []
+
+    def counted(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)) if weighted else F.count_if(test)
+
     for i, j, _ in targets:
-        x, (low, high) = _number(df, columns[i]), brackets[i, j]
-        measures += [F.count(x).alias(f"n{i}_{j}"),
-                     (F.lit(0) if low is None else F.count_if(x < low)).alias(f"b{i}_{j}"),
-                     (F.count(x) if low is None else F.count_if(x <= high)).alias(f"u{i}_{j}")]
-    counted = df.agg(*measures).first()
+        x = F.when(F.col("column") == columns[i], F.col("number")) if weighted else _number(rows, columns[i])
+        low, high = brackets[i, j]
+        measures += [counted(x.isNotNull()).alias(f"n{i}_{j}"),
+                     (F.lit(0) if low is None else counted(x < low)).alias(f"b{i}_{j}"),
+                     counted(x.isNotNull() if low is None else x <= high).alias(f"u{i}_{j}")]
+    counts_of = rows.agg(*measures).first()
     totals = {}
     for i, j, p in targets:
-        n, below, upto = counted[f"n{i}_{j}"], counted[f"b{i}_{j}"], counted[f"u{i}_{j}"]
+        n, below, upto = counts_of[f"n{i}_{j}"], counts_of[f"b{i}_{j}"], counts_of[f"u{i}_{j}"]
         position = p * max(n - 1, 0)
         if not below <= int(position) or not -int(-position // 1) < upto:
             brackets[i, j], below, upto = (None, None), 0, n
@@ -177,40 +226,41 @@ def _brackets(df: DataFrame, columns: list[str], targets: list[tuple[int, int, f
 def min_max(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """column, min, max, avg, median, all as text; avg and median only for numeric columns."""
     columns = columns or df.columns
-    scalars = _stack(df, columns, lambda c: _extremes(df, c, approx))
     if approx:
-        return scalars
-    medians = quantiles(df, columns, {"q": 0.5})
-    joined = scalars.join(F.broadcast(medians), "column", "left")
+        return _stack(df, columns, lambda c: _extremes(df, c, approx))
+    medians, rows = _quantiles(df, columns, {"q": 0.5}, also=_described(columns, lambda c: _extremes(df, c, approx)))
+    joined = _listed(df, columns, rows, lambda c: _extremes(df, c, approx)).join(F.broadcast(medians), "column", "left")
     return joined.select("column", "min", "max", "avg", F.col("q").cast("string").alias("median"))
 
 
 def _extremes(df: DataFrame, name: str, approx: bool) -> list[Column]:
     dtype = df.schema[name].dataType
     number = _number(df, name)
-    found = [as_text(F.min(field(name)), dtype).alias("min"), as_text(F.max(field(name)), dtype).alias("max"),
-             F.avg(number).cast("string").alias("avg")]
+    ordered = "map<" not in dtype.simpleString()  # maps have no order
+    found = [(as_text(f(field(name)), dtype) if ordered else F.lit(None).cast("string")).alias(n)
+             for f, n in ((F.min, "min"), (F.max, "max"))] + [
+        F.avg(number).cast("string").alias("avg")]
     return found + [F.percentile_approx(number, 0.5).cast("string").alias("median")] if approx else found
 
 
 def _moments(df: DataFrame, name: str) -> list[Column]:
     number = _number(df, name)
-    return [F.stddev(number).alias("stddev"), F.variance(number).alias("variance"),
+    return [F.avg(number).alias("mean"), F.stddev(number).alias("stddev"), F.variance(number).alias("variance"),
             F.skewness(number).alias("skewness"), F.kurtosis(number).alias("kurtosis")]
 
 
 def statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, stddev, variance, skewness, kurtosis, p25, p75 of the numeric columns."""
+    """column, mean, stddev, variance, skewness, kurtosis, p25, p75 of the numeric columns."""
     columns = [c for c in columns or df.columns if isinstance(df.schema[c].dataType, NUMERIC)]
-    moments = _stack(df, columns, lambda c: _moments(df, c))
-    quarters = quantiles(df, columns, {"p25": 0.25, "p75": 0.75})
-    return moments.join(F.broadcast(quarters), "column", "left")
+    quarters, rows = _quantiles(df, columns, {"p25": 0.25, "p75": 0.75}, also=_described(columns, lambda c: _moments(df, c)))
+    return _listed(df, columns, rows, lambda c: _moments(df, c)).join(F.broadcast(quarters), "column", "left")
 
 
 def profile(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES, approx: bool = False) -> DataFrame:
     """The full profile, one row per column.
 
-    The exact form writes the value counts to the shared folder once, because two measures read them.
+    The exact form reads the rows twice: for the value counts, written to the shared folder once because several
+    measures read them, and for all other aggregates together.
     """
     columns = columns or df.columns
 
@@ -218,7 +268,7 @@ def profile(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES
         return [F.lit(df.schema[c].dataType.simpleString()).alias("type"),
                 F.count(F.lit(1)).alias("row_count"), F.count_if(field(c).isNull()).alias("null_count"),
                 F.count_if(trimmed(_text(df, c)) == "").alias("empty_count"),
-                *_extremes(df, c, approx), F.avg(_number(df, c)).alias("mean"), *_moments(df, c)]
+                *_extremes(df, c, approx), *_moments(df, c)]
 
     def sketches(c: str) -> list[Column]:
         number = _number(df, c)
@@ -235,8 +285,9 @@ def profile(df: DataFrame, columns: list[str] | None = None, k: int = TOP_VALUES
         top = top_values(values, k).groupBy("column").agg(
             F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct("place", "value", "n"))),
                                            lambda e: F.struct(e["value"], e["n"]))).alias("top_values"))
-        quarters = quantiles(df, columns, {"p25": 0.25, "q": 0.5, "p75": 0.75})
-        whole = _stack(df, columns, scalars)
+        quarters, rows = _quantiles(df, columns, {"p25": 0.25, "q": 0.5, "p75": 0.75}, values=values,
+                                    also=_described(columns, scalars))
+        whole = _listed(df, columns, rows, scalars)
         # each right side has one row per column
         for part in (_unique_of(values), top, quarters):
             whole = whole.join(F.broadcast(part), "column", "left")
@@ -312,8 +363,12 @@ def anomalies(df: DataFrame, profiled: DataFrame, columns: list[str] | None = No
     return df.crossJoin(F.broadcast(known)).select(*[field(c) for c in df.columns], listed.alias(target))
 
 
-def scores(df: DataFrame, profiled: DataFrame, rules: list[QualityRule] | None = None) -> DataFrame:
-    """metric, score: completeness, uniqueness, validity (when rules are given) and their mean as overall."""
+def scores(df: DataFrame, profiled: DataFrame | None = None, rules: list[QualityRule] | None = None) -> DataFrame:
+    """metric, score: completeness, uniqueness, validity (when rules are given) and their mean as overall.
+
+    Without a profile only the counts that the scores need are taken."""
+    if profiled is None:
+        profiled = counts(df).join(F.broadcast(unique_counts(df)), "column")  # a row per column
     totals = profiled.agg(
         (F.lit(1.0) - F.try_divide(F.sum("null_count"), F.sum("row_count"))).alias("completeness"),
         F.avg(F.try_divide(F.col("unique_count"), F.col("row_count") - F.col("null_count"))).alias("uniqueness"))

@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from millrace.functions.columns import field
+from millrace.operators.aggregates import Agg, agg_column
 
-MAX_PIVOT_COLUMNS = 10_000
-
-
-def pivot(df: DataFrame, row_fields: list[str], column_field: str, value_field: str, function: str = "Sum",
-          values: list | None = None) -> DataFrame:
-    """Rows to columns. Pass ``values`` to save the pass that looks up the distinct column values."""
-    aggregates = {"Sum": F.sum, "Min": F.min, "Max": F.max, "Average": F.avg, "Count": F.count}
-    if values is None:
-        found = df.select(field(column_field).alias("v")).distinct().orderBy("v").limit(MAX_PIVOT_COLUMNS + 1)
-        values = [row["v"] for row in found.collect()]
-        if len(values) > MAX_PIVOT_COLUMNS:
-            raise ValueError(f"{column_field!r} has more than {MAX_PIVOT_COLUMNS} values; pass the ones to keep")
-    return (
-        df.groupBy(*[field(r) for r in row_fields])
-        .pivot(column_field, values)
-        .agg(aggregates[function](field(value_field)))
-    )
+
+def pivot(df: DataFrame, row_fields: list[str], column_field: str, value_field: str | None = None, function: str = "Sum",
+          values: list | None = None, order: tuple[str, ...] | list[str] = (), expression: str | None = None) -> DataFrame:
+    """Rows to columns by any aggregate function; First and Last need ``order``, Custom an ``expression``.
+
+    Pass ``values`` to save the pass that looks up the distinct column values; without them Spark stops at
+    ``spark.sql.pivotMaxValues``.
+    """
+    cell = agg_column(Agg(function, value_field, order=tuple(order), expression=expression))
+    return df.groupBy(*[field(r) for r in row_fields]).pivot(column_field, values).agg(cell)
 
 
 def unpivot(df: DataFrame, key_fields: list[str], value_fields: list[str], name: str, value: str) -> DataFrame:

@@ -123,7 +123,9 @@ def _rounded(value: Column, dtype: T.DataType, kind: str) -> _Write:
     if kind == "Round":
         result = F.bround(number, 0)
     else:
-        result = (F.floor if kind == "Floor" else F.ceil)(number).cast("double")
+        # a larger double is whole already, and the functions go through bigint; NaN and infinities are not below it
+        whole = (F.floor if kind == "Floor" else F.ceil)(number).cast("double")
+        result = F.when(F.abs(number) < float(2**53), whole).otherwise(number.cast("double"))
     if isinstance(dtype, NUMERIC):
         return _Write(result, T.DoubleType(), value.isNotNull())
     text = F.coalesce(as_text(result, T.DoubleType()), as_text(value, dtype))

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.operators import joins, quality_rules, reshape, schema_checks, windows
+from millrace.operators import contracts, enrichment, joins, profiling, quality_rules, reshape, schema_checks, windows
 from millrace.operators.aggregates import Agg, Measure, aggregate, summarize
 from millrace.operators.filters import apply_filter
 from millrace.operators.mapping import apply_mapping
@@ -67,6 +67,13 @@ STEPS: dict[str, Callable[[DataFrame, dict, Tables], DataFrame]] = {
     "unpivot": lambda df, c, t: reshape.unpivot(df, **c),
     "window": lambda df, c, t: windows.apply_window(df, **c),
     "mask": lambda df, c, t: mask_data(df, {n: Mask(**m) for n, m in c["masks"].items()}),
+    "calculate": lambda df, c, t: enrichment.enrich_calculated(df, **c),
+    "entities": lambda df, c, t: enrichment.enrich_entities(df, **c),
+    "sentiment": lambda df, c, t: enrichment.enrich_sentiment(df, **c),
+    "contract": lambda df, c, t: contracts.check(df, contracts.Contract(
+        c["name"], schema_checks.DataSchema.from_dict(c["schema"]),
+        [quality_rules.QualityRule.from_dict(r) for r in c.get("rules", [])])),
+    "profile": lambda df, c, t: profiling.profile(df, **c),
     "validate": lambda df, c, t: schema_checks.validate(df, schema_checks.DataSchema.from_dict(c["schema"])),
     "quality": lambda df, c, t: quality_rules.validate(df, [quality_rules.QualityRule.from_dict(r) for r in c["rules"]]),
 }
@@ -83,17 +90,32 @@ def compile_job(spark: SparkSession, job: Job, tables: Tables | None = None) ->
     return df
 
 
-def run_job(spark: SparkSession, job: Job, tables: Tables | None = None) -> DataFrame:
-    """Compile, write to the destination in one action, and return the run record (one row)."""
-    plan = compile_job(spark, job, tables)
+def run_job(spark: SparkSession, job: Job, tables: Tables | None = None, records: str | None = None,
+            keep_going: bool = False) -> DataFrame:
+    """Compile, write to the destination in one action, and return the run record (one row).
+
+    A failed run has the status Failed, no processed rows and the error's message. ``records`` is a folder to which
+    the record is appended. After that a failure is raised, unless ``keep_going`` is set.
+    """
     started = spark.range(1).select(F.current_timestamp().alias("t")).first()["t"]
-    target = job.destination or {}
-    if "table" in target:
-        rows = sinks.load_table(plan, target["table"], target.get("create", False), target.get("truncate", False),
-                                target.get("path"))
-    else:
-        rows = sinks.write_files(plan, target["path"], target.get("format", "parquet"), target.get("mode", "append"),
-                                 target.get("metadata", False))
-    return spark.range(1).select(
-        F.lit(job.name).alias("job"), F.lit("Completed").alias("status"), F.lit(started).alias("started_at"),
-        F.current_timestamp().alias("ended_at"), F.lit(rows).cast("bigint").alias("processed"))
+    rows, failure = 0, None
+    try:
+        plan, target = compile_job(spark, job, tables), job.destination or {}
+        if "table" in target:
+            rows = sinks.load_table(plan, target["table"], target.get("create", False), target.get("truncate", False),
+                                    target.get("path"))
+        else:
+            rows = sinks.write_files(plan, target["path"], target.get("format", "parquet"), target.get("mode", "append"),
+                                     target.get("metadata", False))
+    except Exception as error:  # noqa: BLE001 - whatever stops a run is recorded
+        failure = error
+    record = spark.range(1).select(
+        F.lit(job.name).alias("job"), F.lit("Failed" if failure else "Completed").alias("status"),
+        F.lit(started).alias("started_at"), F.current_timestamp().alias("ended_at"),
+        F.lit(rows).cast("bigint").alias("processed"),
+        F.lit(str(failure) if failure else None).cast("string").alias("message"))
+    if records:
+        record.write.mode("append").parquet(records)
+    if failure and not keep_going:
+        raise failure
+    return record

@@ -109,12 +109,39 @@ def create_statement(kind: str, table: str, schema: T.StructType) -> str:
     return f"CREATE TABLE {table} ({columns})"
 
 
-def load_jdbc(df: DataFrame, url: str, table: str, options: dict[str, str] | None = None, truncate: bool = False,
-              partitions: int | None = None) -> int:
+def jdbc_write_options(url: str, table: str, options: dict[str, str] | None = None) -> dict[str, str]:
+    """Options of a JDBC load; ``truncate`` keeps an existing table's own column types."""
+    return {"url": url, "dbtable": table, "batchsize": str(BATCH_ROWS), "truncate": "true", **(options or {})}
+
+
+def _driver_connection(spark, url: str, options: dict[str, str] | None):
+    properties = spark._jvm.java.util.Properties()
+    for key, value in (options or {}).items():
+        properties.setProperty(key, value)
+    return spark._jvm.java.sql.DriverManager.getConnection(url, properties)
+
+
+def ensure_jdbc_table(connection, kind: str, table: str, schema: T.StructType, create: bool) -> None:
+    """Create a missing table with the database's own column types if asked; otherwise a missing table is an error."""
+    *place, name = table.split(".")
+    found = connection.getMetaData().getTables(None, place[-1] if place else None, name, None)
+    if found.next():
+        return
+    if not create:
+        raise ValueError(f"table {table!r} does not exist")
+    connection.createStatement().executeUpdate(create_statement(kind, table, schema))
+
+
+def load_jdbc(df: DataFrame, url: str, table: str, kind: str, options: dict[str, str] | None = None, create: bool = False,
+              truncate: bool = False, partitions: int | None = None) -> int:
     """Insert rows over JDBC in batches. Each partition is one transaction, so the load as a whole is not."""
+    connection = _driver_connection(df.sparkSession, url, options)
+    try:
+        ensure_jdbc_table(connection, kind, table, df.schema, create)
+    finally:
+        connection.close()
     counted, seen = _counted(df if partitions is None else df.coalesce(partitions))
-    counted.write.format("jdbc").options(url=url, dbtable=table, batchsize=str(BATCH_ROWS), truncate="true",
-                                         **(options or {})) \
+    counted.write.format("jdbc").options(**jdbc_write_options(url, table, options)) \
         .mode("overwrite" if truncate else "append").save()
     return seen.get["rows"]
 

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from millrace.functions.columns import field
-from millrace.operators import changes
 from millrace.operators.aggregates import Agg, agg_column
 from millrace.operators.rules import Rule, apply_rules
-from millrace.sources import sinks
+from millrace.streaming.targets import ChangeTarget
 
 
 def transform(stream: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -20,7 +19,7 @@ def transform(stream: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def window_aggregate(stream: DataFrame, time: str, size: str, group_by: str | None, outputs: dict[str, Agg],
-                     delay: str = "10 minutes") -> DataFrame:
+                     delay: str) -> DataFrame:
     """Tumbling windows aligned to the epoch: window_start, window_end, the group field and the outputs.
 
     Rows later than ``delay`` behind the newest event time are dropped, and a window is emitted once it can no
@@ -34,7 +33,7 @@ def window_aggregate(stream: DataFrame, time: str, size: str, group_by: str | No
 
 
 def join_streams(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_time: str, right_time: str,
-                 within: str, delay: str = "10 minutes", tiles: int = 1) -> DataFrame:
+                 within: str, delay: str, tiles: int = 1) -> DataFrame:
     """Inner equi-join of rows at most ``within`` apart; both watermarks bound the join state.
 
     Clashing right columns get a ``right_`` prefix. For keys that hold a large share of a stream, ``tiles`` spreads
@@ -65,15 +64,11 @@ def process_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None],
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def subscribe_changes(log: DataFrame, table: str, keys: list[str], checkpoint: str,
-                      available_now: bool = True) -> StreamingQuery:
-    """Apply a stream of changes to a catalog table. Applying the same batch twice changes nothing more."""
-
-    session = log.sparkSession
+def subscribe_changes(log: DataFrame, target: ChangeTarget, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Apply a stream of changes to a target. A batch applied twice changes nothing more, a late change never undoes a
+    newer one, and only the buckets of changed keys are rewritten."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        target = batch.sparkSession.table(table)
-        sinks.swap_table(changes.apply(target, batch, keys), table)
-        session.catalog.refreshTable(table)  # the batch runs in a cloned session with its own relation cache
+        target.apply(batch, batch_id)
 
     return process_batches(log, handle, checkpoint, available_now)

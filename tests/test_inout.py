@@ -14,6 +14,7 @@ from millrace.operators.aggregates import Agg
 from millrace.operators.quality_rules import QualityRule
 from millrace.operators.rules import Rule, apply_rules
 from millrace.plans.job import Job, compile_job, run_job
+from millrace.streaming.targets import ChangeTarget
 from millrace.session import new_folder
 from millrace.sources import readers, sinks
 from millrace.streaming import operators as streams
@@ -202,10 +203,81 @@ def test_stream_join_bounds(spark, folder, tiles):
 
 
 def test_change_subscription_over_several_batches(spark, folder):
-    name = "subscribed_" + os.path.basename(folder).replace("-", "_")
-    sinks.swap_table(spark.createDataFrame([("a", 0.0), ("c", 7.0)], "k string, v double"), name)
-    stream = feed(spark, folder, [[(1, "a", at(0), 1.0), (2, "b", at(0), 2.0)], [(3, "a", at(1), -1.0), (4, "b", at(1), 3.0)]])
+    """Late changes, and an update older than its key's deletion, change nothing."""
+    target = ChangeTarget(spark, new_folder(spark, "target"), ["k"], 4) \
+        .create(spark.createDataFrame([("a", 0.0), ("c", 7.0), ("d", 1.0)], "k string, v double"))
+    stream = feed(spark, folder, [[(1, "a", at(3), 1.0), (2, "b", at(0), 2.0)], [(3, "a", at(4), -1.0), (4, "b", at(6), 3.0)],
+                                  [(5, "a", at(2), 9.0), (6, "b", at(5), 9.0), (7, "e", at(1), 5.0)]])
     log = stream.select(F.expr("IF(v < 0, 'delete', 'update')").alias("op"), "ts", F.col("id").alias("txn"), "k",
                         F.expr("IF(v < 0, NULL, named_struct('k', k, 'v', v))").alias("after"))
-    streams.subscribe_changes(log, name, ["k"], new_folder(spark, "sub")).awaitTermination()
-    assert rows(spark.table(name)) == [("b", 3.0), ("c", 7.0)]
+    streams.subscribe_changes(log, target, new_folder(spark, "sub")).awaitTermination()
+    expected = [("b", 3.0), ("c", 7.0), ("d", 1.0), ("e", 5.0)]
+    assert rows(target.rows()) == expected
+    batch = spark.createDataFrame([("update", at(9), 9, "c", ("c", 8.0))], "op string, ts timestamp, txn int, k string, after struct<k:string,v:double>")
+    target.apply(batch, 7)
+    target.apply(batch, 7)  # a batch that is handed over again
+    assert rows(target.rows()) == [("b", 3.0), ("c", 8.0), ("d", 1.0), ("e", 5.0)]
+    assert target.superseded().filter("version = 7").isEmpty()
+    rewritten = spark.read.parquet(f"{target.folder}/commits").filter("version = 8")
+    assert rewritten.count() == 1  # one key, one bucket
+
+
+class FakeConnection:
+    def __init__(self, exists):
+        self.exists, self.statements, self.asked = exists, [], None
+
+    def getMetaData(self):
+        return self
+
+    def getTables(self, catalog, schema, name, types):
+        self.asked = (schema, name)
+        return self
+
+    def next(self):
+        return self.exists
+
+    def createStatement(self):
+        return self
+
+    def executeUpdate(self, text):
+        self.statements.append(text)
+
+
+def test_a_missing_database_table_is_created_only_if_asked():
+    schema = T.StructType.fromDDL("a int, b string")
+    with pytest.raises(ValueError):
+        sinks.ensure_jdbc_table(FakeConnection(False), "MySql", "t", schema, create=False)
+    there, missing = FakeConnection(True), FakeConnection(False)
+    sinks.ensure_jdbc_table(there, "MySql", "t", schema, create=True)
+    sinks.ensure_jdbc_table(missing, "PostgreSql", "s.t", schema, create=True)
+    assert there.statements == [] and missing.asked == ("s", "t")
+    assert missing.statements == ['CREATE TABLE s.t ("a" INTEGER, "b" TEXT)']
+    options = sinks.jdbc_write_options("jdbc:x", "t", {"user": "u"})
+    assert options == {"url": "jdbc:x", "dbtable": "t", "batchsize": "1000", "truncate": "true", "user": "u"}
+
+
+def test_a_failed_run_is_recorded(spark, folder):
+    spark.createDataFrame([("x",)], "v string").write.parquet(folder + "/in")
+    job = Job.from_dict({"name": "j", "source": {"path": folder + "/in"}, "destination": {"path": folder + "/out"},
+                         "steps": [{"type": "aggregate", "config": {"outputs": {"n": {"function": "Custom", "expression": "sum(CAST(v AS INT))"}}}}]})
+    record = run_job(spark, job, records=folder + "/runs", keep_going=True).first()
+    assert (record["status"], record["processed"]) == ("Failed", 0) and "CAST_INVALID_INPUT" in record["message"]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        run_job(spark, job, records=folder + "/runs")
+    assert spark.read.parquet(folder + "/runs").filter("status = 'Failed'").count() == 2
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from millrace import session
+
+    conf = SimpleNamespace(get=lambda key, default=None: default)
+    context = SimpleNamespace(getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(SimpleNamespace(sparkContext=context, conf=conf))
+    context.master = "local[2]"
+    assert os.path.isdir(session.shared_folder(SimpleNamespace(sparkContext=context, conf=conf)))
+    conf.get = lambda key, default=None: "/shared" if key == "spark.checkpoint.dir" else default
+    context.master = "yarn"
+    assert session.shared_folder(SimpleNamespace(sparkContext=context, conf=conf)) == "/shared"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,8 +116,8 @@ def test_keyset_pages_cover_the_table(spark):
 
 
 def test_page_size_limits(spark):
-    assert paging.page(spark.range(500), ["id"], 1, 999).count() == 100
-    assert paging.page(spark.range(500), ["id"]).count() == 10
+    assert paging.page(spark.range(500), [], "id", 1, 999).count() == 100
+    assert paging.page(spark.range(500), [], "id").count() == 10
     assert paging.page_info(spark.range(25), 3, 10).first().asDict() == {
         "page_number": 3, "page_size": 10, "total_count": 25, "total_pages": 3, "has_previous": True, "has_next": False}
 
@@ -285,3 +286,46 @@ def test_keyed_enrichment_calls_once_per_key(spark):
     df = spark.createDataFrame([(1,), (1,), (2,), (None,)], "k bigint")
     out = enrichment.enrich_by_key(df, "k", lambda b: b.assign(twice=b["k"] * 2), "k bigint, twice bigint")
     assert rows(out) == [(None, None), (1, 2), (1, 2), (2, 4)]
+
+
+def test_pivot_takes_every_aggregate(spark):
+    df = spark.createDataFrame([(1, "x", 5, 2), (1, "x", 6, 1), (1, "y", 7, 3)], "k int, c string, v int, o int")
+    assert rows(reshape.pivot(df, ["k"], "c", "v", "First", order=["o"])) == [(1, 6, 7)]
+    assert rows(reshape.pivot(df, ["k"], "c", "v", "Last", order=["o"])) == [(1, 5, 7)]
+    assert rows(reshape.pivot(df, ["k"], "c", function="Custom", expression="sum(v * o)")) == [(1, 16, 21)]
+
+
+def test_sentiment_with_a_long_lexicon(spark):
+    lexicon = {f"word{i}": 1.0 for i in range(10_000)} | {"well-known": -4.0, "ünd": 2.0}
+    df = spark.createDataFrame([("Word7 word9999, WORD10000 well-known Ünd",), (None,), ("",), ("swell-known",)], "t string")
+    assert [r["sentiment_score"] for r in enrichment.enrich_sentiment(df, "t", lexicon).collect()] == [0.0, 0.0, 0.0, 0.0]
+    assert enrichment.enrich_sentiment(df, "t", {"known": 1.5}).agg(F.sum("sentiment_score")).first()[0] == 3.0
+
+
+def test_keyed_function_is_called_once_per_key(spark, tmp_path):
+    df = spark.range(200).selectExpr("IF(id < 150, 1, id) AS k")
+
+    def look_up(keys):
+        for k in keys["k"]:
+            with open(f"{tmp_path}/{k}", "a") as out:
+                out.write("x")
+        return keys.assign(v=keys["k"] * 2)
+
+    found = enrichment.enrich_by_key(df, "k", look_up, "k bigint, v bigint", max_group_rows=20)
+    assert found.filter("v = 2").count() == 150
+    assert {(tmp_path / str(k)).read_text() for k in (1, 150, 199)} == {"x"}
+    with pytest.raises(Exception, match="several rows"):
+        enrichment.enrich_by_key(df, "k", lambda keys: pd.concat([keys, keys]), "k bigint").collect()
+
+
+def test_tokenize_is_linear_in_the_length(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("ab1" * n,)], "t string")
+        start = time.perf_counter()
+        masking.mask_data(df, {"t": Mask("Tokenize")}).collect()
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(80_000) < 8 * max(seconds(20_000), 0.3)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import contracts, inference, profiling, quality_rules, schema_checks
+from millrace.operators import consistency, contracts, inference, profiling, quality_rules, schema_checks
 from millrace.operators.quality_rules import QualityRule
 from millrace.operators.schema_checks import DataSchema, SchemaField
 from tests.conftest import rows
@@ -167,3 +167,28 @@ def test_anomalies(spark):
     out = profiling.anomalies(later, profiling.profile(base), ["v", "s"]).select("id", F.inline("anomalies"))
     assert rows(out) == [(2, "v", "UnexpectedNull"), (3, "s", "OutOfRange"), (3, "s", "UnknownValue"),
                          (3, "v", "OutOfRange"), (3, "v", "Outlier"), (3, "v", "UnknownValue")]
+
+
+def test_map_columns_can_be_profiled_and_compared(spark):
+    df = spark.createDataFrame([(1, {"b": 1, "a": 2}), (2, None)], "id int, m map<string,int>")
+    other = spark.createDataFrame([(1, {"a": 2, "b": 1}), (2, {"c": 3})], "id int, m map<string,int>")
+    assert rows(profiling.min_max(df, ["m"]), "min", "avg") == [(None, None)]
+    assert rows(profiling.profile(df).filter("column = 'm'"), "unique_count", "null_count") == [(1, 1)]
+    assert rows(profiling.unique_counts(df, ["m", "id"])) == [("id", 2), ("m", 1)]
+    assert rows(consistency.metrics(df, other, ["id"])) == [(0, 1, 2)]
+
+
+def test_upsert_keeps_the_destination_types(spark):
+    source = spark.createDataFrame([(1, 5), (3, 7)], "id bigint, v bigint")
+    target = spark.createDataFrame([(1, 2), (2, 3)], "id int, v int")
+    merged = consistency.upsert(source, target, ["id"])
+    assert merged.schema == target.schema and rows(merged) == [(1, 5), (2, 3), (3, 7)]
+
+
+def test_profile_reads_the_table_twice(spark, tmp_path, monkeypatch):
+    """Once for the value counts, which are written, and once for everything else; nothing is left to the result."""
+    spark.range(50).selectExpr("id AS a", "id % 7 AS b", "CAST(id AS STRING) AS c").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    found = profiling.profile(df)
+    assert "parquet" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert rows(found, "column", "unique_count", "median") == [("a", 50, "24.5"), ("b", 7, "3.0"), ("c", 50, None)]

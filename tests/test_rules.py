@@ -235,3 +235,25 @@ def test_parse_int_is_strict(spark):
 def test_decimal_text_keeps_its_scale(spark):
     df = spark.createDataFrame([(Decimal("10.00"),)], "d decimal(10,2)").withColumn("s", F.col("d"))
     assert apply_mapping(df, [Mapping("d", "d", transformation="text")]).first()["d"] == "10.00"
+
+
+@pytest.mark.parametrize("rule,value,expected", [
+    ("Floor", 1e20, 1e20), ("Ceiling", -1e20, -1e20), ("Floor", float("inf"), float("inf")), ("Floor", -1.5, -2.0), ("Ceiling", 1.2, 2.0),
+    ("Floor", 2.0**53 + 2, 2.0**53 + 2)])
+def test_whole_numbers_beyond_bigint(spark, rule, value, expected):
+    df = spark.createDataFrame([(value,)], "v double")
+    assert apply_rules(df, [Rule("v", "o", rule)]).first()["o"] == expected
+
+
+def test_floor_of_nan_is_nan(spark):
+    out = apply_rules(spark.createDataFrame([(float("nan"),)], "v double"), [Rule("v", "o", "Floor")]).first()["o"]
+    assert out != out
+
+
+@pytest.mark.parametrize("spec,value,expected", [
+    ("F15", 1.123456789012345, "1.123456789012345"), ("N2", 1e30, "1" + ",000" * 10 + ".00"),
+    ("N2", float("nan"), "NaN"), ("F2", 1e27, "1" + "0" * 27 + ".00"), ("F2", 2.345, "2.35"), ("P1", 0.1234, "12.3 %"),
+    ("C2", -1234.5, "(¤1,234.50)"), ("#,##0.0", float("nan"), "NaN")])
+def test_number_formats_at_the_edge(spark, spec, value, expected):
+    df = spark.createDataFrame([(value,)], "v double")
+    assert apply_rules(df, [Rule("v", "o", "NumberFormat", format=spec)]).first()["o"] == expected

@@ -139,7 +139,7 @@ def test_split_lineage_walk(spark):
 def test_deep_page(spark, monkeypatch):
     df = spark.range(1000).repartition(6)
     monkeypatch.setattr(paging, "_DEEP", 100)
-    assert [r["id"] for r in paging.page(df, ["id"], 31, 20).collect()] == list(range(600, 620))
+    assert [r["id"] for r in paging.page(df, [], "id", 31, 20).collect()] == list(range(600, 620))
 
 
 @pytest.mark.parametrize("dtype", ["int", "bigint", "decimal(10,2)"])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import uuid
 
 from pyspark.sql import functions as F
 
 from millrace.operators.aggregates import Agg
 from millrace.operators.rules import Rule
-from millrace.plans.job import Job, compile_job, run_job
+from millrace.plans.job import Job, Step, compile_job, run_job
+from millrace.streaming.targets import ChangeTarget
 from millrace.session import new_folder
 from millrace.sources import readers, sinks
 from millrace.streaming import operators as streams
@@ -172,6 +175,18 @@ def job_record(spark, sf_dir):
     return record.select("job", "status", "processed")
 
 
+@query("job_record_failed", """SELECT 'order bands' AS job, 'Failed' AS status, CAST(0 AS BIGINT) AS processed, true AS told,
+    count(*) > 0 AS had_rows FROM orders""")
+def job_record_failed(spark, sf_dir):
+    """A job whose rows cannot be converted leaves a record of its failure."""
+    job = replace(_job(sf_dir, {"path": new_folder(spark, "job"), "format": "parquet"}), steps=[
+        Step("aggregate", {"outputs": {"x": {"function": "Custom", "expression": "sum(CAST(o_orderstatus AS INT))"}}})])
+    record = run_job(spark, job, keep_going=True)
+    rows = table(spark, sf_dir, "orders").agg((F.count(F.lit(1)) > 0).alias("had_rows"))
+    return record.crossJoin(F.broadcast(rows)).select(  # one row each
+        "job", "status", "processed", F.col("message").contains("CAST_INVALID_INPUT").alias("told"), "had_rows")
+
+
 # -- streams ----------------------------------------------------------------------------------------------------
 
 def order_stream(spark, sf_dir):
@@ -202,7 +217,7 @@ def stream_window_agg(spark, sf_dir):
     out = streams.window_aggregate(stream, "ts", "1 hour", "event_type", {
         "n": Agg("Count"), "total": Agg("Sum", "amount"), "low": Agg("Min", "value"), "high": Agg("Max", "value"),
         "mean": Agg("Custom", expression="avg(CAST(amount AS DECIMAL(20,10)))"), "first_id": Agg("First", "event_id"),
-        "last_id": Agg("Last", "event_id")})
+        "last_id": Agg("Last", "event_id")}, "10 minutes")
     found = drained(spark, out, "stream-window")
     return found.select(
         F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n",
@@ -217,7 +232,7 @@ def stream_join(spark, sf_dir):
     columns = ["event_id", "user_id", "ts"]
     clicks = event_stream(spark, sf_dir).filter("event_type = 'click'").select(*columns)
     purchases = event_stream(spark, sf_dir).filter("event_type = 'purchase'").select(*columns)
-    joined = streams.join_streams(clicks, purchases, "user_id", "user_id", "ts", "ts", "2 HOURS")
+    joined = streams.join_streams(clicks, purchases, "user_id", "user_id", "ts", "ts", "2 HOURS", "10 minutes")
     return drained(spark, joined.select("event_id", "right_event_id", "user_id"), "stream-join")
 
 
@@ -238,12 +253,16 @@ def stream_process_batch(spark, sf_dir):
     SELECT user_id, event_type, value FROM last WHERE n = 1 AND event_type <> 'error'
     UNION ALL SELECT c_custkey, 'none', 0.0 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
 def cdc_stream(spark, sf_dir):
-    name = _table_name("users")
-    sinks.swap_table(table(spark, sf_dir, "customer").selectExpr(
-        "c_custkey AS user_id", "'none' AS event_type", "0.0D AS value"), name)
-    log = event_stream(spark, sf_dir).select(
+    """Several micro-batches in no order of time: the events lie in files by the hash of their id."""
+    target = ChangeTarget(spark, new_folder(spark, "cdc-target"), ["user_id"], 16).create(
+        table(spark, sf_dir, "customer").selectExpr("c_custkey AS user_id", "'none' AS event_type", "0.0D AS value"))
+    source = new_folder(spark, "cdc-source")
+    events = table(spark, sf_dir, "events")
+    events.repartition(4, "event_id").write.parquet(source)
+    stream = readers.stream_files(spark, source, events.schema, maxFilesPerTrigger=1)
+    log = stream.withColumn("ts", F.col("ts").cast("timestamp")).select(
         F.expr("IF(event_type = 'error', 'delete', 'update')").alias("op"), "ts", F.col("event_id").alias("txn"), "user_id",
         F.expr("IF(event_type = 'error', NULL, named_struct('user_id', user_id, 'event_type', event_type, 'value', value))")
         .alias("after"))
-    streams.subscribe_changes(log, name, ["user_id"], new_folder(spark, "cdc-checkpoint")).awaitTermination()
-    return spark.table(name)
+    streams.subscribe_changes(log, target, new_folder(spark, "cdc-checkpoint")).awaitTermination()
+    return target.rows()

@@ -57,10 +57,9 @@ def profile_top_values(spark, sf_dir):
 def profile_statistics(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     found = profiling.statistics(lines, ["l_quantity", "l_extendedprice"])
-    means = profiling.min_max(lines, ["l_quantity", "l_extendedprice"], approx=True).select("column", "avg")
-    return found.join(means, "column").select(
+    return found.select(
         "column", F.round("stddev", 4).alias("stddev"),
-        F.round(F.col("variance") / F.col("avg").cast("double"), 4).alias("variance_ratio"),
+        F.round(F.col("variance") / F.col("mean"), 4).alias("variance_ratio"),
         *[F.round(c, 4).alias(c) for c in ("skewness", "kurtosis", "p25", "p75")])
 
 
@@ -119,16 +118,29 @@ _SCORES = f"""SELECT 1 - (5 * count(*) - count(c_custkey) - count(c_name) - coun
     FROM ({_SCORES}))""")
 def profile_score(spark, sf_dir):
     customers = customer_nulls(spark, sf_dir)
-    rated = profiling.scores(customers, profiling.profile(customers), CUSTOMER_RULES[:3])
+    rated = profiling.scores(customers, rules=CUSTOMER_RULES[:3])
     return rated.withColumn("score", F.round("score", 6))
 
 
-@query("profile_report", _union(_CUSTOMER_COLUMNS, f"""
-      SELECT 'profile' AS section, '@' AS "column", 'row_count' AS metric, CAST(count(*) AS VARCHAR) AS value FROM {CUSTOMER_NULLS}
-      UNION ALL SELECT 'profile', '@', 'null_count', CAST(count(*) - count(@) AS VARCHAR) FROM {CUSTOMER_NULLS}
-      UNION ALL SELECT 'profile', '@', 'empty_count', '0'
-      UNION ALL SELECT 'profile', '@', 'unique_count', CAST(count(DISTINCT @) AS VARCHAR) FROM {CUSTOMER_NULLS}""")
-      + " UNION ALL SELECT 'issue', 'c_nationkey', 'DuplicateKey', 'Error'")
+_REPORT = f"""
+      SELECT 'profile' AS section, '@' AS "column", 'row_count' AS metric, CAST(NULL AS VARCHAR) AS text, CAST(count(*) AS DOUBLE) AS number
+        FROM {CUSTOMER_NULLS}
+      UNION ALL SELECT 'profile', '@', 'null_count', NULL, count(*) - count(@) FROM {CUSTOMER_NULLS}
+      UNION ALL SELECT 'profile', '@', 'empty_count', NULL, 0
+      UNION ALL SELECT 'profile', '@', 'unique_count', NULL, count(DISTINCT @) FROM {CUSTOMER_NULLS}"""
+_REPORT_NUMBERS = f""" UNION ALL SELECT 'profile', '@', metric, NULL, round(CAST(x AS DOUBLE), 4) FROM (
+      SELECT unnest(['min', 'max', 'avg', 'median']) AS metric, unnest([CAST(min(@) AS DOUBLE), CAST(max(@) AS DOUBLE),
+        CAST(sum(CAST(@ AS DECIMAL(18,2))) AS DOUBLE) / count(@), median(CAST(@ AS DOUBLE))]) AS x FROM {CUSTOMER_NULLS})"""
+_REPORT_TEXTS = f""" UNION ALL SELECT 'profile', '@', metric, x, NULL FROM (
+      SELECT unnest(['min', 'max', 'avg', 'median']) AS metric, unnest([min(@), max(@), NULL, NULL]) AS x FROM {CUSTOMER_NULLS})"""
+
+
+@query("profile_report", " UNION ALL ".join(
+    (_REPORT + (_REPORT_TEXTS if c in ("c_name", "c_mktsegment") else _REPORT_NUMBERS)).replace("@", c) for c in _CUSTOMER_COLUMNS)
+    + f""" UNION ALL SELECT 'issue', 'c_nationkey', 'DuplicateKey', 'Error', NULL
+      UNION ALL SELECT 'score', NULL, unnest(['completeness', 'uniqueness', 'validity', 'overall']), NULL, unnest([round(completeness, 4),
+        round(uniqueness, 4), round(validity, 4), round((completeness + uniqueness + validity) / 3, 4)]) FROM ({_SCORES})""")
 def profile_report(spark, sf_dir):
     lines = profiling.report(customer_nulls(spark, sf_dir), CUSTOMER_RULES[:3], ["c_custkey", "c_nationkey"])
-    return lines.filter("section = 'issue' OR metric IN ('row_count', 'null_count', 'empty_count', 'unique_count')")
+    number = F.round(F.col("value").try_cast("double"), 4)
+    return lines.select("section", "column", "metric", F.when(number.isNull(), F.col("value")).alias("text"), number.alias("number"))

@@ -43,16 +43,26 @@ _mask("mask_partial", _from("part"), ["p_partkey", "p_name"],
       {"p_name": Mask("PartialMask", {"start": 2, "end": 6})},
       """SELECT p_partkey, CASE WHEN length(p_name) <= 8 THEN repeat('*', length(p_name)) ELSE
          left(p_name, 2) || repeat('*', length(p_name) - 8) || right(p_name, 6) END AS p_name FROM part""")
-_mask("mask_tokenize", _from("supplier"), ["s_suppkey", "s_name"], {"s_name": Mask("Tokenize", {"salt": _SALT})},
-      f"""SELECT s_suppkey, array_to_string(list_transform(range(1, length(s_name) + 1), lambda i: CASE
-          WHEN regexp_matches(s_name[i], '^[0-9]$') THEN '0123456789'[(b[(i - 1) % 32 + 1] % 10 + 1)::INT]
-          WHEN regexp_matches(s_name[i], '^[A-Z]$') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'[(b[(i - 1) % 32 + 1] % 26 + 1)::INT]
-          WHEN regexp_matches(s_name[i], '^[a-z]$') THEN 'abcdefghijklmnopqrstuvwxyz'[(b[(i - 1) % 32 + 1] % 26 + 1)::INT]
-          ELSE s_name[i] END), '') AS s_name
-        FROM (SELECT s_suppkey, s_name, list_transform(range(0, 32), lambda k:
+
+
+def _tokenized(name: str, key: str, value: str) -> str:
+    return f"""SELECT {key}, array_to_string(list_transform(range(1, length({value}) + 1), lambda i: CASE
+          WHEN regexp_matches({value}[i], '^[0-9]$') THEN '0123456789'[(b[(i - 1) % 32 + 1] % 10 + 1)::INT]
+          WHEN regexp_matches({value}[i], '^[A-Z]$') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'[(b[(i - 1) % 32 + 1] % 26 + 1)::INT]
+          WHEN regexp_matches({value}[i], '^\\p{{L}}$') THEN 'abcdefghijklmnopqrstuvwxyz'[(b[(i - 1) % 32 + 1] % 26 + 1)::INT]
+          ELSE {value}[i] END), '') AS {value}
+        FROM (SELECT {key}, {value}, list_transform(range(0, 32), lambda k:
                 (instr('0123456789abcdef', substr(h, 2 * k + 1, 1)) - 1) * 16
                 + instr('0123456789abcdef', substr(h, 2 * k + 2, 1)) - 1) AS b
-              FROM (SELECT *, {_hash('s_name')} AS h FROM supplier))""")
+              FROM (SELECT *, {_hash(value)} AS h FROM {name}))"""
+
+
+_mask("mask_tokenize", _from("supplier"), ["s_suppkey", "s_name"], {"s_name": Mask("Tokenize", {"salt": _SALT})},
+      _tokenized("supplier", "s_suppkey", "s_name"))
+_mask("mask_tokenize_text", _from("conversations"), ["conv_id", "turn", "text"], {"text": Mask("Tokenize", {"salt": _SALT})},
+      _tokenized("conversations", "conv_id, turn", "text"))
+_mask("mask_tokenize_documents", _from("documents"), ["doc_id", "text"], {"text": Mask("Tokenize", {"salt": _SALT})},
+      _tokenized("documents", "doc_id", "text"))
 _mask("mask_randomize", _from("customer"), ["c_custkey", "c_name"],
       {"c_name": Mask("Randomize", {"salt": _SALT, "domain": ["Ada", "Bo", "Cy", "Di", "Ed"]})},
       f"""SELECT c_custkey, ['Ada', 'Bo', 'Cy', 'Di', 'Ed'][{_number('c_name')} % 5 + 1] AS c_name FROM customer""")

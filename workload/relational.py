@@ -216,6 +216,21 @@ def pivot(spark, sf_dir):
     return wide.select("o_orderpriority", *[F.col(c).cast("double").alias(c) for c in "fop"])
 
 
+@query("pivot_first", """SELECT o_custkey, arg_min(o_orderkey, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderstatus = 'F') AS f,
+    arg_min(o_orderkey, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderstatus = 'O') AS o FROM orders GROUP BY o_custkey""")
+def pivot_first(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").selectExpr("o_custkey", "lower(o_orderstatus) AS status", "o_orderkey", "o_orderdate")
+    return reshape.pivot(orders, ["o_custkey"], "status", "o_orderkey", "First", ["f", "o"], order=["o_orderdate", "o_orderkey"])
+
+
+@query("pivot_custom", """SELECT o_orderpriority, count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'F') AS f,
+    count(DISTINCT o_custkey) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority""")
+def pivot_custom(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderpriority", "lower(o_orderstatus) AS status", "o_custkey")
+    return reshape.pivot(orders, ["o_orderpriority"], "status", function="Custom", values=["f", "p"],
+                         expression="nullif(count(DISTINCT o_custkey), 0)").fillna(0, ["f", "p"])
+
+
 @query("unpivot", """SELECT c_custkey, 'segment' AS name, nullif(c_mktsegment, 'BUILDING') AS value FROM customer
     UNION ALL SELECT c_custkey, 'name', c_name FROM customer""")
 def unpivot(spark, sf_dir):
@@ -290,7 +305,7 @@ def sort_by(spark, sf_dir):
 @query("page_offset", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 50 OFFSET 100")
 def page_offset(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    return paging.page(orders, ["o_orderdate", "o_orderkey"], number=3, size=50)
+    return paging.page(orders, ["o_orderdate"], "o_orderkey", number=3, size=50)
 
 
 @query("page_offset_info", """SELECT 3 AS page_number, 50 AS page_size, count(*) AS total_count,
