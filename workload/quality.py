@@ -136,6 +136,7 @@ def infer_schema(spark, sf_dir):
 
 
 @query("infer_constraints", f"""
+    SELECT *, CAST(NULL AS INTEGER) AS min_items, CAST(NULL AS INTEGER) AS max_items FROM (
     SELECT 'c_custkey' AS field, 'Integer' AS type, true AS required, CAST(NULL AS INTEGER) AS min_length,
       CAST(NULL AS INTEGER) AS max_length, CAST(min(c_custkey) AS DOUBLE) AS minimum, CAST(max(c_custkey) AS DOUBLE) AS maximum,
       CAST(NULL AS VARCHAR) AS enum_values FROM {CUSTOMER_NULLS}
@@ -145,9 +146,16 @@ def infer_schema(spark, sf_dir):
     UNION ALL SELECT 'c_acctbal', 'Decimal', false, NULL, NULL, min(c_acctbal), max(c_acctbal), NULL FROM {CUSTOMER_NULLS}
     UNION ALL SELECT 'c_mktsegment', 'String', false, CAST(min(length(c_mktsegment)) AS INTEGER),
       CAST(max(length(c_mktsegment)) AS INTEGER), NULL, NULL, string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment)
-      FROM {CUSTOMER_NULLS}""")
+      FROM {CUSTOMER_NULLS})""")
 def infer_constraints(spark, sf_dir):
-    return _flat(inference.infer_fields(customer_nulls(spark, sf_dir))).drop("min_items", "max_items")
+    return _flat(inference.infer_fields(customer_nulls(spark, sf_dir)))
+
+
+@query("infer_items", """SELECT 'embedding' AS field, 'Array' AS type, true AS required, CAST(min(len(embedding)) AS INTEGER) AS min_items,
+    CAST(max(len(embedding)) AS INTEGER) AS max_items FROM embeddings""")
+def infer_items(spark, sf_dir):
+    found = inference.infer_fields(table(spark, sf_dir, "embeddings"), ["embedding"])
+    return found.select("field", "type", "required", "min_items", "max_items")
 
 
 # -- rules ------------------------------------------------------------------------------------------------------
