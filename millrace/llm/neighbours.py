@@ -29,7 +29,7 @@ CONFIDENCE = 0.95
 CELL = 4_000         # distinct vectors per cell that the tree aims at
 SAMPLE = 100_000     # projections that the upper tree is built on, about
 BLOCK = 200_000      # distinct vectors per block of a cell
-LEAF = 64            # vectors per leaf of a cell's own tree
+LEAF = 256           # vectors per leaf of a cell's own tree
 _TOLERANCE = 1e-9
 _FOUND = "h1 long, h2 long, score double, ids array<long>"
 
@@ -134,37 +134,47 @@ class Cell:
         self.ends = np.cumsum([len(m) for m in members])
         self.vectors, self.projected = vectors[self.order], projected[self.order]
 
-    def search(self, query: np.ndarray, point: np.ndarray, k: int, bound: float, stop: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and inner products of up to ``k`` nearest vectors found, ties with the last included.
+    def search(self, queries: np.ndarray, points: np.ndarray, k: int, bounds: np.ndarray, stop: float) -> list[tuple]:
+        """For each query the rows and inner products of up to ``k`` nearest vectors found, ties with the last included.
 
-        ``bound`` is a squared distance that the k-th neighbour is known not to exceed; ``stop`` the chi-square
-        quantile of the stopping test.
+        ``points`` are the queries' projections, ``bounds`` squared distances that their k-th neighbours are known not
+        to exceed, ``stop`` the chi-square quantile of the stopping test. Each turn, every query goes on to its next
+        nearest leaf; the queries at one leaf are compared with it together.
         """
-        far = self.tree.squared_distance(point)
-        base = self.norm ** 2 + float(query @ query)
-        rows, products, size = [], [], 0
-        for leaf in np.argsort(far, kind="stable"):
-            if far[leaf] > stop * bound:
+        bounds = bounds.astype(np.float64).copy()
+        base = self.norm ** 2 + (queries ** 2).sum(axis=1)
+        far = np.stack([self.tree.squared_distance(p) for p in points])
+        order = np.argsort(far, axis=1, kind="stable")
+        every = np.arange(len(queries))
+        found = [(np.empty(0, np.int64), np.empty(0))] * len(queries)
+        for turn in range(order.shape[1]):
+            at = order[:, turn]
+            going = far[every, at] <= stop * bounds
+            if not going.any():
                 break
-            begin, end = int(self.ends[leaf - 1]) if leaf else 0, int(self.ends[leaf])
-            gaps = ((self.projected[begin:end] - point) ** 2).sum(axis=1)
-            tried = begin + np.flatnonzero(gaps <= stop * bound)
-            found = self.vectors[tried] @ query
-            good = base - 2 * found <= bound * (1 + _TOLERANCE) + _TOLERANCE
-            if not good.any():
-                continue
-            rows.append(tried[good])
-            products.append(found[good])
-            size += len(rows[-1])
-            if size >= k:
-                every, values = np.concatenate(rows), np.concatenate(products)
-                least = np.partition(values, size - k)[size - k]
+            for leaf in np.unique(at[going]):
+                begin, end = int(self.ends[leaf - 1]) if leaf else 0, int(self.ends[leaf])
+                for who in np.array_split(own := every[going & (at == leaf)], -(-len(own) // 1024)):
+                    self._compare(who, begin, end, queries, points, k, bounds, base, stop, found)
+        return [self._exact(rows, query, k) for (rows, _), query in zip(found, queries)]
+
+    def _compare(self, who, begin, end, queries, points, k, bounds, base, stop, found) -> None:
+        projected = self.projected[begin:end]
+        gaps = (points[who] ** 2).sum(axis=1)[:, None] + (projected ** 2).sum(axis=1) - 2 * points[who] @ projected.T
+        products = queries[who] @ self.vectors[begin:end].T
+        limit = (bounds[who] * (1 + _TOLERANCE) + _TOLERANCE)[:, None]
+        good = (gaps <= stop * limit) & (base[who][:, None] - 2 * products <= limit)
+        for w in np.flatnonzero(good.any(axis=1)):
+            i, rows = who[w], np.flatnonzero(good[w])
+            rows, values = np.concatenate([found[i][0], begin + rows]), np.concatenate([found[i][1], products[w, rows]])
+            if len(rows) >= k:
+                least = np.partition(values, len(rows) - k)[len(rows) - k]
                 kept = values >= least - _TOLERANCE * max(1.0, abs(least))
-                rows, products, size = [every[kept]], [values[kept]], int(kept.sum())
-                bound = min(bound, max(0.0, base - 2 * float(least)))
-        if not rows:
-            return np.empty(0, np.int64), np.empty(0)
-        found = np.concatenate(rows)
+                rows, values = rows[kept], values[kept]
+                bounds[i] = min(bounds[i], max(0.0, base[i] - 2 * float(least)))
+            found[i] = rows, values
+
+    def _exact(self, found: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         exact = (self.vectors[found] * query).sum(axis=1)  # summed the same way wherever a vector lies
         if len(found) > k:
             kept = exact >= np.partition(exact, len(exact) - k)[len(exact) - k]
@@ -299,8 +309,8 @@ def _searcher(projection: Projection, wanted: int, stop: float):
             cell, ids = Cell(_matrix(entries["vector"]), projection), entries["ids"].to_list()
             vectors = _matrix(questions["vector"])
             points = projection.of_queries(vectors)
-            for h1, h2, query, point, bound in zip(questions["h1"], questions["h2"], vectors, points, questions["bound"]):
-                found, scores = cell.search(query, point, wanted, bound, stop)
+            searched = cell.search(vectors, points, wanted, questions["bound"].to_numpy(), stop)
+            for h1, h2, (found, scores) in zip(questions["h1"], questions["h2"], searched):
                 out += [(h1, h2, s, ids[r]) for r, s in zip(found, scores)]
         return pd.DataFrame(out, columns=["h1", "h2", "score", "ids"])
 
