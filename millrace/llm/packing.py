@@ -10,9 +10,9 @@ from __future__ import annotations
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.frames import add_columns, ready, without
+from millrace.llm.frames import add_columns, ready, without, written
 from millrace.llm.words import word_tokenizer
 
 WINDOW = 2048
@@ -113,20 +113,19 @@ def pack(pieces: DataFrame, documents: int, length: str = "length", window: int
          group: int = GROUP) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows of pieces no longer than ``window``.
 
-    ``documents`` (about how many documents there are) sets the number of groups. Every other column is carried.
-    An empty table gives no rows. Pieces of equal length go in any order.
+    ``documents`` (about how many documents there are) sets the number of groups. Only lengths go to the groups; the
+    pieces, written once, are joined to their places, so ids of any size pass through no group. An empty table gives no rows. Pieces of equal length go in any order.
     """
     ready(pieces.sparkSession)
     groups = max(1, -(-documents // group))
-    rows = without(pieces, ["sequence_id", "offset"]).withColumn(
-        "__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
-    carried = rows.columns[:-1]
-    schema = T.StructType([rows.schema[c] for c in carried]
-                          + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    rows = written(without(pieces, ["sequence_id", "offset"]).withColumn("__piece", F.monotonically_increasing_id()), "pieces")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sequences, offsets = best_fit_decreasing(frame[length].tolist(), window)
-        first = int(frame["__group"].iloc[0]) << 40
-        return frame[carried].assign(sequence_id=[first + s for s in sequences], offset=offsets)
-
-    return rows.groupBy("__group").applyInPandas(run, schema)
+        sequences, offsets = best_fit_decreasing(frame["need"].tolist(), window)
+        first = int(frame["group"].iloc[0]) << 40
+        return pd.DataFrame({"__piece": frame["piece"], "sequence_id": [first + s for s in sequences], "offset": offsets})
+
+    dealt = rows.select(F.col("__piece").alias("piece"), F.col(f"`{length}`").alias("need"),
+                        F.pmod(F.xxhash64("__piece"), F.lit(groups)).cast("int").alias("group"))
+    placed = dealt.groupBy("group").applyInPandas(run, "__piece long, sequence_id long, offset long")
+    return rows.join(placed, "__piece").drop("__piece")
