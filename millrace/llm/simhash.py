@@ -186,9 +186,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", d
 
 
 def keep_first(df: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (of repeated ids the first read), null ids last."""
+    """One row of each component: that of the smallest doc_id (of repeated ids the first read), null ids last.
+
+    The rows to drop are found without their texts, and they are usually the fewer, so a text moves only if there are
+    too many of them to broadcast."""
     columns = df.columns
     marked = mark(df, text)
-    kept = written(components_of(marked.select(doc_id, "__fp", "__row"), doc_id, distance)
-                   .select(F.col("first.row").alias("__row")).distinct(), "kept")
-    return marked.join(kept, "__row", "left_semi").select(*[f"`{c}`" for c in columns])
+    narrow = marked.select(doc_id, "__fp", "__row")
+    dropped = narrow.join(components_of(narrow, doc_id, distance), "__fp").filter(F.col("first.row") != F.col("__row"))
+    return marked.join(written(dropped.select("__row"), "dropped"), "__row", "left_anti").select(*[f"`{c}`" for c in columns])
