@@ -11,7 +11,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.session import new_folder
 
-SLICE_ROWS = 128  # texts held as Python objects at a time
+SLICE_ROWS = 128       # rows held as Python objects at a time
+SLICE_BYTES = 1 << 24  # and about so many bytes of them
 
 
 def ready(spark: SparkSession) -> None:
@@ -46,8 +47,7 @@ def add_columns(df: DataFrame, inputs: Sequence[str], fields: str, make: Callabl
     def run(batches):
         compute = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch):
                 made = compute(*[part.column(i).to_pylist() for i in range(n)])
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(made, types)]
                 yield pa.RecordBatch.from_arrays([part.column(n + i) for i in range(len(kept))] + arrays,
@@ -56,6 +56,17 @@ def add_columns(df: DataFrame, inputs: Sequence[str], fields: str, make: Callabl
     return read.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch):
+    """A batch in parts of at most SLICE_ROWS rows and, but for single rows, about SLICE_BYTES bytes."""
+    at = 0
+    while at < batch.num_rows:
+        part = batch.slice(at, SLICE_ROWS)
+        while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            part = part.slice(0, part.num_rows // 2)
+        yield part
+        at += part.num_rows
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: the rows go to a table in the shared folder and are read back from it."""
     path = new_folder(df.sparkSession, label)

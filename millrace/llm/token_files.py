@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from millrace.llm.frames import SLICE_ROWS, ready
+from millrace.llm.frames import SLICE_ROWS, ready, slices
 from millrace.llm.words import word_tokenizer
 
 BLOCK = 4096
@@ -45,7 +45,8 @@ def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     fits = rest.copy()
     fits[above] = 0
     if width:
-        bits = np.unpackbits(fits.view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
+        size = 2 if width <= 16 else 4
+        bits = np.unpackbits(fits.astype(f"<u{size}").view(np.uint8).reshape(-1, size), axis=1, count=width, bitorder="little")
         packed = np.packbits(bits.ravel(), bitorder="little").tobytes()
     else:
         packed = b""
@@ -60,9 +61,9 @@ def unpack_block(raw: bytes) -> np.ndarray:
     size = (count * width + 7) // 8
     if width:
         bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=count * width, bitorder="little")
-        wide = np.zeros((count, 32), np.uint8)
+        wide = np.zeros((count, 16 if width <= 16 else 32), np.uint8)
         wide[:, :width] = bits.reshape(count, width)
-        ids = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+        ids = np.packbits(wide, axis=1, bitorder="little").view(f"<u{wide.shape[1] // 8}").ravel().astype(np.uint32)
     else:
         ids = np.zeros(count, np.uint32)
     at += size
@@ -184,8 +185,7 @@ def write_files(df: DataFrame, folder: str, vocabulary: str, doc_id: str = "doc_
             if writer is None and batch.num_rows:
                 stream = system.open_output_stream(posixpath.join(path, name))
                 writer = Writer(stream)
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                piece = batch.slice(at, SLICE_ROWS)
+            for piece in slices(batch):
                 for key, value in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                     writer.add(key, tokenizer.encode(value) + end)
         if writer is not None:

@@ -8,19 +8,31 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
 
 MAX_WORDS = 400_000    # entries kept per worker process; a full table is emptied, which changes no result
 MAX_PIECES = 600_000
-_JOINED = 256          # pieces per call of the library
 
 # The vocabulary file's split pattern, for lower-case text of these letters
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: a printable byte stands for itself, the others for the code points from 256 on; as a
+    translation of the characters that plain pieces may hold."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x21, 0x100)}
+
+
+_LETTERS = _byte_letters()
+
+
 class WordTokenizer:
     """Encodes texts to little-endian unsigned 32-bit ids, without special tokens."""
 
@@ -29,8 +41,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        size = self.library.get_vocab_size()
-        self.ends = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -59,24 +69,17 @@ class WordTokenizer:
                 parts[word] = _PIECES.findall(text.lower())
             else:
                 self.words[word] = self._library_ids(text)
-        self._learn_pieces(list({p for ps in parts.values() for p in ps}.difference(self.pieces)))
+        self._learn_pieces({p for ps in parts.values() for p in ps}.difference(self.pieces))
         pieces = self.pieces
         for word, ps in parts.items():
             self.words[word] = pieces[ps[0]] if len(ps) == 1 else b"".join([pieces[p] for p in ps])
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        for at in range(0, len(new), _JOINED):
-            part = new[at:at + _JOINED]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == len(part):  # every piece ends with a word-end token, and only there
-                raw, begin = ids.tobytes(), 0
-                for piece, end in zip(part, ends.tolist()):
-                    self.pieces[piece] = raw[4 * begin:4 * end]
-                    begin = end
-            else:
-                for piece in part:
-                    self.pieces[piece] = self._library_ids(piece)
+    def _learn_pieces(self, new: set[str]) -> None:
+        """A piece is lower case and split already, so the library's model alone encodes it."""
+        tokenize = self.library.model.tokenize
+        for piece in new:
+            ids = [token.id for token in tokenize(piece.translate(_LETTERS))]
+            self.pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
 
 
 @lru_cache(maxsize=4)

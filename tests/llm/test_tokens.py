@@ -37,7 +37,7 @@ def known():
 
 @pytest.fixture()
 def documents(spark):
-    rows = [(i, t) for i, t in enumerate(ODD)] + [(100, None), (None, "no id"), (3, "a b c"), (3, "a b c"), (200, "word " * 9000)]
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(100, None), (None, "no id"), (300, "a b c"), (300, "a b c"), (200, "word " * 9000)]
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
 
 
@@ -225,3 +225,15 @@ def test_rollup_query(spark, sf):
             expected[row.source, row.lang, name] = (d + 1, t + n)
     found = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in QUERIES["op10_token_rollup"](spark, sf).collect()}
     assert found == expected
+
+
+def test_slices_keep_long_texts_apart(monkeypatch):
+    import pyarrow as pa
+
+    from millrace.llm import frames
+
+    monkeypatch.setattr(frames, "SLICE_BYTES", 1000)
+    batch = pa.RecordBatch.from_pydict({"t": ["a"] * 300 + ["b" * 5000, "c" * 400, "d" * 400, "e" * 400]})
+    parts = list(frames.slices(batch))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == batch.column(0).to_pylist()
+    assert max(p.num_rows for p in parts) <= frames.SLICE_ROWS and all(p.num_rows == 1 or p.nbytes <= 1000 for p in parts)
