@@ -27,6 +27,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_COUNTRIES = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+              22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+              25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+              29: "BR EG PS QA UA", 30: "JO MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_LENGTHS = {country: length for length, countries in _COUNTRIES.items() for country in countries.split()}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _TEL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-]*[0-9])")
 _DIGIT = re.compile(r"[0-9]")
@@ -112,6 +117,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def ibans(text: str):
+    """(start, end) of confirmed account numbers. A match may hold words that follow the number, so the country's length
+    fixes the end; the whole match is tried next and, for countries without a known length, each shorter group."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = m.end()
+        ends = [m.start() + i + 1 for i, c in enumerate(m[0]) if c != " " and m[0][i + 1:i + 2] in ("", " ")]
+        if length := _LENGTHS.get(m[0][:2]):
+            ends = [e for e in ends if e - m.start() - text.count(" ", m.start(), e) == length] + [m.end()]
+        for end in sorted(ends, reverse=True) if not length else ends:
+            number = text[m.start():end].replace(" ", "")
+            if (len(number) >= min(_COUNTRIES) or end == m.end()) and mod_97(number):
+                yield m.start(), end
+                at = end
+                break
+        else:
+            at = m.start() + 1  # another number may begin within the match
+
+
 def _score(text: str, kind: str, start: int, confirmed: bool) -> float:
     before = text[max(0, start - REACH):start]
     score = _START[kind] + 0.4 * confirmed + 0.3 * bool(_NEAR[kind].search(before)) - 0.2 * bool(_OTHER.search(before))
@@ -127,14 +151,12 @@ def find(text: str | None) -> list[Span]:
         return []
     spans = [Span(k, a, b, _score(text, k, a, k == "card")) for k, a, b in base_spans(text)]
     if _DIGIT.search(text):
-        for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("tel", _TEL)):
-            for m in pattern.finditer(text):
-                confirmed = kind == "iban" and mod_97(m[0].replace(" ", ""))
-                if kind == "iban" and not confirmed:
-                    continue
-                score = _score(text, kind, m.start(), confirmed)
-                if score >= LEAST and not any(s.start < m.end() and m.start() < s.end for s in spans):
-                    spans.append(Span(kind, m.start(), m.end(), score))
+        added = [("iban", a, b) for a, b in ibans(text)]
+        added += [(kind, m.start(), m.end()) for kind, pattern in (("ssn", _SSN), ("tel", _TEL)) for m in pattern.finditer(text)]
+        for kind, start, end in added:
+            score = _score(text, kind, start, kind == "iban")
+            if score >= LEAST and not any(s.start < end and start < s.end for s in spans):
+                spans.append(Span(kind, start, end, score))
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 
