@@ -6,7 +6,8 @@ distance then follows a chi-square distribution, so once a query's next projecte
 distribution gives its current k-th neighbour a confidence of at least ``CONFIDENCE``, the search may stop.
 
 The upper levels of the kd-tree over projections come from a bounded sample and cut the space into cells; every vector
-goes to one cell, and a cell holding more than its share is dealt into blocks. A query first searches its own cell,
+goes to one cell, and a cell holding more than its share is dealt into blocks; so are the questions that visit a block, and
+each block of questions meets a copy of the cell's block. A query first searches its own cell,
 which bounds the distance of its k-th neighbour, then every cell that the stopping test does not rule out. In a cell
 its own kd-tree yields projected neighbours in growing distance, and true products verify them. Equal vectors are one
 entry with their smallest ids.
@@ -29,6 +30,7 @@ CONFIDENCE = 0.95
 CELL = 4_000         # distinct vectors per cell that the tree aims at
 SAMPLE = 100_000     # projections that the upper tree is built on, about
 BLOCK = 200_000      # distinct vectors per block of a cell
+QUESTIONS = 8_000    # questions per block of a cell, about
 LEAF = 256           # vectors per leaf of a cell's own tree
 _TOLERANCE = 1e-9
 _FOUND = "h1 long, h2 long, score double, ids array<long>"
@@ -236,13 +238,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, vec_id: str = "vec_id
     spread = _with_cells(entries, tree, projection, blocks)
     search_cell = _searcher(projection, wanted, stop)
     home = _in_cells(questions.withColumn("bound", F.lit(math.inf)), True, blocks, tree, projection, stop)
-    first = written(spread.groupBy("cell").cogroup(home.groupBy("cell")).applyInPandas(search_cell, _FOUND), "found")
+    first = written(_met(spread, home, search_cell), "found")
     reached = first.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
     bound = F.when(F.col("n") >= wanted, F.lit(projection.norm ** 2) + F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
                    - 2 * F.col("least")).otherwise(F.lit(math.inf))
     bounded = questions.join(reached, ["h1", "h2"], "left").select("h1", "h2", "vector", bound.alias("bound"))
     visits = _in_cells(bounded, False, blocks, tree, projection, stop)
-    found = first.unionByName(spread.groupBy("cell").cogroup(visits.groupBy("cell")).applyInPandas(search_cell, _FOUND))
+    found = first.unionByName(_met(spread, visits, search_cell))
     near = found.select("h1", "h2", "score", F.explode("ids").alias("vec_id"))
     best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
     near = written(near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= wanted).drop("n"), "near")
@@ -300,6 +302,20 @@ def _in_cells(questions: DataFrame, first: bool, blocks: int, tree: Tree, projec
     return questions.mapInPandas(run, schema)
 
 
+def _dealt(entries: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``part``: the questions of each ``cell`` in parts of about ``QUESTIONS``, its entries once per part."""
+    size = F.ceil(F.count(F.lit(1)) / QUESTIONS).cast("long").alias("parts")
+    parts = written(questions.groupBy("cell").agg(size), "parts")
+    repeated = entries.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = questions.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("h1", "h2"), "parts"))
+    return repeated.drop("parts"), dealt.drop("parts")
+
+
+def _met(entries: DataFrame, questions: DataFrame, search_cell) -> DataFrame:
+    repeated, dealt = _dealt(entries, questions)
+    return repeated.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(search_cell, _FOUND)
+
+
 def _searcher(projection: Projection, wanted: int, stop: float):
     """Search one block for its questions."""
 
@@ -307,11 +323,13 @@ def _searcher(projection: Projection, wanted: int, stop: float):
         out: list[tuple] = []
         if len(entries) and len(questions):
             cell, ids = Cell(_matrix(entries["vector"]), projection), entries["ids"].to_list()
-            vectors = _matrix(questions["vector"])
-            points = projection.of_queries(vectors)
-            searched = cell.search(vectors, points, wanted, questions["bound"].to_numpy(), stop)
-            for h1, h2, (found, scores) in zip(questions["h1"], questions["h2"], searched):
-                out += [(h1, h2, s, ids[r]) for r, s in zip(found, scores)]
+            for at in range(0, len(questions), 1024):  # a row of distances to all leaves for each
+                part = questions.iloc[at:at + 1024]
+                vectors = _matrix(part["vector"])
+                points = projection.of_queries(vectors)
+                searched = cell.search(vectors, points, wanted, part["bound"].to_numpy(), stop)
+                for h1, h2, (found, scores) in zip(part["h1"], part["h2"], searched):
+                    out += [(h1, h2, s, ids[r]) for r, s in zip(found, scores)]
         return pd.DataFrame(out, columns=["h1", "h2", "score", "ids"])
 
     return run
