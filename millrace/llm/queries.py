@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, language, neighbours, packing, pii, quality, rollups, simhash, token_files, urls
+from millrace.llm import bpe, language, neighbours, packing, pii, quality, rollups, secrets, simhash, token_files, urls
 from millrace.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _digested(found: DataFrame, base) -> DataFrame:
+    """doc_id, the number of spans of each base kind, their digest, and all spans as text."""
+
+    def of_kinds(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    named = [F.size(of_kinds(kind)).cast("long").alias(f"n_{kind}") for kind in base]
+    return found.select("doc_id", *named, F.sha2(listed(of_kinds(*base)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op1_byte_bpe(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -59,14 +72,7 @@ def op4_packing(spark, sf_dir):
 def op5_pii(spark, sf_dir):
     found = pii.find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
-    def of_kinds(*kinds):
-        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
-
-    def listed(spans):
-        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-
-    named = [F.size(of_kinds(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE]
-    return found.select("doc_id", *named, F.sha2(listed(of_kinds(*pii.BASE)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return _digested(found, pii.BASE)
 
 
 @query
@@ -119,3 +125,8 @@ def op10_token_rollup(spark, sf_dir):
     for batch in ("load", "copies", "end-ids", "copies", "bytes"):
         rollup.commit(batch, batches[batch])
     return rollup.totals()
+
+
+@query
+def op12_secrets(spark, sf_dir):
+    return _digested(secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")), tuple(secrets.BASE))
