@@ -394,3 +394,18 @@ def test_pipeline_on_an_empty_table(spark, sf):
     empty = spark.createDataFrame([], frame.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, sf):
+    """Columns named like those that operators add come back unchanged from every stage but the last."""
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    frame = frame.select("*", *[F.concat(F.lit(f"{n}-"), "doc_id").alias(n) for n in (
+        "score", "kept", "lang_pred", "__row", "__fp", "__piece", "features", "n_words", "doc_0", "a.b")])
+    clean = frame.withColumn("text", F.regexp_replace("text", r"[0-9@+]", "x")) \
+        .withColumn("n_chars", F.length("text").cast("long"))  # nothing to redact
+    before = {r.doc_id: r for r in clean.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clean, sf)
+        assert out.schema.simpleString() == clean.schema.simpleString(), name
+        rows = out.collect()
+        assert rows and all(r == before[r.doc_id] for r in rows), name
