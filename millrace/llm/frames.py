@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from millrace.functions.columns import field
 from millrace.session import new_folder
 
 SLICE_ROWS = 128       # rows held as Python objects at a time
@@ -27,7 +28,7 @@ def ready(spark: SparkSession) -> None:
 def without(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """``df`` without columns of these names in any case, so that new columns replace them."""
     taken = {n.lower() for n in names}
-    return df.select(*[f"`{c}`" for c in df.columns if c.lower() not in taken])
+    return df.select(*[field(c) for c in df.columns if c.lower() not in taken])
 
 
 def add_columns(df: DataFrame, inputs: Sequence[str], fields: str, make: Callable[[], Callable]) -> DataFrame:
@@ -38,6 +39,12 @@ def add_columns(df: DataFrame, inputs: Sequence[str], fields: str, make: Callabl
     """
     ready(df.sparkSession)
     new = T.StructType.fromDDL(fields)
+    if any("." in c or "`" in c or c.lower().startswith("__in_") for c in df.columns):  # names that an Arrow pass cannot take
+        names = {f"column_{i}": c for i, c in enumerate(df.columns)}
+        plain = {c: n for n, c in names.items()}
+        made = add_columns(df.toDF(*names), [plain[c] for c in inputs], fields, make)
+        taken = {n.lower() for n in new.names}
+        return made.select(*[F.col(n).alias(c) for n, c in names.items() if c.lower() not in taken], *[f"`{n}`" for n in new.names])
     read = df.select(*[F.col(f"`{c}`").alias(f"__in_{i}") for i, c in enumerate(inputs)],
                      *[f"`{c}`" for c in without(df, new.names).columns])
     kept = read.columns[len(inputs):]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, language, neighbours, packing, pii, quality, rollups, secrets, simhash, token_files, urls
+from millrace.llm import bpe, centroids, language, neighbours, packing, pii, quality, rollups, secrets, simhash, token_files, urls
 from millrace.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,12 @@ def op10_token_rollup(spark, sf_dir):
 @query
 def op12_secrets(spark, sf_dir):
     return _digested(secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text")), tuple(secrets.BASE))
+
+
+@query
+def op11_centroids(spark, sf_dir):
+    embeddings = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    order = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")), 256)
+    placed, points = centroids.cluster(embeddings, order, 40, 5)
+    return centroids.with_inertia(placed.drop("embedding"), points) \
+        .select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
