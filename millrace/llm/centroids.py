@@ -32,7 +32,7 @@ def usable(vector: Column, size: int) -> Column:
 
 def floored(vectors: list[list[float]], scale: int) -> np.ndarray:
     """Integers floor(scale * x): 64-bit where all are small, else Python's own (as object array)."""
-    real = np.array(vectors, np.float64).reshape(len(vectors), -1)
+    real = np.array(vectors, np.float64).reshape(len(vectors), -1 if vectors else 0)
     if not real.size or np.abs(real).max() * scale < SAFE:
         return np.floor(real * scale).astype(np.int64)
     whole = [[int(x) * scale if abs(x) >= 2.0 ** 53 else int(np.floor(x * scale)) for x in row] for row in real.tolist()]

@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, centroids, language, neighbours, packing, pii, quality, rollups, secrets, simhash, token_files, urls
+from millrace.llm import bpe, centroids, language, neighbours, packing, pii, prefix_trie, quality, rollups, secrets, simhash, token_files, urls
+from millrace.llm.frames import written
+from millrace.operators import skew
 from millrace.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +141,27 @@ def op11_centroids(spark, sf_dir):
     placed, points = centroids.cluster(embeddings, order, 40, 5)
     return centroids.with_inertia(placed.drop("embedding"), points) \
         .select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, conversations) after every conversation c takes the first h turns of conversation c - c % 5 in place of its
+    own first h; h is crc32 of c modulo 9, so at most eight turns are copied, to at most nine conversations."""
+    turns = written(turns, "turns")
+    convs = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")) \
+        .select("*", (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9).alias("h"),
+                (F.col("conv_id") - F.col("conv_id") % 5).alias("root"))
+    convs = written(convs, "convs")
+    roots = convs.select(F.col("conv_id").alias("root"), F.col("n").alias("n_root"))
+    lengths = written(convs.join(roots, "root", "left").select(
+        "conv_id", "root", "h", F.least("h", F.coalesce("n_root", F.lit(0))).alias("shared")), "lengths")
+    own = skew.join_per_key(turns, lengths.drop("root"), ["conv_id"]).filter("position > h") \
+        .withColumn("position", F.col("position") - F.col("h") + F.col("shared"))
+    opening = turns.filter((F.col("conv_id") % 5 == 0) & (F.col("position") <= 8)).withColumnRenamed("conv_id", "root")
+    copied = opening.join(lengths, "root").filter("position <= h")
+    columns = ["conv_id", "position", "digest", "size"]
+    return own.select(*columns).unionByName(copied.select(*columns)), convs.select("conv_id")
+
+
+@query
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(*rebuilt(prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))))
