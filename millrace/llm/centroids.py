@@ -30,9 +30,9 @@ def usable(vector: Column, size: int) -> Column:
     return F.coalesce((F.size(vector) == size) & ~bad, F.lit(False))
 
 
-def floored(vectors: list[list[float]], scale: int) -> np.ndarray:
+def floored(vectors: list[list[float]] | np.ndarray, scale: int) -> np.ndarray:
     """Integers floor(scale * x): 64-bit where all are small, else Python's own (as object array)."""
-    real = np.array(vectors, np.float64).reshape(len(vectors), -1 if vectors else 0)
+    real = np.array(vectors, np.float64).reshape(len(vectors), -1 if len(vectors) else 0)
     if not real.size or np.abs(real).max() * scale < SAFE:
         return np.floor(real * scale).astype(np.int64)
     whole = [[int(x) * scale if abs(x) >= 2.0 ** 53 else int(np.floor(x * scale)) for x in row] for row in real.tolist()]
@@ -153,7 +153,7 @@ def cluster(df: DataFrame, order: Column, count: int, rounds: int, size: int = 6
             for batch in batches:
                 for at in range(0, batch.num_rows, 2048):
                     part = batch.slice(at, 2048)
-                    whole, of, _, _ = placed(part.column(0).to_pylist(), part.column(1).to_pylist(), now)
+                    whole, of, _, _ = placed(*[part.column(i).flatten().to_numpy().reshape(part.num_rows, -1) for i in (0, 1)], now)
                     for c in np.unique(of).tolist():
                         mine = whole[of == c]
                         held = totals.setdefault(c, [0, np.zeros(size, object)])

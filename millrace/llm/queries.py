@@ -7,13 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import bpe, centroids, language, neighbours, packing, pii, prefix_trie, quality, rollups, secrets, simhash, token_files, urls
+from millrace.llm import bpe, centroids, language, neighbours, oracles, packing, pii, prefix_trie, quality, rollups, secrets, simhash, token_files, urls
 from millrace.llm.frames import written
 from millrace.operators import skew
 from millrace.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
