@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.functions.columns import any_of, field, same
+from millrace.functions.columns import any_of, field
 from millrace.operators import skew
-from millrace.operators.consistency import paired
+from millrace.operators.consistency import differ, paired
 
 
 def diff(before: DataFrame, after: DataFrame, keys: list[str], ts: Column, txn: Column | None = None,
@@ -19,7 +19,7 @@ def diff(before: DataFrame, after: DataFrame, keys: list[str], ts: Column, txn:
     columns = before.columns
     rest = [c for c in columns if c not in keys]
     pairs = paired(before, after, keys, columns, order_by)
-    changed = any_of([~same(F.col("src")[c], F.col("dst")[c]) for c in rest])
+    changed = differ(F.col("src"), F.col("dst"), pairs.schema["src"].dataType, rest)
     op = F.when(F.col("src").isNull(), "insert").when(F.col("dst").isNull(), "delete").when(changed, "update")
 
     def image(side: str) -> Column:

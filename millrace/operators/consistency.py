@@ -10,8 +10,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.columns import any_of, as_text, field, same
-from millrace.operators import skew
+from millrace.functions.columns import any_of, field, same
+from millrace.operators import hashtree, skew
+
+
+def _has_map(dtype: T.DataType) -> bool:
+    return "map<" in dtype.simpleString()
+
+
+def comparable(value: Column, dtype: T.DataType) -> Column:
+    """A value that compares and orders: maps, which do neither, as text."""
+    return hashtree.encoded(value, dtype) if _has_map(dtype) else value
+
+
+def differ(left: Column, right: Column, schema: T.StructType, columns: list[str]) -> Column:
+    """Whether the named fields of two row structs of the same types differ."""
+    return any_of([~same(*[comparable(side[c], schema[c].dataType) for side in (left, right)]) for c in columns])
 
 
 def paired(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str],
@@ -30,15 +44,26 @@ def paired(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str
         *[field(k) for k in keys], "__side", row.alias("__row"),
         *([F.struct(*[field(o).alias(f"o{i}") for i, o in enumerate(order)]).alias("__at")] if order else []))
 
+    row_type = both.schema["__row"].dataType
+    if order:
+        both = both.withColumn("__at", comparable_struct(F.col("__at"), both.schema["__at"].dataType))
+    elif _has_map(row_type):
+        both = both.withColumn("__at", comparable_struct(F.col("__row"), row_type))
+
     def last(side: int) -> Column:
         mine = F.col("__side") == side
-        if order:
+        if "__at" in both.columns:
             return F.max_by(F.when(mine, F.col("__row")), F.when(mine, F.col("__at")))
         return F.max(F.when(mine, F.col("__row")))
 
     return both.groupBy(*[field(k) for k in keys]).agg(last(0).alias("src"), last(1).alias("dst"))
 
 
+def comparable_struct(row: Column, dtype: T.StructType) -> Column:
+    """A row struct by which rows can be ordered."""
+    return F.struct(*[comparable(row[f.name], f.dataType).alias(f.name) for f in dtype.fields]) if _has_map(dtype) else row
+
+
 def _shared(source: DataFrame, destination: DataFrame, keys: list[str], columns: list[str] | None) -> list[str]:
     if not keys:
         raise ValueError("at least one key column must be provided")
@@ -47,30 +72,18 @@ def _shared(source: DataFrame, destination: DataFrame, keys: list[str], columns:
     return [c for c in source.columns if c not in keys and c in destination.columns]
 
 
-def _differs(columns: list[str]) -> Column:
-    return any_of([~same(F.col("src")[c], F.col("dst")[c]) for c in columns])
-
-
-def _comparable(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns that hold maps as text with sorted keys: maps have no order and do not compare."""
-
-    def text(name: str) -> Column:
-        value, dtype = field(name), df.schema[name].dataType
-        if isinstance(dtype, T.MapType) and "map<" not in dtype.keyType.simpleString() + dtype.valueType.simpleString():
-            value = F.array_sort(F.map_entries(value))
-        return F.to_json(F.struct(value))
-
-    return df.withColumns({c: text(c) for c in columns if "map<" in df.schema[c].dataType.simpleString()})
+def _unlike(pairs: DataFrame, columns: list[str]) -> Column:
+    return differ(F.col("src"), F.col("dst"), pairs.schema["src"].dataType, columns)
 
 
 def metrics(source: DataFrame, destination: DataFrame, keys: list[str], columns: list[str] | None = None,
             order_by: list[str] | None = None) -> DataFrame:
     """One row: missing, different, total (distinct source keys). Destination-only keys are not counted."""
     compared = _shared(source, destination, keys, columns)
-    pairs = paired(_comparable(source, compared), _comparable(destination, compared), keys, compared, order_by)
+    pairs = paired(source, destination, keys, compared, order_by)
     here, there = F.col("src").isNotNull(), F.col("dst").isNotNull()
     return pairs.agg(F.count_if(here & ~there).alias("missing"),
-                     F.count_if(here & there & _differs(compared)).alias("different"), F.count_if(here).alias("total"))
+                     F.count_if(here & there & _unlike(pairs, compared)).alias("different"), F.count_if(here).alias("total"))
 
 
 def is_consistent(source: DataFrame, destination: DataFrame, keys: list[str], columns: list[str] | None = None,
@@ -81,11 +94,22 @@ def is_consistent(source: DataFrame, destination: DataFrame, keys: list[str], co
 
 
 def differences(source: DataFrame, destination: DataFrame, keys: list[str], columns: list[str] | None = None,
-                order_by: list[str] | None = None) -> DataFrame:
-    """Source rows that are missing from or differ in the destination, with ``status``."""
+                order_by: list[str] | None = None, by_tree: bool = False) -> DataFrame:
+    """Source rows that are missing from or differ in the destination, with ``status``.
+
+    ``by_tree`` suits large tables of which little has changed: hash trees of both are compared first, and only rows in
+    buckets that differ are shuffled. It reads both tables twice, and needs compared columns of equal types.
+    """
     compared = _shared(source, destination, keys, columns)
+    if by_tree:
+        needed = list(dict.fromkeys([*keys, *compared, *(order_by or [])]))
+        unlike = [c for c in needed if source.schema[c].dataType != destination.schema[c].dataType]
+        if unlike:
+            raise ValueError(f"columns of different types: {unlike}")
+        source, destination = hashtree.changed_rows(source.select(*[field(c) for c in needed]),
+                                                    destination.select(*[field(c) for c in needed]), keys, needed)
     pairs = paired(source, destination, keys, compared, order_by).filter(F.col("src").isNotNull())
-    status = F.when(F.col("dst").isNull(), "missing").when(_differs(compared), "different")
+    status = F.when(F.col("dst").isNull(), "missing").when(_unlike(pairs, compared), "different")
     return pairs.withColumn("status", status).filter(F.col("status").isNotNull()).select(
         *[field(k) for k in keys], *[F.col("src")[c].alias(c) for c in compared], "status")
 
@@ -119,7 +143,9 @@ def upsert(source: DataFrame, destination: DataFrame, keys: list[str], columns:
                           *[field(c).cast(destination.schema[c].dataType).alias(c) if c in synced else field(c)
                             for c in source.columns if c not in keys])
     row = F.struct(*[field(c).alias(c) for c in keys + synced])
-    picked = F.max_by(row, F.struct(*[field(o).alias(f"o{i}") for i, o in enumerate(order_by)])) if order_by else F.max(row)
+    at = [comparable(field(c), typed.schema[c].dataType).alias(f"o{i}") for i, c in enumerate(order_by or keys + synced)]
+    plain = not order_by and not any(_has_map(typed.schema[c].dataType) for c in synced)
+    picked = F.max(row) if plain else F.max_by(row, F.struct(*at))
     joint = [f"__{p}{i}" for i in range(len(keys)) for p in "vf"]
     incoming = typed.select("*", *_null_free(typed, keys)).groupBy(*joint).agg(picked.alias("__src"))
     current = destination.select("*", *_null_free(destination, keys))
@@ -148,19 +174,10 @@ def upsert_count(source: DataFrame, destination: DataFrame, keys: list[str], col
                         (F.col("missing") + F.col("different")).alias("changed"))
 
 
-# Field separator and null tag of the row digest.
-_SEPARATOR, _NULL = "\u001f", "\u0000null"
-
-
-def row_digest(df: DataFrame, columns: list[str]) -> Column:
-    return F.md5(F.concat_ws(_SEPARATOR, *[
-        F.coalesce(as_text(field(c), df.schema[c].dataType), F.lit(_NULL)) for c in columns]))
-
-
 def checksum(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """One row: row count and an order-free checksum (sums of the four digest words)."""
-    digest = row_digest(df, columns or df.columns)
-    words = df.select(*[F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(38,0)").alias(f"w{i}")
-                        for i in range(4)])
+    """One row: row count and an order-free checksum, the sums of the four words of every row's digest. Rows that differ
+    have different digests, so tables with equal checksums are equal, but for a chance of about 2^-128."""
+    digest = hashtree.row_digest(df, columns or df.columns)
+    own = df.select(digest.alias("h")).select(*[w.alias(f"w{i}") for i, w in enumerate(hashtree.words(F.col("h")))])
     sums = [F.coalesce(F.sum(f"w{i}"), F.lit(0)).cast("decimal(38,0)").cast("string") for i in range(4)]
-    return words.agg(F.count(F.lit(1)).alias("row_count"), F.concat_ws("-", *sums).alias("checksum"))
+    return own.agg(F.count(F.lit(1)).alias("row_count"), F.concat_ws("-", *sums).alias("checksum"))

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from millrace.operators import changes, consistency, lineage, replication, runs
+from millrace.operators import changes, consistency, hashtree, lineage, replication, runs
 from millrace.session import new_folder
 from millrace.sources import sinks
 from workload.registry import query, table
@@ -32,6 +32,21 @@ def orders_v2(spark, sf_dir):
     return kept.unionByName(added)
 
 
+def _word(i: int) -> str:
+    digits = " + ".join(f"(instr('0123456789abcdef', substr(h, {8 * i + j}, 1)) - 1) * {16 ** (8 - j)}" for j in range(1, 9))
+    return f"CAST(CAST(sum(CAST({digits} AS HUGEINT)) AS HUGEINT) AS VARCHAR)"
+
+
+def _encoded(*texts: str) -> str:
+    """Every field with its length before it, and a null as no text."""
+    return " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for t in texts)
+
+
+def _half(i: int) -> str:
+    digits = " + ".join(f"(instr('0123456789abcdef', substr(h, {16 * i + j}, 1)) - 1) * CAST({16 ** (14 - j)} AS HUGEINT)" for j in range(1, 15))
+    return f"CAST({digits} AS HUGEINT)"
+
+
 # -- consistency ------------------------------------------------------------------------------------------------
 
 _MATCH = f"FROM {ORDERS} s LEFT JOIN {ORDERS_V2} d USING (o_orderkey)"
@@ -66,6 +81,28 @@ def consistency_diff(spark, sf_dir):
     return found.select("o_orderkey", "o_totalprice", "status")
 
 
+@query("consistency_diff_tree", f"""WITH v AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 1000 = 0 THEN NULL
+      WHEN o_orderkey % 701 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 1000 <> 500)
+    SELECT o_orderkey, s.o_totalprice, CASE WHEN v.o_custkey IS NULL THEN 'missing' ELSE 'different' END AS status
+    FROM {ORDERS} s LEFT JOIN v USING (o_orderkey) WHERE v.o_totalprice IS DISTINCT FROM s.o_totalprice""")
+def consistency_diff_tree(spark, sf_dir):
+    """A copy of orders in which few rows are lost or changed, compared by hash trees."""
+    first = orders(spark, sf_dir).select("o_orderkey", "o_custkey", "o_totalprice")
+    copy = first.filter("o_orderkey % 1000 <> 500").withColumn("o_totalprice", F.expr(
+        "CASE WHEN o_orderkey % 1000 = 0 THEN NULL WHEN o_orderkey % 701 = 0 THEN o_totalprice + 1 ELSE o_totalprice END"))
+    found = consistency.differences(first, copy, KEY, by_tree=True)
+    return found.select("o_orderkey", "o_totalprice", "status")
+
+
+@query("hash_tree", f"""SELECT 0 AS level, CAST(0 AS BIGINT) AS node, count(*) AS n, {", ".join(
+        f"CAST(sum(CAST({_half(i)} AS HUGEINT)) AS VARCHAR) AS s{i}" for i in range(2))}
+    FROM (SELECT md5({_encoded("CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus")}) AS h FROM orders)""")
+def hash_tree(spark, sf_dir):
+    """The root of the tree of orders, added up over all its levels."""
+    tree = hashtree.build(orders(spark, sf_dir), KEY, ["o_orderkey", "o_custkey", "o_orderstatus"], 12)
+    return tree.filter("level = 0").select("level", "node", "n", *[F.col(s).cast("string").alias(s) for s in hashtree.SUMS])
+
+
 _UPSERTED = f"""SELECT * FROM {ORDERS_V2} UNION ALL SELECT * FROM {ORDERS} WHERE o_orderkey % 10 = 0"""
 
 
@@ -82,14 +119,9 @@ def sync_upsert_count(spark, sf_dir):
     return consistency.upsert_count(orders_v2(spark, sf_dir), orders(spark, sf_dir), KEY)
 
 
-def _word(i: int) -> str:
-    digits = " + ".join(f"(instr('0123456789abcdef', substr(h, {8 * i + j}, 1)) - 1) * {16 ** (8 - j)}" for j in range(1, 9))
-    return f"CAST(CAST(sum(CAST({digits} AS HUGEINT)) AS HUGEINT) AS VARCHAR)"
-
-
 @query("table_checksum", f"""SELECT count(*) AS row_count, {" || '-' || ".join(_word(i) for i in range(4))} AS checksum
-    FROM (SELECT md5(concat_ws(chr(31), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
-      o_orderpriority)) AS h FROM orders)""")
+    FROM (SELECT md5({_encoded("CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus", "o_orderpriority")}) AS h
+      FROM orders)""")
 def table_checksum(spark, sf_dir):
     return consistency.checksum(table(spark, sf_dir, "orders"),
                                 ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
