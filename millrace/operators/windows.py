@@ -48,7 +48,8 @@ def _plain(function: str, partition_by: list[str], order_by: list[str], source:
 
 def apply_window(df: DataFrame, function: str, partition_by: list[str], order_by: list[str], target: str,
                  source: str | None = None, expression: str | None = None,
-                 max_group_rows: int = skew.MAX_GROUP_ROWS, heavy: skew.Heavy | None = None) -> DataFrame:
+                 max_group_rows: int = skew.MAX_GROUP_ROWS, heavy: skew.Heavy | None = None,
+                 rows_between: tuple[int, int] | None = None) -> DataFrame:
     """Add ``target`` computed by a window function.
 
     Rows that tie in the order fields are ranked, numbered and shifted among themselves in no fixed order, and a large
@@ -56,7 +57,22 @@ def apply_window(df: DataFrame, function: str, partition_by: list[str], order_by
     ``heavy`` takes the large partitions where the caller knows them. A Custom expression without a window of its own
     is put over the partition, and over its running frame if there are order fields; a large partition is not split
     for it.
+
+    ``rows_between`` (a, b) gives an aggregate or a Custom expression the frame of rows from a to b around each row, negative
+    before it: ``ROWS BETWEEN``. Such a frame needs order fields, and splits a large partition (see :func:`framed`).
     """
+    if rows_between is not None:
+        if function != "Custom" and function not in AGGREGATES:
+            raise ValueError(f"{function} takes no frame of rows")
+        if not order_by or rows_between[0] > rows_between[1]:
+            raise ValueError("a frame of rows needs order fields, and an end that is not before its start")
+        if function == "Custom":
+            value = F.expr(expression)
+        elif source is None and function != "Count":
+            raise ValueError(f"{function} needs a source field")
+        else:
+            value = AGGREGATES[function](field(source) if source else F.lit(1))
+        return framed(df, partition_by, order_by, target, value, *rows_between, max_group_rows, heavy)
     if function == "Custom":
         return df.withColumn(target, _custom(df, expression, partition_by, order_by))
     known = RANKING + SHIFTING + EDGES + tuple(AGGREGATES)
@@ -78,6 +94,35 @@ def apply_window(df: DataFrame, function: str, partition_by: list[str], order_by
     return narrow.unionByName(wide) if partition_by else wide
 
 
+def framed(df: DataFrame, partition_by: list[str], order_by: list[str], target: str, value: Column, start: int, end: int,
+           max_group_rows: int = skew.MAX_GROUP_ROWS, heavy: skew.Heavy | None = None) -> DataFrame:
+    """Add ``value`` (any aggregate or window expression) over the rows from ``start`` to ``end`` around each row.
+
+    The rows of a large partition are numbered and cut into tiles of ``max_group_rows`` rows, or of the frame's width if
+    that is more. Each tile also gets copies of the neighbours that frames of its rows reach beyond its edges, at most
+    two copies of a row in all, so every tile computes its own rows alone. Copies are dropped afterwards.
+    """
+    if heavy is None:
+        heavy = skew.heavy_groups(df, partition_by, max_group_rows)
+    parts = [field(p) for p in partition_by]
+
+    def over(rows: DataFrame, keys: list, order: list) -> DataFrame:
+        return rows.withColumn(target, value.over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(start, end)))
+
+    if not heavy:
+        return over(df, parts, _ordered(order_by))
+    ordinary, large = skew.split_heavy(df, partition_by, heavy)
+    before, after = max(0, -start), max(0, end)
+    size = max(max_group_rows, before + after, 1)
+    numbered = number_rows(large, partition_by, order_by, "__n", max_group_rows).withColumn("__n", F.col("__n") - 1)
+    first = F.greatest(F.lit(0), F.floor((F.col("__n") - after) / size))
+    dealt = numbered.withColumn("__tile", F.explode(F.sequence(first.cast("bigint"), F.floor((F.col("__n") + before) / size).cast("bigint"))))
+    own = F.floor(F.col("__n") / size) == F.col("__tile")
+    wide = over(dealt, [*parts, F.col("__tile")], [F.col("__n")]).filter(own).drop("__n", "__tile")
+    narrow = over(ordinary, parts, _ordered(order_by))
+    return narrow.unionByName(wide.select(*[field(c) for c in narrow.columns])) if partition_by else wide
+
+
 def _custom(df: DataFrame, expression: str, partition_by: list[str], order_by: list[str]) -> Column:
     if not (partition_by or order_by) or re.search(r"\bover\s*\(", expression, re.IGNORECASE):
         return F.expr(expression)

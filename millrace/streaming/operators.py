@@ -65,10 +65,6 @@ def process_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None],
 
 
 def subscribe_changes(log: DataFrame, target: ChangeTarget, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Apply a stream of changes to a target. A batch applied twice changes nothing more, a late change never undoes a
-    newer one, and only the buckets of changed keys are rewritten."""
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        target.apply(batch, batch_id)
-
-    return process_batches(log, handle, checkpoint, available_now)
+    """Apply a stream of changes to a target. A change applied twice changes nothing more, a late change never undoes a
+    newer one, and what is written follows the changed keys."""
+    return target.subscribe(log, checkpoint, available_now)

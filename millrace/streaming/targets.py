@@ -1,76 +1,206 @@
-"""A table kept up to date by a stream of changes.
+"""A table kept up to date by a stream of changes, held as keyed state.
 
-Rows lie in buckets by the hash of their key. A batch rewrites only the buckets that its changes touch, under a version
-of its own, and is committed by one small file per batch that names them; readers take the newest committed version
-of each bucket. A batch that runs again writes the same version again. Beside each row stands the time and transaction
-of its last change, for deleted keys too, so changes may arrive late and in any order.
+The stream groups changes by key; of each key the state keeps the row of its last change, or only that change's time if it
+was a delete. Every change is compared with that time, so changes may arrive late, twice and in any order. Spark's
+state store is the table: a batch writes what its keys changed, and the table is the state store read back. A tombstone
+expires ``keep_deletes`` after the delete was handled; a change of that key that arrives later still would bring it back.
+
+A query that starts on a new checkpoint takes over the rows and tombstones of the one before it, so nothing that was
+applied is lost. The state store must be RocksDB (:func:`millrace.session.build_session` sets it).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+from datetime import timedelta
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.errors import AnalysisException
 
 from millrace.functions.columns import field
+from millrace.session import new_folder
 
-BUCKETS = 256
+KEEP_DELETES = timedelta(days=30)
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class ChangeTarget:
-    """``folder`` must be durable and reached by all executors."""
+# Rows travel through the state as JSON and times as numbers, so no value meets Python's idea of time zones.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+
+
+def _plain(value: Column, dtype: T.DataType) -> Column:
+    """A time as a number; other values as they are."""
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(value.cast("timestamp"))
+    return F.unix_date(value) if isinstance(dtype, T.DateType) else value
+
+
+def _back(value: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.timestamp_micros(value).cast(dtype)
+    return F.date_from_unix_date(value) if isinstance(dtype, T.DateType) else value
+
+
+def _order(ts, txn) -> tuple:
+    """Orders changes by time, then transaction; nulls first."""
+    return (ts is not None, ts) if ts is not None else (False, 0), (txn is not None, txn) if txn is not None else (False, 0)
+
+
+class _LastChange(StatefulProcessor):
+    """State of a key: ``live`` (ts, txn, row) or ``gone`` (ts, txn, until), which a timer drops. Event time is the time
+    at which a row is handled, so no change is too late to be seen."""
+
+    def __init__(self, live: T.StructType, keep: timedelta):
+        self.live_type, self.keep = live, int(keep.total_seconds() * 1000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.live = handle.getValueState("live", self.live_type)
+        self.gone = handle.getValueState("gone", T.StructType([*self.live_type.fields[:2], T.StructField("until", T.LongType())]))
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._hold([initialState] if isinstance(initialState, Row) else initialState, fresh=True)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self._hold(rows)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        gone = self.gone.get()
+        if gone is not None and gone[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.gone.clear()
+        return iter(())
 
-    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int = BUCKETS):
-        self.spark, self.folder, self.keys, self.buckets = spark, folder.rstrip("/"), keys, buckets
+    def _hold(self, rows, fresh: bool = False) -> None:
+        """Each look at the state is a call to the JVM; a key is live or gone, not both."""
+        live = None if fresh else self.live.get()
+        tombstone = gone = None if fresh or live is not None else self.gone.get()
+        changed = None
+        for r in rows:
+            if gone is not None and gone[2] <= r["handled"]:
+                gone = None
+            held = changed or live or gone
+            if held is None or _order(r["ts"], r["txn"]) >= _order(held[0], held[1]):
+                changed = r["ts"], r["txn"], r
+        if changed is None:
+            return
+        ts, txn, r = changed
+        if r["op"] == "delete":
+            if live is not None:
+                self.live.clear()
+            self.gone.update((ts, txn, r["handled"] + self.keep))
+            self.handle.registerTimer(r["handled"] + self.keep)
+        else:
+            if tombstone is not None:
+                self.gone.clear()
+            self.live.update((ts, txn, r["after"]))
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*[field(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+    def close(self) -> None:
+        pass
+
+
+def _newest(keys: list[str]):
+    """Of each key of a batch of rows only the newest change, so that a key with very many changes is met early."""
+
+    def run(batches):
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            order = pc.sort_indices(table, [("ts", "ascending"), ("txn", "ascending")], null_placement="at_start")
+            ranked = table.select(keys).take(order).append_column("__at", pa.array(range(len(order)), pa.int64()))
+            last = ranked.group_by(keys).aggregate([("__at", "max")])["__at_max"]
+            yield from table.take(order.take(last.combine_chunks())).to_batches()
+
+    return run
+
+
+class ChangeTarget:
+    """``folder`` must be durable and reached by all executors. ``partitions`` of the state are fixed when a checkpoint is
+    new (the session's shuffle partitions if not given)."""
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], keep_deletes: timedelta = KEEP_DELETES,
+                 partitions: int | None = None):
+        self.spark, self.folder, self.keys, self.keep, self.partitions = spark, folder.rstrip("/"), keys, keep_deletes, partitions
 
     def create(self, rows: DataFrame, ts: str = "timestamp", txn: str = "bigint") -> "ChangeTarget":
         """Start from ``rows`` (one per key); any change is newer than they are. ``ts`` and ``txn``: the log's types."""
-        state = rows.select(
-            F.struct(*[field(c) for c in rows.columns]).alias("row"), *[field(k).alias(f"key_{i}") for i, k in enumerate(self.keys)],
-            F.lit(None).cast(ts).alias("ts"), F.lit(None).cast(txn).alias("txn"), F.lit(False).alias("deleted"), self._bucket().alias("bucket"))
-        self._write(state, 0, self.spark.range(self.buckets).select(F.col("id").cast("int").alias("bucket")))
+        first = rows.select(F.lit("insert").alias("op"), F.lit(None).cast(ts).alias("ts"), F.lit(None).cast(txn).alias("txn"),
+                            F.struct(*[field(c) for c in rows.columns]).alias("after"), *[field(k).alias(f"key_{i}") for i, k in enumerate(self.keys)])
+        path = f"{self.folder}/start-0"
+        first.write.parquet(path)
+        self._register(0, None, path)
         return self
 
-    def _write(self, state: DataFrame, version: int, touched: DataFrame) -> None:
-        state.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/data/version={version}")
-        touched.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/commits/version={version}")
-
-    def _state(self, before: int | None = None) -> DataFrame:
-        """The newest committed version of each bucket (of versions below ``before``)."""
-        commits = self.spark.read.parquet(f"{self.folder}/commits")
-        if before is not None:
-            commits = commits.filter(F.col("version") < before)
-        newest = commits.groupBy("bucket").agg(F.max("version").alias("version"))  # a row per bucket
-        data = self.spark.read.parquet(f"{self.folder}/data")
-        if before is not None:  # a version that is being written again is not read
-            data = data.filter(F.col("version") < before)
-        return data.join(F.broadcast(newest), ["bucket", "version"], "left_semi").drop("version")
-
-    def apply(self, log: DataFrame, batch: int) -> None:
-        """Apply a batch of changes (op, ts, txn, the keys, after); of each key the latest ever seen holds."""
-        latest = log.groupBy(*[field(k) for k in self.keys]).agg(
-            F.max_by(F.struct("op", "after", "ts", "txn"), F.struct("ts", "txn")).alias("c"))
-        version = batch + 1
-        old = self._state(version)
-        row_type = old.schema["row"].dataType
-        fresh = latest.select(F.col("c.after").cast(row_type).alias("row"), *[field(k).alias(f"key_{i}") for i, k in enumerate(self.keys)],
-                              F.col("c.ts").alias("ts"), F.col("c.txn").alias("txn"), (F.col("c.op") == "delete").alias("deleted"),
-                              self._bucket().alias("bucket"))
-        touched = fresh.select("bucket").distinct()
-        both = old.join(F.broadcast(touched), "bucket", "left_semi").unionByName(fresh)  # at most a row per bucket
-        keys = ["bucket", *[f"key_{i}" for i in range(len(self.keys))]]
-        held = F.max_by(F.struct("row", "ts", "txn", "deleted"), F.struct("ts", "txn")).alias("s")
-        # a struct of nulls orders before any change, and max_by skips only null structs
-        state = both.groupBy(*keys).agg(held).select("s.row", *keys[1:], "s.ts", "s.txn", "s.deleted", "bucket")
-        self._write(state, version, touched)
+    def _register(self, generation: int, checkpoint: str | None, start: str) -> None:
+        row = self.spark.createDataFrame([(generation, checkpoint, start)], "generation int, checkpoint string, start string")
+        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/generations")
+
+    def _generation(self) -> Row:
+        return self.spark.read.parquet(f"{self.folder}/generations").orderBy(F.desc("generation")).first()
+
+    def _committed(self, checkpoint: str) -> bool:
+        try:
+            return not self.spark.read.text(f"{checkpoint}/commits").isEmpty()
+        except AnalysisException:  # no such folder yet
+            return False
+
+    def state(self) -> DataFrame:
+        """The last change of every key that is not forgotten: op, ts, txn, after and the keys as key_0, key_1, ..."""
+        now = self._generation()
+        if now["checkpoint"] is None or not self._committed(now["checkpoint"]):
+            return self.spark.read.parquet(now["start"])
+        self.spark.conf.set(_PROVIDER, _ROCKSDB)
+        kinds = self.spark.read.parquet(now["start"]).schema
+        names = [f"key_{i}" for i in range(len(self.keys))]
+
+        def stored(variable: str, op: str) -> DataFrame:
+            rows = self.spark.read.format("statestore").option("path", now["checkpoint"]).option("stateVarName", variable).load()
+            row = F.from_json("value.after", kinds["after"].dataType, _JSON) if variable == "live" else F.lit(None).cast(kinds["after"].dataType)
+            return rows.select(F.lit(op).alias("op"), *[_back(F.col(f"value.{c}"), kinds[c].dataType).alias(c) for c in ("ts", "txn")],
+                                row.alias("after"), *[_back(F.col("key")[n], kinds[n].dataType).alias(n) for n in names])
+
+        return stored("live", "insert").unionByName(stored("gone", "delete"))
 
     def rows(self) -> DataFrame:
-        """The table as it stands: no deleted keys, only its own columns."""
-        return self._state().filter(~F.col("deleted")).select("row.*")
-
-    def superseded(self) -> DataFrame:
-        """(bucket, version) of data folders that no reader needs any more and that may be deleted."""
-        commits = self.spark.read.parquet(f"{self.folder}/commits")
-        newest = commits.groupBy("bucket").agg(F.max("version").alias("newest"))
-        return commits.join(F.broadcast(newest), "bucket").filter("version < newest").select("bucket", "version")
+        """The table as it stands after the last finished batch: no deleted keys, only its own columns."""
+        return self.state().filter("op <> 'delete'").select("after.*")
+
+    def subscribe(self, log: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+        """Apply a stream of changes (op, ts, txn, the keys, after) until it ends or is stopped."""
+        self.spark.conf.set(_PROVIDER, _ROCKSDB)
+        now = self._generation()
+        if now["checkpoint"] != checkpoint:
+            start = f"{self.folder}/start-{now['generation'] + 1}-{new_folder(self.spark, 's').rpartition('-')[2]}"
+            self.state().write.parquet(start)
+            self._register(now["generation"] + 1, checkpoint, start)
+        else:
+            start = now["start"]
+        first = self.spark.read.parquet(start)
+        names = [f"key_{i}" for i in range(len(self.keys))]
+        kinds = first.schema
+
+        def plain(rows: DataFrame) -> DataFrame:
+            return rows.select("op", *[_plain(F.col(c), kinds[c].dataType).alias(c) for c in ("ts", "txn")],
+                               F.to_json("after", _JSON).alias("after"), *[_plain(F.col(n), kinds[n].dataType).alias(n) for n in names])
+
+        changes = plain(log.select("op", *[F.col(c).cast(kinds[c].dataType).alias(c) for c in ("ts", "txn", "after")],
+                                   *[field(k).cast(kinds[n].dataType).alias(n) for k, n in zip(self.keys, names)]))
+        held = changes.schema
+        if not any(isinstance(held[n].dataType, (T.ArrayType, T.StructType, T.MapType)) for n in names):
+            changes = changes.mapInArrow(_newest(names), held)
+        live = T.StructType([held["ts"], held["txn"], held["after"]])
+        handled = F.unix_millis(F.current_timestamp()).alias("handled")
+        timed = changes.select("*", handled, F.current_timestamp().alias("now")).withWatermark("now", "0 seconds")
+        applied = timed.groupBy(*names).transformWithState(
+            _LastChange(live, self.keep), T.StructType([held[n] for n in names]), "Update", "EventTime",
+            plain(first).select("*", handled).groupBy(*names))
+        writer = applied.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+        shuffle, usual = "spark.sql.shuffle.partitions", self.spark.conf.get("spark.sql.shuffle.partitions")
+        try:  # a query keeps the settings it started with
+            self.spark.conf.set(shuffle, str(self.partitions or usual))
+            return (writer.trigger(availableNow=True) if available_now else writer).start()
+        finally:
+            self.spark.conf.set(shuffle, usual)

@@ -202,24 +202,74 @@ def test_stream_join_bounds(spark, folder, tiles):
     assert rows(drain(spark, joined.select("id", "right_id"), folder)) == [(1, 3), (2, 5)]
 
 
+LOG = "op string, ts timestamp, txn bigint, k string, after struct<k:string,v:double,at:timestamp,tags:map<string,date>>"
+
+
+def log_stream(spark, path, changes):
+    """A stream of change files, one per batch: (op, minute, txn, key, value)."""
+    for i, batch in enumerate(changes):
+        rows_ = [(op, at(minute), txn, k, None if op == "delete" else (k, v, at(minute), {"d": dt.date(2024, 1, 1 + minute % 9)}))
+                 for op, minute, txn, k, v in batch]
+        spark.createDataFrame(rows_, LOG).coalesce(1).write.mode("append").parquet(f"{path}/{i:03}")
+    return spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+
+
+def change_target(spark, keep=None, keys=("a", "c", "d")):
+    start = [(k, 0.5, at(0), {"d": dt.date(2020, 2, 29)}) for k in keys]
+    target = ChangeTarget(spark, new_folder(spark, "target"), ["k"], **({"keep_deletes": keep} if keep else {}))
+    return target.create(spark.createDataFrame(start, "k string, v double, at timestamp, tags map<string,date>"))
+
+
+BATCHES = [[("update", 3, 1, "a", 1.0), ("update", 0, 2, "b", 2.0)], [("delete", 4, 3, "a", None), ("update", 6, 4, "b", 3.0)],
+           [("update", 2, 5, "a", 9.0), ("update", 5, 6, "b", 9.0), ("insert", 1, 7, "e", 5.0), ("update", 2, 8, None, 4.0)]]
+EXPECTED = [(None, 4.0), ("b", 3.0), ("c", 0.5), ("d", 0.5), ("e", 5.0)]
+
+
 def test_change_subscription_over_several_batches(spark, folder):
-    """Late changes, and an update older than its key's deletion, change nothing."""
-    target = ChangeTarget(spark, new_folder(spark, "target"), ["k"], 4) \
-        .create(spark.createDataFrame([("a", 0.0), ("c", 7.0), ("d", 1.0)], "k string, v double"))
-    stream = feed(spark, folder, [[(1, "a", at(3), 1.0), (2, "b", at(0), 2.0)], [(3, "a", at(4), -1.0), (4, "b", at(6), 3.0)],
-                                  [(5, "a", at(2), 9.0), (6, "b", at(5), 9.0), (7, "e", at(1), 5.0)]])
-    log = stream.select(F.expr("IF(v < 0, 'delete', 'update')").alias("op"), "ts", F.col("id").alias("txn"), "k",
-                        F.expr("IF(v < 0, NULL, named_struct('k', k, 'v', v))").alias("after"))
-    streams.subscribe_changes(log, target, new_folder(spark, "sub")).awaitTermination()
-    expected = [("b", 3.0), ("c", 7.0), ("d", 1.0), ("e", 5.0)]
-    assert rows(target.rows()) == expected
-    batch = spark.createDataFrame([("update", at(9), 9, "c", ("c", 8.0))], "op string, ts timestamp, txn int, k string, after struct<k:string,v:double>")
-    target.apply(batch, 7)
-    target.apply(batch, 7)  # a batch that is handed over again
-    assert rows(target.rows()) == [("b", 3.0), ("c", 8.0), ("d", 1.0), ("e", 5.0)]
-    assert target.superseded().filter("version = 7").isEmpty()
-    rewritten = spark.read.parquet(f"{target.folder}/commits").filter("version = 8")
-    assert rewritten.count() == 1  # one key, one bucket
+    """Late changes, and an update older than its key's deletion, change nothing; values of all types come back."""
+    target = change_target(spark)
+    assert rows(target.rows(), "k", "v") == [("a", 0.5), ("c", 0.5), ("d", 0.5)]
+    stream = log_stream(spark, f"{folder}/log", BATCHES)
+    streams.subscribe_changes(stream, target, f"{folder}/checkpoint").awaitTermination()
+    assert rows(target.rows(), "k", "v") == EXPECTED
+    held = {r.k: (r.at, r.tags) for r in target.rows().collect()}
+    assert held["b"] == (at(6), {"d": dt.date(2024, 1, 7)}) and held["c"] == (at(0), {"d": dt.date(2020, 2, 29)})
+    # the same checkpoint goes on where it stopped
+    log_stream(spark, f"{folder}/log", [[]] * 3 + [[("update", 9, 9, "c", 8.0)] * 3])
+    streams.subscribe_changes(stream, target, f"{folder}/checkpoint").awaitTermination()
+    assert rows(target.rows(), "k", "v") == [*EXPECTED[:2], ("c", 8.0), *EXPECTED[3:]]
+
+
+def test_changes_after_a_restart_on_a_new_checkpoint(spark, folder):
+    """What was applied is kept, tombstones too; later changes win, and a source that is sent again changes nothing."""
+    target = change_target(spark)
+    streams.subscribe_changes(log_stream(spark, f"{folder}/one", BATCHES), target, f"{folder}/c1").awaitTermination()
+    late = [[("update", 3, 1, "a", 7.0), ("update", 7, 1, "b", 7.0)], [("update", 4, 4, "a", 6.0), ("delete", 8, 1, "d", None)]]
+    streams.subscribe_changes(log_stream(spark, f"{folder}/two", late), target, f"{folder}/c2").awaitTermination()
+    after = [(None, 4.0), ("a", 6.0), ("b", 7.0), ("c", 0.5), ("e", 5.0)]
+    assert rows(target.rows(), "k", "v") == after
+    streams.subscribe_changes(log_stream(spark, f"{folder}/one", []), target, f"{folder}/c3").awaitTermination()
+    assert rows(target.rows(), "k", "v") == after
+
+
+def test_tombstones_expire(spark, folder):
+    target = change_target(spark, dt.timedelta(milliseconds=1))
+    streams.subscribe_changes(log_stream(spark, f"{folder}/log", BATCHES[:2]), target, f"{folder}/c").awaitTermination()
+    again = log_stream(spark, f"{folder}/log", [[]] * 3 + [[("update", 1, 1, "a", 2.5), ("update", 1, 1, "c", 2.5)]])
+    streams.subscribe_changes(again, target, f"{folder}/c").awaitTermination()
+    assert rows(target.rows(), "k", "v") == [("a", 2.5), ("b", 3.0), ("c", 2.5), ("d", 0.5)]
+
+
+def test_one_key_with_most_changes(spark, folder):
+    """Of a key's changes only the newest of each part of a file goes to its state."""
+    from millrace.streaming.targets import _newest
+
+    many = [("update", i % 60, i, "a", float(i)) for i in range(3000)] + [("update", 1, 1, "b", 1.0)]
+    target = change_target(spark)
+    streams.subscribe_changes(log_stream(spark, f"{folder}/log", [many]), target, f"{folder}/c").awaitTermination()
+    assert rows(target.rows().filter("k < 'c'"), "k", "v") == [("a", 2999.0), ("b", 1.0)]
+    plain = spark.read.parquet(f"{folder}/log/000").select("ts", "txn", "k")
+    assert plain.mapInArrow(_newest(["k"]), plain.schema).count() == 2
 
 
 class FakeConnection:

@@ -199,3 +199,22 @@ def test_impact_walks_to_the_end_of_chains_and_cycles(spark):
     found = lineage.impact(edges, roots)
     assert rows(found.filter("depth >= 9"), "table", "depth") == [("t10", 10), ("t11", 11), ("t12", 12), ("t9", 9)] and found.count() == 12
     assert lineage.impact(edges, roots, 3).count() == 3
+
+
+@pytest.mark.parametrize("frame,keys,limit", [((-2, 0), ["k"], 1), ((0, 0), ["k"], 4), ((-3, 5), ["k"], 4), ((2, 4), ["k"], 25),
+                                              ((-9, -4), ["k"], 7), ((-40, 40), ["k"], 4), ((-3, 5), [], 8)])
+def test_split_frames_equal_plain_frames(spark, frame, keys, limit):
+    """Bounded frames on either side of their row, with tiles smaller and larger than they are."""
+    df = spark.range(90).selectExpr("id AS n", "IF(id < 60, 'big', IF(id < 80, null, 'small')) AS k", "IF(id % 7 = 0, null, id) AS v",
+                                    "IF(id % 11 = 0, null, id % 5) AS o")
+    for function, extra in (("Sum", {"source": "v"}), ("Custom", {"expression": "collect_list(n)"})):
+        plain = apply_window(df, function, keys, ["o", "n"], "w", rows_between=frame, **extra)
+        split = apply_window(df, function, keys, ["o", "n"], "w", rows_between=frame, max_group_rows=limit, **extra)
+        assert rows(split, "n", "k", "w") == rows(plain, "n", "k", "w")
+
+
+def test_frames_that_make_no_sense(spark):
+    df = spark.createDataFrame([("a", 1, 5)], "k string, o int, v int")
+    for function, order, frame in (("Rank", ["o"], (-1, 0)), ("Sum", [], (-1, 0)), ("Sum", ["o"], (1, 0))):
+        with pytest.raises(ValueError):
+            apply_window(df, function, ["k"], order, "w", "v", rows_between=frame)

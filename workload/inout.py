@@ -254,7 +254,7 @@ def stream_process_batch(spark, sf_dir):
     UNION ALL SELECT c_custkey, 'none', 0.0 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
 def cdc_stream(spark, sf_dir):
     """Several micro-batches in no order of time: the events lie in files by the hash of their id."""
-    target = ChangeTarget(spark, new_folder(spark, "cdc-target"), ["user_id"], 16).create(
+    target = ChangeTarget(spark, new_folder(spark, "cdc-target"), ["user_id"], partitions=4).create(
         table(spark, sf_dir, "customer").selectExpr("c_custkey AS user_id", "'none' AS event_type", "0.0D AS value"))
     source = new_folder(spark, "cdc-source")
     events = table(spark, sf_dir, "events")

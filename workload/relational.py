@@ -294,6 +294,15 @@ def win_custom(spark, sf_dir):
     return out.select("event_id", "w")
 
 
+@query("win_custom_rows", f"""SELECT event_id, max(event_id) OVER w - min(event_id) OVER w AS w, count(*) OVER w AS n FROM {_EVENTS}
+    WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 3 FOLLOWING)""")
+def win_custom_rows(spark, sf_dir):
+    """Frames of rows over a handful of large partitions, each cut into tiles of at most 1,000 rows."""
+    out = apply_window(_events(spark, sf_dir), "Custom", ["event_type"], _BY, "ids", expression="collect_list(event_id)",
+                       rows_between=(-5, 3), max_group_rows=1000)
+    return out.select("event_id", (F.array_max("ids") - F.array_min("ids")).alias("w"), F.size("ids").cast("long").alias("n"))
+
+
 # -- sorting and paging -----------------------------------------------------------------------------------------
 
 @query("sort_by", "SELECT c_custkey, c_name, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey DESC")
