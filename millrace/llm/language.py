@@ -8,8 +8,6 @@ concave in the weights, so its slope towards another language bounds what adding
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -20,8 +18,8 @@ BUCKETS = 1 << 16
 PENALTY = 0.02        # gain per trigram that another language must bring, and at least LEAST in all
 LEAST = 12.0
 ROUNDS = 30
-SAMPLE = 2_000        # labelled documents per language to learn from, about
-_LETTER = re.compile(r"[^\W\d_]")
+SAMPLE = 2_000        # labelled texts per language to learn from, about
+LANGUAGES = 400       # at most
 _BLANK = np.arange(256, dtype=np.uint8)  # digits, signs and white space become blanks
 _BLANK[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
@@ -46,11 +44,9 @@ class LanguageModel:
 
     def proportions(self, text: str | None, penalty: float = PENALTY) -> dict[str, float] | None:
         """Language proportions of a whole text; None without a letter or without a language to choose from."""
-        if text is None or not self.languages or not _LETTER.search(text):
+        if text is None or not self.languages or not any(map(str.isalpha, text)):
             return None
         grams = trigrams(text)
-        if not len(grams):
-            return {self.languages[0]: 1.0}
         chance = self.p[grams]
         logs = np.log(chance).sum(axis=0, dtype=np.float64)
         chosen = [int(np.argmax(logs))]
@@ -85,17 +81,23 @@ class LanguageModel:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> LanguageModel:
-    """Learn from about ``sample`` documents of each language (all, if there are fewer), chosen by the hash of the
-    text. Rows with a null text or language are left out; without rows the model knows no language."""
+    """Learn from about ``sample`` different texts of each language (all, if there are fewer), chosen by the hash of the
+    text; copies count once. Rows with a null text or language are left out; without rows the model knows no language.
+    More than LANGUAGES languages are an error: the model is a table of BUCKETS numbers for each."""
     spark = labelled.sparkSession
     ready(spark)
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).dropna()
-    total = {r["lang"]: r["count"] for r in rows.select("lang").groupBy("lang").count().collect()}  # a row a language
+    counted = rows.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text", F.lit(7))).alias("n"))
+    total = {r["lang"]: r["n"] for r in counted.limit(LANGUAGES + 1).collect()}  # a row a language
+    if len(total) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     languages = sorted(total)
     if not languages:
         return LanguageModel([], np.zeros((BUCKETS, 0)))
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, sample / total[k])))])
-    drawn = rows.filter((F.xxhash64("text", F.lit(7)).bitwiseAND(0xFFFFFFF) / F.lit(float(1 << 28))) < share[F.col("lang")])
+    drawn = rows.withColumn("h", F.xxhash64("text", F.lit(7))) \
+        .filter((F.col("h").bitwiseAND(0xFFFFFFF) / F.lit(float(1 << 28))) < share[F.col("lang")]) \
+        .groupBy("lang", "h").agg(F.min("text").alias("text")).drop("h")  # copies meet before the shuffle
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}

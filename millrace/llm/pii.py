@@ -1,13 +1,15 @@
 """Personal data in texts: patterns propose spans, checksums confirm them, nearby words adjust their scores.
 
-Base kinds (email, ip, card, phone) are kept whenever their own checks hold. The added kinds (iban, ssn, tel) need a
-score of at least ``LEAST``, which the number alone reaches only by a checksum; otherwise words before it must name it.
+Base kinds (email, ip, card, phone) are kept whenever their own checks hold. The added kinds (iban, ssn, tel, and access and
+secret for keys to accounts) need a score of at least ``LEAST``, which a number alone reaches only by a checksum; otherwise
+words before it must name it.
 Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from millrace.llm.frames import add_columns
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "tel")
+KINDS = (*BASE, "iban", "ssn", "tel", "access", "secret")
 LEAST = 0.6
 REACH = 40  # code points before a span that are searched for context words
 
@@ -35,16 +37,21 @@ _LENGTHS = {country: length for length, countries in _COUNTRIES.items() for coun
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _TEL = re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-]*[0-9])")
 _DIGIT = re.compile(r"[0-9]")
+_ACCESS = re.compile(r"(?<![A-Z0-9])AKIA[A-Z0-9]{16,}")
+_SECRET = re.compile(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]{6,})")
+_HEX = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,}(?![0-9A-Za-z])")
 
 # Words that raise a kind's score, and words that lower any (numbers of other things)
 _CONTEXT = {
     "email": r"e-?mail|mail|contact|write", "ip": r"ip|address|host|server", "card": r"card|visa|credit|debit|payment",
     "phone": r"phone|tel|call|mobile|fax", "iban": r"iban|account|konto|compte|cuenta|bank",
     "ssn": r"ssn|social security|security number", "tel": r"phone|tel|call|mobile|fax|téléphone|telefon|teléfono",
+    "access": r"key|access|aws|id", "secret": r"password|passwd|secret|token|api_?key|key|credential",
 }
 _NEAR = {kind: re.compile(rf"\b(?:{words})\b", re.IGNORECASE) for kind, words in _CONTEXT.items()}
 _OTHER = re.compile(r"\b(?:order|invoice|version|isbn|page|part|serial|ticket)\b", re.IGNORECASE)
-_START = {"email": 0.9, "ip": 0.7, "card": 0.5, "phone": 0.8, "iban": 0.4, "ssn": 0.4, "tel": 0.4}
+_START = {"email": 0.9, "ip": 0.7, "card": 0.5, "phone": 0.8, "iban": 0.4, "ssn": 0.4, "tel": 0.4,
+          "access": 0.7, "secret": 0.4}
 
 
 class Span(NamedTuple):
@@ -142,6 +149,18 @@ def _score(text: str, kind: str, start: int, confirmed: bool) -> float:
     return min(1.0, max(0.0, score))
 
 
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order; no two overlap."""
+    starts, ends = [], []
+    for s in sorted(spans, key=lambda s: s.start):
+        if ends and s.start < ends[-1]:
+            ends[-1] = max(ends[-1], s.end)
+        else:
+            starts.append(s.start)
+            ends.append(s.end)
+    return starts, ends
+
+
 def find(text: str | None) -> list[Span]:
     """All spans of a whole text by start, then kind in the order of KINDS; a null text has none.
 
@@ -150,13 +169,23 @@ def find(text: str | None) -> list[Span]:
     if not text:
         return []
     spans = [Span(k, a, b, _score(text, k, a, k == "card")) for k, a, b in base_spans(text)]
+    added = []
+    if _DIGIT.search(text):
+        added += [("iban", a, b) for a, b in ibans(text)]
+        added += [(kind, *m.span()) for kind, pattern in (("ssn", _SSN), ("tel", _TEL)) for m in pattern.finditer(text)]
+        added += [("access", *m.span()) for m in _ACCESS.finditer(text)]
+    if "=" in text or ":" in text:
+        added += [("secret", *m.span(1)) for m in _SECRET.finditer(text)]
     if _DIGIT.search(text):
-        added = [("iban", a, b) for a, b in ibans(text)]
-        added += [(kind, m.start(), m.end()) for kind, pattern in (("ssn", _SSN), ("tel", _TEL)) for m in pattern.finditer(text)]
-        for kind, start, end in added:
-            score = _score(text, kind, start, kind == "iban")
-            if score >= LEAST and not any(s.start < end and start < s.end for s in spans):
-                spans.append(Span(kind, start, end, score))
+        added += [("secret", *m.span()) for m in _HEX.finditer(text)]
+    starts, ends = _merged(spans)
+    for kind, start, end in added:
+        score = _score(text, kind, start, kind == "iban")
+        at = bisect_left(starts, end)  # of the taken stretches, the last that begins before the end
+        if score >= LEAST and not (at and ends[at - 1] > start):
+            spans.append(Span(kind, start, end, score))
+            starts.insert(at, start)
+            ends.insert(at, end)
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
 

@@ -165,14 +165,18 @@ def train(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
           sample: int = SAMPLE) -> Trees:
     """Learn from about ``sample`` labelled documents (all, if there are fewer), chosen by the hash of their id.
 
-    Null ids, labels and labels without a document are left out; of repeated ids every row counts. The features of the
-    sample, not its texts, come to the driver.
+    Null ids, labels and labels without a document are left out. An id counts once, whatever often it is repeated: with
+    the label that most of its labels say (a tie is good), and with the text that comes first by its hash. The features of
+    the sample, not its texts, come to the driver.
     """
     rows = labels.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{label}`").cast("double").alias("__label")).dropna()
+    rows = rows.groupBy("__id").agg((F.avg("__label") >= 0.5).cast("double").alias("__label"))
     total = rows.count()
     drawn = rows.filter(F.xxhash64("__id").bitwiseAND(0xFFFFFFF) / F.lit(float(1 << 28)) < min(1.0, sample / max(1, total)))
     texts = df.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))
-    learned = measure(texts.join(F.broadcast(drawn), "__id"), "__text").select("features", "__label").toPandas()
+    met = texts.join(F.broadcast(drawn), "__id").withColumn("__hash", F.xxhash64("__text"))
+    learned = measure(met, "__text").groupBy("__id").agg(F.min_by("features", "__hash").alias("features"), F.max("__label").alias("__label")) \
+        .toPandas().sort_values("__id", ignore_index=True)
     features = np.stack(learned["features"].to_list()) if len(learned) else np.empty((0, len(FEATURES)))
     return grow(features, learned["__label"].to_numpy(np.float64), list(FEATURES.values()))
 

@@ -14,8 +14,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.llm.frames import add_columns, without, written
 
-MAX_WORD = 24    # longest word of the unigram model
-MAX_LABEL = 63   # longest host label of the name system; longer parts stay whole
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,20 +55,30 @@ def fitting_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 def word_counts(df: DataFrame, markup: str) -> DataFrame:
     """``word``, ``n``: words of letters a-z in the visible text of markup pages."""
-    visible = F.regexp_replace(F.col(f"`{markup}`"), r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ")
+    # what is never closed goes on to the end, so no tag is searched for in vain
+    visible = F.regexp_replace(F.col(f"`{markup}`"), r"(?s)<(script|style)\b.*?(?:</\1>|\z)|<[^>]*(?:>|\z)", " ")
     return df.select(F.explode(F.regexp_extract_all(F.lower(visible), F.lit(r"\p{L}+"), F.lit(0))).alias("word")) \
-        .filter(f"length(word) <= {MAX_WORD} AND word RLIKE '^[a-z]+$'").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        .filter("word RLIKE '^[a-z]+$'").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_split(part: str, counts: dict[str, int], total: int) -> list[str]:
-    """The most likely words of a concatenated name; a word without a count costs more with each letter."""
+    """The most likely words of a concatenated name; a word without a count costs more with each letter.
+
+    Words that have a count are tried by their lengths; the best start of one that has none only moves on when a later
+    start is better, so a step takes no longer in a long name. Of equally likely splits the last word is the shortest.
+    """
+    lengths = sorted({len(w) for w in counts})
+    letter, unknown = math.log(10), math.log(max(total, 1) + 1)
     best: list[tuple[float, int]] = [(0.0, 0)]
+    open_ = (-math.inf, 0)  # chance of the best split that ends in an unknown word, and where that begins
     for end in range(1, len(part) + 1):
-        options = []
-        for begin in range(max(0, end - MAX_WORD), end):
-            n = counts.get(part[begin:end], 0)
-            chance = math.log(n / total) if n else -math.log(max(total, 1) + 1) - math.log(10) * (end - begin)
-            options.append((best[begin][0] + chance, begin))
+        open_ = max((open_[0] - letter, open_[1]), (best[end - 1][0] - unknown - letter, end - 1))
+        options = [open_]
+        for length in lengths:
+            if length > end:
+                break
+            if n := counts.get(part[end - length:end], 0):
+                options.append((best[end - length][0] + math.log(n / total), end - length))
         best.append(max(options))
     words, end = [], len(part)
     while end:
@@ -86,15 +94,14 @@ def split_hosts(hosts: DataFrame, words: DataFrame) -> DataFrame:
     parts = hosts.select("host", F.posexplode(F.regexp_extract_all("host", F.lit("[a-z]+"), F.lit(0))).alias("at", "part"))
     distinct = written(parts.select("part").distinct(), "parts")
     begins = F.sequence(F.lit(1), F.length("part"))
-    pieces = distinct.filter(f"length(part) <= {MAX_LABEL}").select("part", F.explode(begins).alias("begin")) \
-        .select("part", F.explode(F.expr(
-            f"transform(sequence(1, least({MAX_WORD}, length(part) - begin + 1)), n -> substring(part, begin, n))"
-        )).alias("word")).distinct()
+    lengths = [r["n"] for r in words.select(F.length("word").alias("n")).distinct().collect()]  # a number a word length
+    fitting = F.filter(F.lit(sorted(lengths)) if lengths else F.array().cast("array<int>"), lambda n: n <= F.length("part") - F.col("begin") + 1)
+    pieces = distinct.select("part", F.explode(begins).alias("begin")) \
+        .select("part", F.explode(F.transform(fitting, lambda n: F.substring(F.col("part"), F.col("begin"), n))).alias("word")).distinct()
     known = pieces.join(words, "word").groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("counts"))
 
     def make():
-        return lambda names, counts: ([best_split(p, dict(c or ()), total) if len(p) <= MAX_LABEL else [p]
-                                       for p, c in zip(names, counts)],)
+        return lambda names, counts: ([best_split(p, dict(c or ()), total) for p, c in zip(names, counts)],)
 
     split = written(add_columns(distinct.join(known, "part", "left"), ["part", "counts"], "words array<string>", make)
                     .select("part", "words"), "parts")
