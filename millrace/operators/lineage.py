@@ -48,8 +48,11 @@ def _walk(steps: DataFrame, roots: DataFrame, node: list[str], depth: int | None
 
     ``steps`` has ``from_<n>`` and ``to_<n>`` for each node column, ``roots`` has the node columns. Each level
     joins the frontier to the steps and drops what was visited, so cycles end. A level is written to the shared
-    folder before the next one reads it; otherwise every level would compute all earlier ones twice.
+    folder before the next one reads it; otherwise every level would compute all earlier ones twice. Without a limit the
+    walk doubles its reach instead, see :func:`_closure`.
     """
+    if depth is None:
+        return _closure(steps, roots, node, max_group_rows)
     root = [f"root_{n}" for n in node]
     leaving = [f"from_{n}" for n in node]
     steps = steps.distinct()
@@ -78,6 +81,47 @@ def _walk(steps: DataFrame, roots: DataFrame, node: list[str], depth: int | None
     return reduce(DataFrame.unionByName, levels)
 
 
+def _closure(steps: DataFrame, roots: DataFrame, node: list[str], max_group_rows: int) -> DataFrame:
+    """All nodes reachable from each root, at their smallest depth, in about log2(depth) rounds.
+
+    ``pairs`` holds the smallest number of steps between nodes that are at most 2^r apart. A round goes on from every
+    node reached by any pair, which doubles the reach, and then joins the pairs to themselves. Sums of two least numbers
+    give the least, since a shortest way is cut at any of its nodes into two. A round that reaches nothing new is the last.
+    """
+    root, leaving, arriving = [f"root_{n}" for n in node], [f"from_{n}" for n in node], [f"to_{n}" for n in node]
+    pairs = materialize(steps.filter(~all_of([F.col(a).eqNullSafe(F.col(b)) for a, b in zip(leaving, arriving)]))
+                        .select(*leaving, *arriving).distinct().withColumn("steps", F.lit(1)))
+    start = roots.distinct()
+    reach = materialize(start.select(*[field(n).alias(r) for n, r in zip(node, root)], *[field(n) for n in node], F.lit(0).alias("depth")))
+    known = reach.count()
+    while True:
+        reach = materialize(_round(reach, pairs, root, node, leaving, arriving, max_group_rows))
+        count = reach.count()
+        if count == known:
+            return reach.filter("depth > 0")
+        known = count
+        on = pairs.select(*leaving, *[F.col(a).alias(n) for a, n in zip(arriving, node)], F.col("steps").alias("depth"))
+        both = _round(on, pairs, leaving, node, leaving, arriving, max_group_rows)
+        pairs = materialize(both.select(*leaving, *[F.col(n).alias(a) for a, n in zip(arriving, node)], F.col("depth").alias("steps"))
+                            .filter(~all_of([F.col(a).eqNullSafe(F.col(b)) for a, b in zip(leaving, arriving)])))
+
+
+def _round(reach: DataFrame, pairs: DataFrame, origin: list[str], node: list[str], leaving: list[str], arriving: list[str],
+           max_group_rows: int) -> DataFrame:
+    """What is reached, and what the pairs add: (origin…, node…, depth), each once at its smallest depth."""
+    heavy = skew.heavy_groups(pairs, leaving, max_group_rows)
+    names = {f: f"__{f}" for f in leaving}  # the origin may bear the same names
+    onward = pairs.select(*[F.col(f).alias(n) for f, n in names.items()], *arriving, "steps")
+    if heavy:
+        few, big = skew.split_heavy(onward, list(names.values()), heavy)
+        parts = few, skew.numbered(big, "__rid"), heavy, skew.tiles(skew.NONE, heavy, max_group_rows)
+        met = _hop(reach, *parts, node, list(names.values()))
+    else:
+        met = reach.join(onward, _met(node, list(names.values())))
+    added = met.select(*origin, *[F.col(a).alias(n) for a, n in zip(arriving, node)], (F.col("depth") + F.col("steps")).alias("depth"))
+    return reach.unionByName(added).groupBy(*origin, *[field(n) for n in node]).agg(F.min("depth").alias("depth"))
+
+
 def _met(node: list[str], leaving: list[str]) -> Column:
     return all_of([F.col(a) == F.col(n) for a, n in zip(leaving, node)])
 
@@ -90,16 +134,16 @@ def _hop(frontier: DataFrame, few_steps: DataFrame, big_steps: DataFrame, heavy:
     return few_front.join(few_steps, _met(node, leaving)).unionByName(met.drop("__lid", "__rid"))
 
 
-def downstream(edges: DataFrame, roots: DataFrame, depth: int = 1,
+def downstream(edges: DataFrame, roots: DataFrame, depth: int | None = 1,
                max_group_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
-    """Tables fed by each root table (column ``table``) within ``depth`` steps: root_table, table, depth."""
+    """Tables fed by each root table (column ``table``) within ``depth`` steps (None: all): root_table, table, depth."""
     steps = edges.select(F.col("source_table").alias("from_table"), F.col("target_table").alias("to_table"))
     return _walk(steps, roots, ["table"], depth, max_group_rows)
 
 
-def upstream(edges: DataFrame, roots: DataFrame, depth: int = 1,
+def upstream(edges: DataFrame, roots: DataFrame, depth: int | None = 1,
              max_group_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
-    """Tables that feed each root table within ``depth`` steps: root_table, table, depth."""
+    """Tables that feed each root table within ``depth`` steps (None: all): root_table, table, depth."""
     steps = edges.select(F.col("target_table").alias("from_table"), F.col("source_table").alias("to_table"))
     return _walk(steps, roots, ["table"], depth, max_group_rows)
 

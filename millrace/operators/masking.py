@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from millrace.functions.columns import NUMERIC, as_text, field
 
 MASK_TYPES = ("Redact", "PartialMask", "Tokenize", "Randomize", "Hash", "DateShift", "NumberVariance", "Custom")
+KEYED = ("Tokenize", "Randomize", "Hash", "DateShift", "NumberVariance")
 
 
 @dataclass(frozen=True)
@@ -38,29 +39,58 @@ def _partial(text: Column, start: int, end: int, char: str) -> Column:
     return F.when(length <= start + end, F.repeat(F.lit(char), length)).otherwise(shown)
 
 
+def _letters(first: str, last: str) -> str:
+    return "".join(chr(c) for c in range(ord(first), ord(last) + 1) if chr(c).isalnum())
+
+
+#: Characters are replaced within their class; those of no class stay.
+CLASSES = tuple(_letters(*ends) for ends in ("az", "AZ", "09", "ßÿ", "ÀÞ", "Āſ", "αω", "ΑΩ", "ая", "АЯ"))
+ROUNDS = 4
+
+
 def _tokenize(text: Column, secret: str, preserve_length: bool, preserve_format: bool) -> Column:
-    hashed = digest(text, secret)
     if preserve_format:
-        # the lambda binds the digest, so that it is computed once and not for every character
-        swapped = F.transform(F.array(hashed), lambda h: F.array_join(
-            F.transform(F.split(text, ""), lambda c, i: _swap(c, i, h)), ""))
-        return F.get(swapped, F.lit(0))
+        return _permuted(text, secret)
+    hashed = digest(text, secret)
     if preserve_length:
         return F.substring(F.repeat(hashed, F.ceil(F.length(text) / 64).cast("int")), F.lit(1), F.length(text))
     return hashed
 
 
-def _swap(char: Column, index: Column, hashed: Column) -> Column:
-    """Replace one character within its class by a byte of the digest (32 bytes, reused in turn)."""
-    byte = F.conv(F.substring(hashed, (index % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    return (
-        F.when(char.rlike("^[0-9]$"), F.substring(F.lit(digits), byte % 10 + 1, F.lit(1)))
-        .when(char.rlike("^[A-Z]$"), F.substring(F.lit(upper), byte % 26 + 1, F.lit(1)))
-        .when(char.rlike("^[a-z]$"), F.substring(F.lit(lower), byte % 26 + 1, F.lit(1)))
-        .when(char.rlike("^\\p{L}$"), F.substring(F.lit(lower), byte % 26 + 1, F.lit(1)))
-        .otherwise(char)
-    )
+def _permuted(text: Column, secret: str) -> Column:
+    """Another text of the same length and the same class at every place; no two texts have the same.
+
+    Feistel rounds: the characters at even places turn within their classes by a keyed digest of those at odd places, then
+    the reverse. Each round can be undone, since what it depends on is still there, so all rounds are a permutation. A
+    round is one digest and one pass over the text.
+    """
+
+    def round_of(number: int):
+        turned = number % 2
+
+        def run(chars: Column) -> Column:
+            others = F.array_join(F.filter(chars, lambda _, i: i % 2 != turned), "")
+            # the outer lambdas bind the digest and its bytes, so that they are computed once and not for every character
+            numbers = F.transform(F.array(digest(others, f"{secret}|{number}|")), lambda h: F.transform(
+                F.sequence(F.lit(0), F.lit(31)), lambda k: F.conv(F.substring(h, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+            return F.transform(numbers, lambda by: F.transform(
+                chars, lambda c, i: F.when(i % 2 == turned, _turned(c, F.get(by, i % 32))).otherwise(c)))[0]
+
+        return run
+
+    characters = F.split(text, "")
+    for number in range(ROUNDS):
+        characters = F.transform(F.array(characters), round_of(number))[0]
+    return F.array_join(characters, "")
+
+
+def _turned(char: Column, by: Column) -> Column:
+    """One character moved on within its class."""
+    out = F.when(F.ascii(char) < 48, char)  # blanks, signs and nothing
+    for letters in CLASSES:
+        place = F.instr(F.lit(letters), char)
+        out = out.when(place > 0, F.substring(F.lit(letters), (place - 1 + by) % len(letters) + 1, F.lit(1)))
+    return out.otherwise(char)
 
 
 def mask_column(df: DataFrame, name: str, mask: Mask) -> Column:
@@ -68,6 +98,8 @@ def mask_column(df: DataFrame, name: str, mask: Mask) -> Column:
     p = mask.params
     dtype = df.schema[name].dataType
     value, text = field(name), as_text(field(name), dtype)
+    if mask.type in KEYED and not p.get("salt"):
+        raise ValueError(f"{mask.type} needs a secret: the parameter salt")
     secret = str(p.get("salt", ""))
     if mask.type == "Redact":
         return F.when(value.isNotNull(), F.lit(p.get("replacement", "[REDACTED]")))

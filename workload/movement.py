@@ -294,6 +294,11 @@ def lineage_upstream(spark, sf_dir):
     return lineage.upstream(edges(spark, sf_dir), _roots(spark, sf_dir, 3), 2)
 
 
+@query("lineage_upstream_all", f"SELECT * FROM {_reach('s', 3, None)}")
+def lineage_upstream_all(spark, sf_dir):
+    return lineage.upstream(edges(spark, sf_dir), _roots(spark, sf_dir, 3), None)
+
+
 @query("lineage_graph", f"""SELECT root_table, "table", depth, 'downstream' AS direction FROM {_reach('t', 1, 2)}
     UNION ALL SELECT root_table, "table", depth, 'upstream' FROM {_reach('s', 1, 2)}
     UNION ALL SELECT DISTINCT conv_id || ':' || turn, conv_id || ':' || turn, 0, 'root' FROM conversations WHERE turn = 1""")

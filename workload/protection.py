@@ -46,15 +46,16 @@ _mask("mask_partial", _from("part"), ["p_partkey", "p_name"],
 
 
 def _tokenized(name: str, key: str, value: str) -> str:
-    return f"""SELECT {key}, array_to_string(list_transform(range(1, length({value}) + 1), lambda i: CASE
-          WHEN regexp_matches({value}[i], '^[0-9]$') THEN '0123456789'[(b[(i - 1) % 32 + 1] % 10 + 1)::INT]
-          WHEN regexp_matches({value}[i], '^[A-Z]$') THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'[(b[(i - 1) % 32 + 1] % 26 + 1)::INT]
-          WHEN regexp_matches({value}[i], '^\\p{{L}}$') THEN 'abcdefghijklmnopqrstuvwxyz'[(b[(i - 1) % 32 + 1] % 26 + 1)::INT]
-          ELSE {value}[i] END), '') AS {value}
-        FROM (SELECT {key}, {value}, list_transform(range(0, 32), lambda k:
-                (instr('0123456789abcdef', substr(h, 2 * k + 1, 1)) - 1) * 16
-                + instr('0123456789abcdef', substr(h, 2 * k + 2, 1)) - 1) AS b
-              FROM (SELECT *, {_hash(value)} AS h FROM {name}))"""
+    """Rounds in which every other character turns within its class by a digest of the rest."""
+    rows = f"(SELECT {key}, {value}, string_split({value}, '') AS c0 FROM {name})"
+    for r in range(masking.ROUNDS):
+        byte = "((instr('0123456789abcdef', substr(h, 2 * ((i - 1) % 32) + 1, 1)) - 1) * 16 + instr('0123456789abcdef', substr(h, 2 * ((i - 1) % 32) + 2, 1)) - 1)"
+        cases = " ".join(f"WHEN instr('{k}', c{r}[i]) > 0 THEN '{k}'[((instr('{k}', c{r}[i]) - 1 + {byte}) % {len(k)} + 1)::INT]" for k in masking.CLASSES)
+        others = f"array_to_string([c{r}[i] FOR i IN range(1, len(c{r}) + 1) IF (i - 1) % 2 <> {r % 2}], '')"
+        rows = f"""(SELECT {key}, {value}, list_transform(range(1, len(c{r}) + 1), lambda i: CASE WHEN (i - 1) % 2 <> {r % 2}
+            OR ord(c{r}[i]) < 48 THEN c{r}[i] {cases} ELSE c{r}[i] END) AS c{r + 1}
+          FROM (SELECT *, sha256('{_SALT}|{r}|' || {others}) AS h FROM {rows}))"""
+    return f"SELECT {key}, CASE WHEN {value} IS NOT NULL THEN array_to_string(c{masking.ROUNDS}, '') END AS {value} FROM {rows}"
 
 
 _mask("mask_tokenize", _from("supplier"), ["s_suppkey", "s_name"], {"s_name": Mask("Tokenize", {"salt": _SALT})},
