@@ -242,14 +242,14 @@ def test_masks_are_stable_and_keyed(spark):
 
 
 def test_tokens_keep_the_shape(spark):
-    token = masking.mask_data(spark.createDataFrame([("Ann-42",)], "v string"), {"v": Mask("Tokenize")}).first()["v"]
+    token = masking.mask_data(spark.createDataFrame([("Ann-42",)], "v string"), {"v": Mask("Tokenize", {"salt": "s"})}).first()["v"]
     assert len(token) == 6 and token[0].isupper() and token[1:3].islower() and token[3] == "-" and token[4:].isdigit()
 
 
 def test_date_shift_and_variance_stay_in_bounds(spark):
     df = spark.range(300).select("id", F.expr("DATE'2024-01-10'").alias("d"), F.lit(100.0).alias("v"), F.lit("e1").alias("e"))
-    out = masking.mask_data(df, {"d": Mask("DateShift", {"min": -30, "max": 30, "preserveDay": True, "key": "id"}),
-                                 "v": Mask("NumberVariance", {"min": -5, "max": 5})})
+    out = masking.mask_data(df, {"d": Mask("DateShift", {"salt": "s", "min": -30, "max": 30, "preserveDay": True, "key": "id"}),
+                                 "v": Mask("NumberVariance", {"salt": "s", "min": -5, "max": 5})})
     bounds = out.agg(F.min("d"), F.max("d"), F.max(F.abs(F.datediff("d", F.lit("2024-01-10")) % 7)), F.min("v"), F.max("v")).first()
     assert bounds[0] >= dt.date(2023, 12, 11) and bounds[1] <= dt.date(2024, 2, 9) and bounds[2] == 0
     assert 95 <= bounds[3] <= bounds[4] <= 105
@@ -324,7 +324,7 @@ def test_tokenize_is_linear_in_the_length(spark):
     def seconds(n):
         df = spark.createDataFrame([("ab1" * n,)], "t string")
         start = time.perf_counter()
-        masking.mask_data(df, {"t": Mask("Tokenize")}).collect()
+        masking.mask_data(df, {"t": Mask("Tokenize", {"salt": "s"})}).collect()
         return time.perf_counter() - start
 
     seconds(1000)
