@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from millrace.functions.columns import field
+from millrace.sources import json_arrays
 
 TIMEOUT_SECONDS = 300
 CORRUPT = "_corrupt_record"
@@ -67,12 +68,16 @@ def csv(spark: SparkSession, path: str, schema: T.StructType, header: bool = Tru
 
 
 def json(spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = True,
-         keep_corrupt: bool = False) -> DataFrame:
+         keep_corrupt: bool = False, split: bool = False) -> DataFrame:
     """JSON arrays of objects (``multi_line``) or one object per line.
 
     Items that are not objects are dropped; a null document gives no rows. A whole-document array is read by one
-    task per file, so large data should come as many files or as lines.
+    task per file; with ``split`` and a schema a large one is read by many (``json_arrays``).
     """
+    if split:
+        if schema is None:
+            raise ValueError("reading an array in splits needs a schema")
+        return _split_corrupt(json_arrays.read(spark, path, _with_corrupt(schema), CORRUPT), keep_corrupt)
     reader = spark.read.options(multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT)
     df = reader.schema(_with_corrupt(schema)).json(path) if schema is not None else reader.json(path)
     if CORRUPT not in df.columns:

@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.operators.aggregates import Agg
@@ -61,6 +62,26 @@ _scan("scan_json", "json", _CUSTOMERS)
 _scan("scan_xml", "xml", _CUSTOMERS)
 
 
+def _as_array(batches):
+    """The lines of one array a partition: an object each, between brackets."""
+    mark = "["
+    for batch in batches:
+        lines = batch["line"].tolist()
+        for i in range(len(lines)):
+            lines[i], mark = mark + lines[i], ","
+        yield pd.DataFrame({"line": lines})
+    yield pd.DataFrame({"line": ["[]" if mark == "[" else "]"]})
+
+
+@query("scan_json_array", """SELECT o_orderkey, o_custkey, 'a "}" in ' || o_orderpriority AS note FROM orders""")
+def scan_json_array(spark, sf_dir):
+    """Orders written as large arrays, each read back by many tasks."""
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "concat('a \"}\" in ', o_orderpriority) AS note")
+    path = new_folder(spark, "scan-json-array")
+    orders.select(F.to_json(F.struct("*")).alias("line")).mapInPandas(_as_array, "line string").write.text(path)
+    return readers.json(spark, path, orders.schema, split=True)
+
+
 def event_stream(spark, sf_dir):
     """The events table as a file stream."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
