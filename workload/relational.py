@@ -231,6 +231,34 @@ def pivot_custom(spark, sf_dir):
                          expression="nullif(count(DISTINCT o_custkey), 0)").fillna(0, ["f", "p"])
 
 
+_SHIPMENTS = "(SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE 'part ' || l_partkey % 500 END AS g, l_quantity, l_extendedprice FROM lineitem)"
+
+
+@query("agg_quantiles", f"""SELECT g, round(quantile_cont(l_extendedprice, 0.5), 4) AS mid, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99,
+    count(*) AS n FROM {_SHIPMENTS} GROUP BY g""")
+def agg_quantiles(spark, sf_dir):
+    """Exact quantiles of prices, where one group holds a third of the rows and is split."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr(
+        "CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE concat('part ', l_partkey % 500) END AS g", "l_extendedprice")
+    out = aggregate(lines, ["g"], {"mid": Agg("Median", "l_extendedprice"), "n": Agg("Count"),
+                                   "p99": Agg("Quantile", "l_extendedprice", probability=0.99)}, max_group_rows=5_000)
+    return out.select("g", "n", *[F.round(c, 4).alias(c) for c in ("mid", "p99")])
+
+
+@query("agg_mode", """SELECT l_suppkey, arg_min(l_partkey, (-n, l_partkey)) AS part FROM
+    (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY l_suppkey""")
+def agg_mode(spark, sf_dir):
+    return aggregate(table(spark, sf_dir, "lineitem"), ["l_suppkey"], {"part": Agg("Mode", "l_partkey")})
+
+
+@query("pivot_median", """SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.5) FILTER (WHERE o_orderstatus = 'F'), 4) AS f,
+    round(quantile_cont(o_totalprice, 0.5) FILTER (WHERE o_orderstatus = 'P'), 4) AS p FROM orders GROUP BY o_orderpriority""")
+def pivot_median(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderpriority", "lower(o_orderstatus) AS status", "o_totalprice")
+    wide = reshape.pivot(orders, ["o_orderpriority"], "status", "o_totalprice", "Median", ["f", "p"])
+    return wide.select("o_orderpriority", F.round("f", 4).alias("f"), F.round("p", 4).alias("p"))
+
+
 @query("unpivot", """SELECT c_custkey, 'segment' AS name, nullif(c_mktsegment, 'BUILDING') AS value FROM customer
     UNION ALL SELECT c_custkey, 'name', c_name FROM customer""")
 def unpivot(spark, sf_dir):
