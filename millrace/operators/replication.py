@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions.columns import field
@@ -12,6 +14,7 @@ from millrace.operators import changes, consistency
 
 log = logging.getLogger(__name__)
 DEFAULT_TRACKING = "LastModified"
+POOL = "spark.scheduler.pool"
 
 
 def full(source: DataFrame, destination: DataFrame | None = None) -> DataFrame:
@@ -50,16 +53,32 @@ def by_changes(destination: DataFrame, change_log: DataFrame, keys: list[str]) -
 
 
 def all_tables(spark: SparkSession, sources: dict[str, DataFrame], load: Callable[[str, DataFrame], int],
-               excluded: list[str] | None = None) -> DataFrame:
-    """Load every table but the excluded ones; rows per table, -1 where it failed. One failure stops nothing."""
+               excluded: list[str] | None = None, at_once: int = 4) -> DataFrame:
+    """Load every table but the excluded ones; rows per table, -1 where it failed. One failure stops nothing.
+
+    ``at_once`` tables are loaded at a time, so that the last tasks of one do not leave the cluster idle. Each load is
+    a thread with the caller's local properties and a scheduler pool of its own name, which the fair scheduler
+    (``spark.scheduler.mode``) gives equal shares. ``load`` must not share state between calls.
+    """
+    if at_once < 1:
+        raise ValueError("at least one table must be loaded at a time")
     skipped = {e.lower() for e in excluded or []}
-    results = []
-    for name, rows in sources.items():
-        if name.lower() in skipped:
-            continue
+    names = [name for name in sources if name.lower() not in skipped]
+    context = spark.sparkContext
+
+    def copy(name: str) -> tuple[str, int]:
+        before = context.getLocalProperty(POOL)
+        context.setLocalProperty(POOL, f"replicate-{name}")
         try:
-            results.append((name, int(load(name, rows))))
+            return name, int(load(name, sources[name]))
         except Exception as problem:  # noqa: BLE001 - a failed table is reported, not raised
             log.error("replication of %s failed: %s", name, problem)
-            results.append((name, -1))
+            return name, -1
+        finally:
+            context.setLocalProperty(POOL, before)  # the thread takes the next table
+
+    with ThreadPoolExecutor(min(at_once, len(names) or 1), "replicate") as pool:
+        # each call takes the caller's local properties along
+        copies = [pool.submit(inheritable_thread_target(spark)(lambda name=name: copy(name))) for name in names]
+        results = [c.result() for c in copies]
     return spark.createDataFrame(results, "table string, row_count bigint")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import unnest
-from millrace.operators import profiling
+from millrace.operators import profiling, sketches
+from millrace.session import new_folder
 from workload.quality import CUSTOMER_NULLS, CUSTOMER_RULES, customer_nulls
 from workload.registry import query, table
 
@@ -144,3 +145,22 @@ def profile_report(spark, sf_dir):
     lines = profiling.report(customer_nulls(spark, sf_dir), CUSTOMER_RULES[:3], ["c_custkey", "c_nationkey"])
     number = F.round(F.col("value").try_cast("double"), 4)
     return lines.select("section", "column", "metric", F.when(number.isNull(), F.col("value")).alias("text"), number.alias("number"))
+
+
+@query("profile_sketches", """SELECT 'l_partkey' AS "column", count(*) AS row_count, count(*) - count(l_partkey) AS null_count,
+    CAST(min(l_partkey) AS DOUBLE) AS low, CAST(max(l_partkey) AS DOUBLE) AS high, TRUE AS unique_near, TRUE AS median_near FROM lineitem
+    UNION ALL SELECT 'l_extendedprice', count(*), count(*) - count(l_extendedprice), min(l_extendedprice), max(l_extendedprice), TRUE, TRUE
+    FROM lineitem""")
+def profile_sketches(spark, sf_dir):
+    """Sketches stored by return flag and status, merged, and held against exact values: distinct values within 4 %, the
+    median within 1.5 % of its rank."""
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_partkey", "l_extendedprice")
+    path = new_folder(spark, "profile-sketches")
+    sketches.build(lines, ["l_returnflag", "l_linestatus"]).write.parquet(path)
+    told = sketches.describe(sketches.merge(spark.read.parquet(path)))
+    columns = ["l_partkey", "l_extendedprice"]
+    exact = profiling.unique_counts(lines, columns).withColumnRenamed("unique_count", "exact") \
+        .join(profiling.quantiles(lines, columns, {"lo": 0.485, "hi": 0.515}), "column")
+    return told.join(exact, "column").select(
+        "column", "row_count", "null_count", "low", "high",
+        (F.abs(F.col("unique_count") / F.col("exact") - 1) < 0.04).alias("unique_near"), F.col("median").between(F.col("lo"), F.col("hi")).alias("median_near"))
