@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions.columns import any_of, as_text, field
-from millrace.operators import skew
+from millrace.operators import phrases, skew
 
 # -- lookups ----------------------------------------------------------------------------------------------------
 
@@ -100,19 +100,22 @@ def enrich_calculated(df: DataFrame, target: str, kind: str, **spec) -> DataFram
 def enrich_sentiment(df: DataFrame, text: str, lexicon: dict[str, float], target: str = "sentiment") -> DataFrame:
     """Lexicon score of whole words and its label, in one pass over each row and without a shuffle.
 
-    A text is cut into words once and each is looked up, so a lexicon of many words costs no more than a short one.
-    Entries that are not one word of letters and digits are searched for by a pattern. Null text scores 0.
+    A text is cut into words once and each is looked up, so a lexicon of many words costs no more than a short one. Where
+    entries are longer than a word of letters and digits, ``phrases.weigh_phrases`` finds them all: leftmost, then longest,
+    so a word inside a phrase that was found does not count again. Null text scores 0.
     """
     weights = {w.lower(): float(v) for w, v in lexicon.items()}
-    phrases = sorted((w for w in weights if not re.fullmatch(r"[^\W_]+", w)), key=len, reverse=True)
-    pattern = re.compile("|".join([rf"(?<![^\W_])(?:{'|'.join(map(re.escape, phrases))})(?![^\W_])"] * bool(phrases) + [r"[^\W_]+"]))
+    if all(re.fullmatch(r"[^\W_]+", w) for w in weights):
+        word = re.compile(r"[^\W_]+")
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        known = weights.get
-        return pd.Series([float(sum(filter(None, map(known, pattern.findall(t.lower()))))) if t else 0.0 for t in texts], dtype="float64")
+        @F.pandas_udf("double")
+        def score(texts: pd.Series) -> pd.Series:
+            known = weights.get
+            return pd.Series([float(sum(filter(None, map(known, word.findall(t.lower()))))) if t else 0.0 for t in texts], dtype="float64")
 
-    scored = df.withColumn(f"{target}_score", score(field(text)))
+        scored = df.withColumn(f"{target}_score", score(field(text)))
+    else:
+        scored = phrases.weigh_phrases(df, text, weights, f"{target}_score")
     label = F.when(F.col(f"{target}_score") > 0, "positive").when(F.col(f"{target}_score") < 0, "negative") \
         .otherwise("neutral")
     return scored.withColumn(f"{target}_label", label)
@@ -160,6 +163,29 @@ def enrich_entities(df: DataFrame, text: str, types: list[str] | None = None, ta
     return flagged.withColumn(target, entities(field(text), types, F.col("__digits"))).drop("__digits")
 
 
+def enrich_names(df: DataFrame, text: str, names: list[tuple[str, str]], target: str = "names", overlaps: bool = False) -> DataFrame:
+    """Add the named entities of a dictionary of (name, type) as ``array<struct<type,value,start,end>>``, by place.
+
+    Names are phrases as in :mod:`phrases`; ``value`` is the text as it stands there. Of a name with several types the
+    first counts, unless ``overlaps`` asks for every occurrence: then each of its types is one. Null text has none.
+    """
+    types: dict[str, list[str]] = {}
+    for name, kind in names:
+        kinds = types.setdefault(" ".join(phrases.tokens(name)), [])
+        if kind not in kinds and (overlaps or not kinds):
+            kinds.append(kind)
+    automaton, kinds_of = phrases.Automaton(types), list(types.values())
+    find = automaton.every if overlaps else automaton.longest
+
+    @F.pandas_udf("array<struct<type:string,value:string,start:int,end:int>>")
+    def search(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"type": kind, "value": t[start:end], "start": start, "end": end}
+                           for number, start, end in sorted(find(t), key=lambda h: h[1:]) for kind in kinds_of[number]]
+                          for t in texts], dtype="object")
+
+    return df.withColumn(target, search(field(text)))
+
+
 # -- models and functions ---------------------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import unnest
-from millrace.operators import enrichment, masking
+from millrace.operators import enrichment, masking, phrases
 from millrace.operators.masking import Mask, MaskingProfile
 from workload.quality import CUSTOMER_NULLS, customer_nulls
 from workload.registry import query, table
@@ -194,6 +194,29 @@ def enrich_entities(spark, sf_dir):
     return unnest(enrichment.enrich_entities(documents, "text"), ["doc_id"], F.col("entities"), "type")
 
 
+_TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s\p{Z}\x0b\x1c-\x1f\x85]"
+_PHRASE = 4  # tokens
+
+
+@query("enrich_names", f"""WITH tokens AS (
+      SELECT 'd' AS side, doc_id AS id, regexp_extract_all(lower(text), '{_TOKEN}') AS w FROM documents
+      UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(text), '{_TOKEN}') FROM benchmark),
+    windows AS (SELECT side, id, unnest(list_transform(range(1, len(w) - {_PHRASE - 2}),
+      lambda i: array_to_string(w[i:i + {_PHRASE - 1}], ' '))) AS phrase FROM tokens WHERE len(w) >= {_PHRASE}),
+    names AS (SELECT DISTINCT id, phrase FROM windows WHERE side = 'b')
+    SELECT d.id AS doc_id, CAST(n.id AS VARCHAR) AS type, count(*) AS hits
+    FROM windows d JOIN names n USING (phrase) WHERE d.side = 'd' GROUP BY ALL""")
+def enrich_names(spark, sf_dir):
+    """Every occurrence in the documents of each four-token phrase of a benchmark passage; the passage is its type."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0))
+    passages = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("type"), words.alias("w"))
+    windows = F.expr(f"transform(sequence(1, size(w) - {_PHRASE - 1}), i -> array_join(slice(w, i, {_PHRASE}), ' '))")
+    names = passages.filter(F.size("w") >= _PHRASE).select(F.explode(windows).alias("name"), "type")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = enrichment.enrich_names(documents, "text", phrases.lexicon(names, ["name", "type"]), overlaps=True)
+    return unnest(found, ["doc_id"], F.col("names"), "type").groupBy("doc_id", "type").agg(F.count("*").alias("hits"))
+
+
 def _linear_model():
     """Loader of a small linear model; runs once per task."""
     weights = {"l_quantity": 0.5, "l_discount": -20.0, "l_tax": 4.0}
