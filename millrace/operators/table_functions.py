@@ -32,8 +32,8 @@ def fold_groups(df: DataFrame, keys: list[str], order_by: list[str], make: Calla
     are a group. A group passes through one task row by row, so its size takes time but no memory.
 
     ``begins`` tells of a row that what follows does not depend on what comes before it: true where the function's state
-    may be made anew, computed from the row and from ``previous`` (a struct of the row before's order fields, null at a
-    group's start). The group is cut there, and its pieces go to different tasks.
+    may be made anew, computed from the row and from ``__previous`` (a struct of the row before's order fields, null at a
+    group's start). The group is cut there, and its pieces go to different tasks. Rows that tie share a piece.
     """
     added = T.StructType.fromDDL(outputs)
     clash = {f.name for f in added} & set(df.columns)
@@ -51,8 +51,8 @@ def fold_groups(df: DataFrame, keys: list[str], order_by: list[str], make: Calla
             names = json.loads(partition_by.value)
             return AnalyzeResult(
                 T.StructType([*inputs, *added.fields]), withSinglePartition=not names,
-                partitionBy=[PartitioningColumn(_quoted(n)) for n in names],
-                orderBy=[OrderingColumn(_quoted(n), ascending=True, overrideNullsFirst=True) for n in json.loads(order.value)])
+                partitionBy=[PartitioningColumn(n) for n in names],
+                orderBy=[OrderingColumn(n, ascending=True, overrideNullsFirst=True) for n in json.loads(order.value)])
 
         def __init__(self):
             self.step = None
@@ -62,17 +62,18 @@ def fold_groups(df: DataFrame, keys: list[str], order_by: list[str], make: Calla
                 self.step = make()
             yield (*(row[name] for name in kept), *self.step(row))
 
-    return udtf(Fold)(pieces.asTable(), F.lit(json.dumps(parts)), F.lit(json.dumps(order_by)))
+    names = [F.lit(json.dumps([_quoted(n) for n in part])) for part in (parts, order_by)]
+    return udtf(Fold)(pieces.asTable(), *names)
 
 
 def _cut(df: DataFrame, keys: list[str], order_by: list[str], begins: Column, max_group_rows: int) -> DataFrame:
     """``__piece``: how many rows up to this one begin a piece of their group; large groups are windowed in chunks."""
     heavy = skew.heavy_groups(df, keys, max_group_rows)
     order = df.withColumn("__order", F.struct(*[field(o) for o in order_by]))
-    shifted = windows.apply_window(order, "Lag", keys, order_by, "previous", "__order", heavy=heavy, max_group_rows=max_group_rows)
+    shifted = windows.apply_window(order, "Lag", keys, order_by, "__previous", "__order", heavy=heavy, max_group_rows=max_group_rows)
     marked = shifted.withColumn("__begins", F.coalesce(begins, F.lit(False)).cast("int"))
     numbered = windows.apply_window(marked, "Sum", keys, order_by, "__piece", "__begins", heavy=heavy, max_group_rows=max_group_rows)
-    return numbered.drop("__order", "previous", "__begins")
+    return numbered.drop("__order", "__previous", "__begins")
 
 
 def sessions(df: DataFrame, keys: list[str], time: str, idle: float, longest: float, target: str = "session_start",
@@ -81,30 +82,49 @@ def sessions(df: DataFrame, keys: list[str], time: str, idle: float, longest: fl
 
     A session ends after ``idle`` seconds without a row, and a row later than ``longest`` seconds after its start begins
     the next one. The second rule depends on every earlier session, so no window function can state it. A pause of more
-    than ``idle`` seconds ends a session in any case: large groups are cut there. Rows without a time have no session.
+    than ``idle`` seconds ends a session in any case: groups are cut there. Rows without a time have no session.
     """
-    kind = df.schema[time].dataType.simpleString()
+    clock = "__micros"
 
     def make():
         start = last = None
 
         def step(row) -> tuple:
             nonlocal start, last
-            now = row[time]
-            if now is None:
-                return (None,)
-            if start is None or (now - last).total_seconds() > idle or (now - start).total_seconds() > longest:
-                start = now
-            last = now
+            now = row[clock]
+            if now is not None:
+                if start is None or now - last > quiet or now - start > span:
+                    start = now
+                last = now
             return (start,)
 
         return step
 
-    def micros(value: Column) -> Column:
-        return F.unix_micros(value.cast("timestamp"))
+    quiet, span = round(idle * 1_000_000), round(longest * 1_000_000)
+    dtype = df.schema[time].dataType
+    timed = df.withColumn(clock, _micros(field(time), dtype))
+    pause = F.col(clock) - F.col("__previous")[clock]
+    folded = fold_groups(timed, keys, [clock], make, "__start bigint", pause > F.lit(quiet), max_group_rows)
+    return folded.select(*[field(c) for c in df.columns if c != target], _from_micros(F.col("__start"), dtype).alias(target))
 
-    pause = micros(field(time)) - micros(F.col("previous")[time])
-    return fold_groups(df, keys, [time], make, f"{_quoted(target)} {kind}", pause > F.lit(int(idle * 1_000_000)), max_group_rows)
+
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def _micros(value: Column, dtype: T.DataType) -> Column:
+    """Microseconds since 1970; of a time without a zone by its own calendar, whatever the session's zone."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(value)
+    since = value.cast("timestamp_ntz") - F.expr(_EPOCH)
+    whole = F.extract(F.lit("DAY"), since) * 86_400 + F.extract(F.lit("HOUR"), since) * 3_600 + F.extract(F.lit("MINUTE"), since) * 60
+    return whole.cast("bigint") * 1_000_000 + (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("bigint")
+
+
+def _from_micros(value: Column, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(value)
+    seconds = (value.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return (F.expr(_EPOCH) + F.make_dt_interval(secs=seconds)).cast(dtype)
 
 
 # -- linear models ----------------------------------------------------------------------------------------------
@@ -161,9 +181,6 @@ def linear_models(df: DataFrame, keys: list[str], label: str, features: list[str
 def apply_linear_models(df: DataFrame, models: DataFrame, keys: list[str], features: list[str], target: str,
                         max_group_rows: int = skew.MAX_GROUP_ROWS) -> DataFrame:
     """Add each row's prediction by the model of its group; null where there is no model or a feature is null."""
-    value = F.col("intercept")
-    for feature in features:
-        value = value + field(f"coef_{feature}") * field(feature)
     renamed = models.select(*[field(k) for k in keys], F.struct("intercept", *[field(f"coef_{f}") for f in features]).alias("__model"))
     joined = skew.join_per_key(df, renamed, keys, "left", max_group_rows=max_group_rows, null_safe=True) if keys \
         else df.join(F.broadcast(renamed), how="left")

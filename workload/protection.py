@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import unnest
-from millrace.operators import enrichment, masking, phrases
+from millrace.operators import enrichment, masking, phrases, table_functions
 from millrace.operators.masking import Mask, MaskingProfile
 from workload.quality import CUSTOMER_NULLS, customer_nulls
 from workload.registry import query, table
@@ -251,3 +251,34 @@ def _shout(batch: pd.DataFrame, params: dict) -> pd.DataFrame:
 def enrich_function(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     return enrichment.enrich_function(parts, _shout, "p_partkey bigint, p_name string", {"suffix": "!"})
+
+
+@query("udtf_sessions", """WITH RECURSIVE e AS (
+      SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    s AS (SELECT user_id, ts, n, ts AS session_start FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.ts, e.n, CASE WHEN e.ts - s.ts > INTERVAL 6 HOUR
+        OR e.ts - s.session_start > INTERVAL 12 HOUR THEN e.ts ELSE s.session_start END
+      FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+    SELECT user_id, session_start, count(*) AS events, max(ts) AS session_end FROM s GROUP BY ALL""")
+def udtf_sessions(spark, sf_dir):
+    """Sessions of each user that end after six hours of silence, and never last more than twelve."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts")
+    found = table_functions.sessions(events, ["user_id"], "ts", 6 * 3600, 12 * 3600)
+    return found.groupBy("user_id", "session_start").agg(F.count("*").alias("events"), F.max("ts").alias("session_end"))
+
+
+@query("udtf_linear_models", """WITH d AS (SELECT source, n_chars AS y, len(string_split(text, ' ')) AS a,
+      len(text) - len(replace(text, 'e', '')) AS b FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL),
+    m AS (SELECT source, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) AS aa, covar_pop(a, b) AS ab,
+      covar_pop(b, b) AS bb, covar_pop(a, y) AS ay, covar_pop(b, y) AS b_y, covar_pop(y, y) AS yy FROM d GROUP BY source),
+    c AS (SELECT *, (bb * ay - ab * b_y) / nullif(aa * bb - ab * ab, 0) AS ca, (aa * b_y - ab * ay) / nullif(aa * bb - ab * ab, 0) AS cb FROM m)
+    SELECT source, n, round(my - ca * ma - cb * mb, 3) AS intercept, round((ca * ay + cb * b_y) / nullif(yy, 0), 6) AS r2,
+      round(ca, 6) AS coef_words, round(cb, 6) AS coef_e FROM c""")
+def udtf_linear_models(spark, sf_dir):
+    """Of each source, the length of a document explained by its words and its letters e."""
+    documents = table(spark, sf_dir, "documents").select(
+        "source", "n_chars", F.size(F.split("text", " ", -1)).alias("words"),
+        (F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))).alias("e"))
+    models = table_functions.linear_models(documents, ["source"], "n_chars", ["words", "e"])
+    return models.select("source", "n", F.round("intercept", 3).alias("intercept"), *[
+        F.round(c, 6).alias(c) for c in ("r2", "coef_words", "coef_e")])
