@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The characters treated as white space when trimming.
@@ -61,6 +63,15 @@ def type_of(df: DataFrame, expression: str | Column) -> T.DataType:
     return df.select(column.alias("x")).schema[0].dataType
 
 
+def called(function: Callable, inputs: list[Column], returns: str | T.DataType) -> Column:
+    """Values of a Python function of pandas series (one for each input, nulls included), on Arrow batches."""
+
+    def call(*columns: pd.Series) -> pd.Series:
+        return pd.Series(function(*columns))
+
+    return F.pandas_udf(call, returns)(*inputs)
+
+
 def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.columns import any_of, as_text, field
+from millrace.functions.columns import any_of, as_text, called, field
 from millrace.operators import phrases, skew
 
 # -- lookups ----------------------------------------------------------------------------------------------------
@@ -64,7 +64,11 @@ def _bind(expression: str, params: dict) -> str:
 
 def calculated(df: DataFrame, kind: str, fields: list[str] | None = None, expression: str | None = None,
                params: dict | None = None) -> Column:
-    """Column for a calculated field: Sum, Average, Concatenate, DateDiff, Expression or Custom."""
+    """Column for a calculated field: Sum, Average, Concatenate, DateDiff, Expression or Custom.
+
+    Custom binds ``params`` into an expression, or calls ``params["call"]``, a Python function of pandas series, one for each
+    of ``fields``, whose values have the type ``params["returns"]`` (double unless stated).
+    """
     params, names = params or {}, fields or []
     if kind == "Sum":
         total = F.coalesce(field(names[0]), F.lit(0))
@@ -85,6 +89,8 @@ def calculated(df: DataFrame, kind: str, fields: list[str] | None = None, expres
         return (span / _UNITS[unit]).cast("bigint")
     if kind == "Expression":
         return F.expr(expression)
+    if kind == "Custom" and params.get("call"):
+        return called(params["call"], [field(n) for n in names], params.get("returns", "double"))
     if kind == "Custom":
         return F.expr(_bind(expression, params))
     raise ValueError(f"unknown calculated field {kind!r}")

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.functions.columns import NUMERIC, as_text, field
+from millrace.functions.columns import NUMERIC, as_text, called, field
 
 MASK_TYPES = ("Redact", "PartialMask", "Tokenize", "Randomize", "Hash", "DateShift", "NumberVariance", "Custom")
 KEYED = ("Tokenize", "Randomize", "Hash", "DateShift", "NumberVariance")
@@ -123,7 +123,7 @@ def mask_column(df: DataFrame, name: str, mask: Mask) -> Column:
     if mask.type == "NumberVariance":
         return _variance(value, dtype, text, p, secret)
     if mask.type == "Custom":
-        return F.expr(p["expression"])
+        return called(p["call"], [value], p.get("returns", "string")) if p.get("call") else F.expr(p["expression"])
     raise ValueError(f"unknown mask {mask.type!r}")
 
 

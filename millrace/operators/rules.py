@@ -3,6 +3,9 @@
 Every rule reads the input record, never an earlier rule's output; rules sort by ``order`` (stable) and the
 last writer of a target wins. A rule that does not apply to a row (null source, failed parse, index out of
 range) leaves the target as it was. The whole list becomes a single ``select``.
+
+A Custom rule takes a SQL ``expression``, or ``call``: a Python function of pandas series, one for each of the source's
+comma-separated fields, whose values have the type ``returns`` (text unless stated). Nulls are passed to it and written.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from dataclasses import dataclass, field as dc_field
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions import formats
-from millrace.functions.columns import NUMERIC, TEMPORAL, as_text, field, parse_double, trimmed, type_of
+from millrace.functions.columns import NUMERIC, TEMPORAL, as_text, called, field, parse_double, trimmed, type_of
 
 RULE_TYPES = (
     "Copy", "Format", "Concatenate", "Split", "Replace", "Trim", "Uppercase", "Lowercase", "Substring",
@@ -169,6 +172,12 @@ def _write(df: DataFrame, types: dict[str, T.DataType], rule: Rule) -> _Write |
         names = [n.strip() for n in rule.source.split(",")]
         shown = [as_text(field(n), types[n]) for n in names if n in types]
         return _Write(F.concat_ws(params.get("separator", " "), *shown), T.StringType())
+    if rule.type == "Custom" and params.get("call"):
+        names, returns = [n.strip() for n in rule.source.split(",")], params.get("returns", "string")
+        if any(n not in types for n in names):
+            return None
+        value = called(params["call"], [field(n) for n in names], returns)
+        return _Write(value, T.StructType.fromDDL(f"x {returns}")[0].dataType)
     if rule.type == "Calculated" or (rule.type == "Custom" and params.get("expression")):
         expression = params["expression"]
         return _Write(F.expr(expression), type_of(df, expression))

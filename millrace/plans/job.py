@@ -1,4 +1,8 @@
-"""Job specs: source, ordered steps and destination as JSON, compiled to one lazy DataFrame plan."""
+"""Job specs: source, ordered steps and destination as JSON, compiled to one lazy DataFrame plan.
+
+A spec names what JSON cannot hold: tables that steps join or look up, and Python functions (``"call": name``) of Custom
+rules, masks and calculated fields and of the steps ``by_key``, ``function`` and ``predict``.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +12,8 @@ from dataclasses import dataclass, field as dc_field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.operators import contracts, enrichment, joins, profiling, quality_rules, reshape, schema_checks, windows
+from millrace.operators import (contracts, enrichment, joins, phrases, profiling, quality_rules, reshape, schema_checks,
+                                table_functions, windows)
 from millrace.operators.aggregates import Agg, Measure, aggregate, summarize
 from millrace.operators.filters import apply_filter
 from millrace.operators.mapping import apply_mapping
@@ -54,6 +59,7 @@ def read_source(spark: SparkSession, source: dict) -> DataFrame:
 
 
 Tables = dict[str, DataFrame]
+Functions = dict[str, Callable]
 STEPS: dict[str, Callable[[DataFrame, dict, Tables], DataFrame]] = {
     "filter": lambda df, c, t: apply_filter(df, c["conditions"]),
     "rules": lambda df, c, t: apply_rules(df, c["rules"], t),
@@ -70,6 +76,16 @@ STEPS: dict[str, Callable[[DataFrame, dict, Tables], DataFrame]] = {
     "calculate": lambda df, c, t: enrichment.enrich_calculated(df, **c),
     "entities": lambda df, c, t: enrichment.enrich_entities(df, **c),
     "sentiment": lambda df, c, t: enrichment.enrich_sentiment(df, **c),
+    "names": lambda df, c, t: enrichment.enrich_names(
+        df, c["text"], c["names"] if "names" in c else phrases.lexicon(t[c["table"]], c["columns"]), c.get("target", "names"),
+        c.get("overlaps", False)),
+    "lookup": lambda df, c, t: enrichment.enrich_from_lookup(
+        df, t[c["table"]], c["source_key"], c["lookup_key"], c["value_fields"], c.get("include_null_matches", False)),
+    "by_key": lambda df, c, t: enrichment.enrich_by_key(df, c["key"], c["call"], c["schema"]),
+    "function": lambda df, c, t: enrichment.enrich_function(df, c["call"], c["schema"], c.get("params")),
+    "predict": lambda df, c, t: enrichment.enrich_prediction(
+        df, c["call"], c.get("input_fields", []), c.get("target", "prediction"), c.get("output", "double")),
+    "sessions": lambda df, c, t: table_functions.sessions(df, **c),
     "contract": lambda df, c, t: contracts.check(df, contracts.Contract(
         c["name"], schema_checks.DataSchema.from_dict(c["schema"]),
         [quality_rules.QualityRule.from_dict(r) for r in c.get("rules", [])])),
@@ -79,19 +95,36 @@ STEPS: dict[str, Callable[[DataFrame, dict, Tables], DataFrame]] = {
 }
 
 
-def compile_job(spark: SparkSession, job: Job, tables: Tables | None = None) -> DataFrame:
-    """The plan of the whole job. ``tables`` are the DataFrames that join and lookup steps name."""
+def _with_calls(config, functions: Functions):
+    """The config with every ``call`` that is a name replaced by the function of that name."""
+    if isinstance(config, list):
+        return [_with_calls(c, functions) for c in config]
+    if not isinstance(config, dict):
+        return config
+    out = {}
+    for key, value in config.items():
+        if key == "call" and isinstance(value, str):
+            if value not in functions:
+                raise ValueError(f"unknown function {value!r}")
+            value = functions[value]
+        out[key] = _with_calls(value, functions)
+    return out
+
+
+def compile_job(spark: SparkSession, job: Job, tables: Tables | None = None, functions: Functions | None = None) -> DataFrame:
+    """The plan of the whole job. ``tables`` are the DataFrames that join and lookup steps name, ``functions`` the Python
+    functions (or, for ``predict``, MLlib models) that steps call."""
     df = read_source(spark, job.source)
     for position, step in enumerate(job.steps, 1):
         kind = step.type.lower()
         if kind not in STEPS:
             raise ValueError(f"step {position}: unknown type {step.type!r}")
-        df = STEPS[kind](df, step.config, tables or {})
+        df = STEPS[kind](df, _with_calls(step.config, functions or {}), tables or {})
     return df
 
 
 def run_job(spark: SparkSession, job: Job, tables: Tables | None = None, records: str | None = None,
-            keep_going: bool = False) -> DataFrame:
+            keep_going: bool = False, functions: Functions | None = None) -> DataFrame:
     """Compile, write to the destination in one action, and return the run record (one row).
 
     A failed run has the status Failed, no processed rows and the error's message. ``records`` is a folder to which
@@ -100,7 +133,7 @@ def run_job(spark: SparkSession, job: Job, tables: Tables | None = None, records
     started = spark.range(1).select(F.current_timestamp().alias("t")).first()["t"]
     rows, failure = 0, None
     try:
-        plan, target = compile_job(spark, job, tables), job.destination or {}
+        plan, target = compile_job(spark, job, tables, functions), job.destination or {}
         if "table" in target:
             rows = sinks.load_table(plan, target["table"], target.get("create", False), target.get("truncate", False),
                                     target.get("path"))
