@@ -89,8 +89,8 @@ def unique_counts(df: DataFrame, columns: list[str] | None = None, approx: bool
         hashes = [F.xxhash64(F.lit(seed), value).alias(n) for seed, n in ((0, "a"), (1, "b"))]
         return F.when(value.isNotNull(), F.struct(F.lit(i).alias("i"), *hashes))
 
-    cells = F.filter(F.array(*[cell(i, c) for i, c in enumerate(columns)]), lambda c: c.isNotNull())
-    found = df.select(F.inline(cells)).groupBy("i", "a", "b").agg(F.lit(1).alias("one")).groupBy("i") \
+    cells = F.array(*[cell(i, c) for i, c in enumerate(columns)])
+    found = df.select(F.inline(cells)).filter("i IS NOT NULL").groupBy("i", "a", "b").agg(F.lit(1).alias("one")).groupBy("i") \
         .agg(F.count(F.lit(1)).alias("unique_count"))
     named = found.select(F.get(F.array(*[F.lit(c) for c in columns]), F.col("i")).alias("column"), "unique_count")
     return _with_all(df, columns, named, {"unique_count": F.lit(0).cast("bigint")})
@@ -155,7 +155,7 @@ def _quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float
     weight = F.lit(1).cast("bigint") if values is None else F.col("n")
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(inside(i, j), number(i)).alias("x"),
                                weight.alias("w")) for i, j, _ in targets])
-    counted = (df if values is None else values).select(F.inline(F.filter(cells, lambda c: c["x"].isNotNull()))) \
+    counted = (df if values is None else values).select(F.inline(cells)).filter("x IS NOT NULL") \
         .groupBy("i", "j", "x").agg(F.sum("w").alias("n"))
     # the bracket sizes are known, so large ones are looked for only when there are any
     largest = max(size for _, _, size in totals.values())
