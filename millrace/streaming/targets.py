@@ -1,7 +1,7 @@
 """A table kept up to date by a stream of changes, held as keyed state.
 
-The stream groups changes by key; of each key the state keeps the row of its last change, or only that change's time if it
-was a delete. Every change is compared with that time, so changes may arrive late, twice and in any order. Spark's
+The stream groups changes by pages of keys; of each key the state keeps the row of its last change, or only that change's
+time if it was a delete. Every change is compared with that time, so changes may arrive late, twice and in any order. Spark's
 state store is the table: a batch writes what its keys changed, and the table is the state store read back. A tombstone
 expires ``keep_deletes`` after the delete was handled; a change of that key that arrives later still would bring it back.
 
@@ -24,6 +24,12 @@ from millrace.functions.columns import field
 from millrace.session import new_folder
 
 KEEP_DELETES = timedelta(days=30)
+#: Keys of a page of the state when its checkpoint is new, and the least number of pages.
+PAGE_KEYS, LEAST_PAGES = 256, 1024
+#: Outdated rows that a page may hold besides as many as it has keys.
+SPARE = 8
+#: Bytes of changes that a task collects to find the newest of each key.
+PENDING = 64 << 20
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -50,80 +56,111 @@ def _order(ts, txn) -> tuple:
     return (ts is not None, ts) if ts is not None else (False, 0), (txn is not None, txn) if txn is not None else (False, 0)
 
 
-class _LastChange(StatefulProcessor):
-    """State of a key: ``live`` (ts, txn, row) or ``gone`` (ts, txn, until), which a timer drops. Event time is the time
-    at which a row is handled, so no change is too late to be seen."""
+class _LastChanges(StatefulProcessor):
+    """State of a page of keys: a list of segments, each with the last change of some keys (columns as arrays: id, the keys,
+    ts, txn, after, until). Of two changes of a key that in the later segment counts; a tombstone has ``until``, after which
+    a timer drops it. A visit appends a segment of the keys that it changed; once more than half of the rows are outdated,
+    the page is written anew, so what is written follows the changed keys. Every group, and every item that goes to or comes
+    from the state, costs a message or a conversion, which the keys of a page share.
 
-    def __init__(self, live: T.StructType, keep: timedelta):
-        self.live_type, self.keep = live, int(keep.total_seconds() * 1000)
+    Event time is the time at which a row is handled, so no change is too late to be seen."""
+
+    def __init__(self, segment: T.StructType, keep: timedelta):
+        self.segment, self.keep = segment, int(keep.total_seconds() * 1000)
+        self.keys = [c for c in segment.names if c.startswith("key_")]
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.live = handle.getValueState("live", self.live_type)
-        self.gone = handle.getValueState("gone", T.StructType([*self.live_type.fields[:2], T.StructField("until", T.LongType())]))
+        self.held = handle.getListState("held", self.segment)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._hold([initialState] if isinstance(initialState, Row) else initialState, fresh=True)
+        self._write(self._newer(initialState["rows"], {}).values(), 0)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        self._hold(rows)
+        count, newest, number = self._load()
+        changed = self._newer(rows, newest)
+        if changed:
+            newest |= changed
+            anew = count + len(changed) > 2 * len(newest) + SPARE
+            self._write(*((newest.values(), 0) if anew else (changed.values(), number)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        gone = self.gone.get()
-        if gone is not None and gone[2] <= expiredTimerInfo.getExpiryTimeInMs():
-            self.gone.clear()
+        now, (_, newest, _) = expiredTimerInfo.getExpiryTimeInMs(), self._load()
+        kept = [r for r in newest.values() if r[-1] is None or r[-1] > now]
+        if len(kept) < len(newest):
+            self._write(kept, 0) if kept else self.held.clear()
         return iter(())
 
-    def _hold(self, rows, fresh: bool = False) -> None:
-        """Each look at the state is a call to the JVM; a key is live or gone, not both."""
-        live = None if fresh else self.live.get()
-        tombstone = gone = None if fresh or live is not None else self.gone.get()
-        changed = None
+    def _load(self) -> tuple[int, dict, int]:
+        """The number of rows held, the one that counts of each key, and the next segment's number (0: there is none)."""
+        count, newest, number = 0, {}, 0
+        for segment in self.held.get():
+            count += len(segment[1])
+            newest.update(zip(segment[1], zip(*segment[1:])))
+            number = segment[0] + 1
+        return count, newest, number
+
+    def _write(self, rows, number: int) -> None:
+        """Segment 0 replaces all others."""
+        segment = (number, *map(list, zip(*rows)))
+        self.held.appendValue(segment) if number else self.held.put([segment])
+
+    def _newer(self, rows, held: dict) -> dict:
+        """The keys that rows change, each with its last change."""
+        changed = {}
         for r in rows:
-            if gone is not None and gone[2] <= r["handled"]:
-                gone = None
-            held = changed or live or gone
-            if held is None or _order(r["ts"], r["txn"]) >= _order(held[0], held[1]):
-                changed = r["ts"], r["txn"], r
-        if changed is None:
-            return
-        ts, txn, r = changed
-        if r["op"] == "delete":
-            if live is not None:
-                self.live.clear()
-            self.gone.update((ts, txn, r["handled"] + self.keep))
-            self.handle.registerTimer(r["handled"] + self.keep)
-        else:
-            if tombstone is not None:
-                self.gone.clear()
-            self.live.update((ts, txn, r["after"]))
+            old = changed.get(r["id"]) or held.get(r["id"])
+            if old is not None and old[-1] is not None and old[-1] <= r["handled"]:
+                old = None
+            if old is None or _order(r["ts"], r["txn"]) >= _order(old[-4], old[-3]):
+                gone = r["op"] == "delete"
+                changed[r["id"]] = (r["id"], *[r[k] for k in self.keys], r["ts"], r["txn"], None if gone else r["after"],
+                                    r["handled"] + self.keep if gone else None)
+        for until in {r[-1] for r in changed.values()} - {None}:
+            self.handle.registerTimer(until)
+        return changed
 
     def close(self) -> None:
         pass
 
 
 def _newest(keys: list[str]):
-    """Of each key of a batch of rows only the newest change, so that a key with very many changes is met early."""
+    """Of each key of a run of rows only the newest change, so that a key with very many changes is met early. A run ends
+    with the input, or when more than half of PENDING bytes are changes of different keys."""
+
+    def reduced(table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table, [("ts", "ascending"), ("txn", "ascending")], null_placement="at_start")
+        ranked = table.select(keys).take(order).append_column("__at", pa.array(range(len(order)), pa.int64()))
+        last = ranked.group_by(keys).aggregate([("__at", "max")])["__at_max"]
+        return table.take(order.take(last.combine_chunks()))
 
     def run(batches):
+        pending, size = [], 0
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            order = pc.sort_indices(table, [("ts", "ascending"), ("txn", "ascending")], null_placement="at_start")
-            ranked = table.select(keys).take(order).append_column("__at", pa.array(range(len(order)), pa.int64()))
-            last = ranked.group_by(keys).aggregate([("__at", "max")])["__at_max"]
-            yield from table.take(order.take(last.combine_chunks())).to_batches()
+            pending.append(batch)
+            size += batch.nbytes
+            if size > PENDING:
+                table = reduced(pa.Table.from_batches(pending))
+                pending, size = table.to_batches(), table.nbytes
+                if size > PENDING // 2:
+                    yield from pending
+                    pending, size = [], 0
+        if pending:
+            yield from reduced(pa.Table.from_batches(pending)).to_batches()
 
     return run
 
 
 class ChangeTarget:
     """``folder`` must be durable and reached by all executors. ``partitions`` of the state are fixed when a checkpoint is
-    new (the session's shuffle partitions if not given)."""
+    new (the session's shuffle partitions if not given), and so are its pages: PAGE_KEYS of the rows then known to a page, or
+    of ``expected_keys`` if the table will grow to more. A visit reads a page, and writes what changed."""
 
     def __init__(self, spark: SparkSession, folder: str, keys: list[str], keep_deletes: timedelta = KEEP_DELETES,
-                 partitions: int | None = None):
+                 partitions: int | None = None, expected_keys: int = 0):
         self.spark, self.folder, self.keys, self.keep, self.partitions = spark, folder.rstrip("/"), keys, keep_deletes, partitions
+        self.expected_keys = expected_keys
 
     def create(self, rows: DataFrame, ts: str = "timestamp", txn: str = "bigint") -> "ChangeTarget":
         """Start from ``rows`` (one per key); any change is newer than they are. ``ts`` and ``txn``: the log's types."""
@@ -156,13 +193,14 @@ class ChangeTarget:
         kinds = self.spark.read.parquet(now["start"]).schema
         names = [f"key_{i}" for i in range(len(self.keys))]
 
-        def stored(variable: str, op: str) -> DataFrame:
-            rows = self.spark.read.format("statestore").option("path", now["checkpoint"]).option("stateVarName", variable).load()
-            row = F.from_json("value.after", kinds["after"].dataType, _JSON) if variable == "live" else F.lit(None).cast(kinds["after"].dataType)
-            return rows.select(F.lit(op).alias("op"), *[_back(F.col(f"value.{c}"), kinds[c].dataType).alias(c) for c in ("ts", "txn")],
-                                row.alias("after"), *[_back(F.col("key")[n], kinds[n].dataType).alias(n) for n in names])
-
-        return stored("live", "insert").unionByName(stored("gone", "delete"))
+        held = self.spark.read.format("statestore").option("path", now["checkpoint"]).option("stateVarName", "held").load()
+        columns = ["id", *names, "ts", "txn", "after", "until"]
+        rows = held.select("key.page", "list_element.*").select("page", "number", F.explode(F.arrays_zip(*columns)).alias("row"))
+        last = rows.groupBy("page", "row.id").agg(F.max_by("row", "number").alias("last"))
+        return last.select(F.expr("IF(last.until IS NULL, 'insert', 'delete')").alias("op"),
+                           *[_back(F.col(f"last.{c}"), kinds[c].dataType).alias(c) for c in ("ts", "txn")],
+                           F.from_json("last.after", kinds["after"].dataType, _JSON).alias("after"),
+                           *[_back(F.col(f"last.{n}"), kinds[n].dataType).alias(n) for n in names])
 
     def rows(self) -> DataFrame:
         """The table as it stands after the last finished batch: no deleted keys, only its own columns."""
@@ -179,28 +217,35 @@ class ChangeTarget:
         else:
             start = now["start"]
         first = self.spark.read.parquet(start)
+        pages = max(-(-max(first.count(), self.expected_keys) // PAGE_KEYS), LEAST_PAGES)
         names = [f"key_{i}" for i in range(len(self.keys))]
         kinds = first.schema
 
         def plain(rows: DataFrame) -> DataFrame:
+            keys = [_plain(F.col(n), kinds[n].dataType).alias(n) for n in names]
+            # a key's text; adding zero makes -0.0 and 0.0 one key, as they are in a grouping
+            same = [(k + F.lit(0.0).cast(kinds[n].dataType)).alias(n) if isinstance(kinds[n].dataType, (T.DoubleType, T.FloatType)) else k for k, n in zip(keys, names)]
             return rows.select("op", *[_plain(F.col(c), kinds[c].dataType).alias(c) for c in ("ts", "txn")],
-                               F.to_json("after", _JSON).alias("after"), *[_plain(F.col(n), kinds[n].dataType).alias(n) for n in names])
+                               F.to_json("after", _JSON).alias("after"), *keys, F.to_json(F.struct(*same), _JSON).alias("id")) \
+                .withColumn("page", F.pmod(F.xxhash64("id"), F.lit(pages)))
 
         changes = plain(log.select("op", *[F.col(c).cast(kinds[c].dataType).alias(c) for c in ("ts", "txn", "after")],
                                    *[field(k).cast(kinds[n].dataType).alias(n) for k, n in zip(self.keys, names)]))
-        held = changes.schema
-        if not any(isinstance(held[n].dataType, (T.ArrayType, T.StructType, T.MapType)) for n in names):
-            changes = changes.mapInArrow(_newest(names), held)
-        live = T.StructType([held["ts"], held["txn"], held["after"]])
+        kind, partitions = changes.schema, int(self.partitions or self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # the newest of each key, first where the changes are read and then where a page's come together
+        changes = changes.mapInArrow(_newest(["id"]), kind).repartition(partitions, "page").mapInArrow(_newest(["id"]), kind)
+        fields = [kind["id"], *[kind[n] for n in names], kind["ts"], kind["txn"], kind["after"], T.StructField("until", T.LongType())]
+        segment = T.StructType([T.StructField("number", T.LongType()), *[T.StructField(f.name, T.ArrayType(f.dataType)) for f in fields]])
         handled = F.unix_millis(F.current_timestamp()).alias("handled")
         timed = changes.select("*", handled, F.current_timestamp().alias("now")).withWatermark("now", "0 seconds")
-        applied = timed.groupBy(*names).transformWithState(
-            _LastChange(live, self.keep), T.StructType([held[n] for n in names]), "Update", "EventTime",
-            plain(first).select("*", handled).groupBy(*names))
+        known = plain(first).select("*", handled)
+        known = known.groupBy("page").agg(F.collect_list(F.struct(*[c for c in known.columns if c != "page"])).alias("rows"))
+        applied = timed.groupBy("page").transformWithState(
+            _LastChanges(segment, self.keep), T.StructType([kind["page"]]), "Update", "EventTime", known.groupBy("page"))
         writer = applied.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
         shuffle, usual = "spark.sql.shuffle.partitions", self.spark.conf.get("spark.sql.shuffle.partitions")
         try:  # a query keeps the settings it started with
-            self.spark.conf.set(shuffle, str(self.partitions or usual))
+            self.spark.conf.set(shuffle, str(partitions))
             return (writer.trigger(availableNow=True) if available_now else writer).start()
         finally:
             self.spark.conf.set(shuffle, usual)

@@ -14,6 +14,7 @@ from millrace.operators.aggregates import Agg
 from millrace.operators.quality_rules import QualityRule
 from millrace.operators.rules import Rule, apply_rules
 from millrace.plans.job import Job, compile_job, run_job
+from millrace.streaming import targets
 from millrace.streaming.targets import ChangeTarget
 from millrace.session import new_folder
 from millrace.sources import readers, sinks
@@ -272,6 +273,23 @@ def test_one_key_with_most_changes(spark, folder):
     assert plain.mapInArrow(_newest(["k"]), plain.schema).count() == 2
 
 
+def test_keys_share_pages_of_state(spark, folder, monkeypatch):
+    """Visits to the state go by page, not by key; a page keeps every key's last change and is written anew now and then."""
+    monkeypatch.setattr(targets, "LEAST_PAGES", 2)
+    keys = [f"k{i:03}" for i in range(200)]
+    target = change_target(spark, keys=keys)
+    changes = [[("update" if (i + batch) % 7 else "delete", batch + 1, i, k, float(batch)) for i, k in enumerate(keys) if batch != 1 or i < 3]
+               for batch in range(6)]
+    # one that comes late
+    changes.append([("update", 2, 5, "k005", -1.0)])
+    query = streams.subscribe_changes(log_stream(spark, f"{folder}/log", changes), target, f"{folder}/c")
+    query.awaitTermination()
+    assert max(o["numRowsTotal"] for p in query.recentProgress for o in p["stateOperators"]) <= 2
+    assert rows(target.rows(), "k", "v") == [(k, 5.0) for i, k in enumerate(keys) if (i + 5) % 7]
+    held = spark.read.format("statestore").option("path", f"{folder}/c").option("stateVarName", "held").load()
+    assert 200 <= held.selectExpr("sum(size(list_element.id))").first()[0] <= 2 * 200 + 2 * targets.SPARE
+
+
 class FakeConnection:
     def __init__(self, exists):
         self.exists, self.statements, self.asked = exists, [], None

@@ -274,13 +274,15 @@ def stream_process_batch(spark, sf_dir):
     SELECT user_id, event_type, value FROM last WHERE n = 1 AND event_type <> 'error'
     UNION ALL SELECT c_custkey, 'none', 0.0 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""")
 def cdc_stream(spark, sf_dir):
-    """Several micro-batches in no order of time: the events lie in files by the hash of their id."""
-    target = ChangeTarget(spark, new_folder(spark, "cdc-target"), ["user_id"], partitions=4).create(
+    """Four micro-batches in no order of time: the events lie in files by the hash of their id, one of a batch for every
+    core. The state has a partition for every core, four at least."""
+    cores = spark.sparkContext.defaultParallelism
+    target = ChangeTarget(spark, new_folder(spark, "cdc-target"), ["user_id"], partitions=max(4, cores)).create(
         table(spark, sf_dir, "customer").selectExpr("c_custkey AS user_id", "'none' AS event_type", "0.0D AS value"))
     source = new_folder(spark, "cdc-source")
     events = table(spark, sf_dir, "events")
-    events.repartition(4, "event_id").write.parquet(source)
-    stream = readers.stream_files(spark, source, events.schema, maxFilesPerTrigger=1)
+    events.repartition(4 * cores, "event_id").write.parquet(source)
+    stream = readers.stream_files(spark, source, events.schema, maxFilesPerTrigger=cores)
     log = stream.withColumn("ts", F.col("ts").cast("timestamp")).select(
         F.expr("IF(event_type = 'error', 'delete', 'update')").alias("op"), "ts", F.col("event_id").alias("txn"), "user_id",
         F.expr("IF(event_type = 'error', NULL, named_struct('user_id', user_id, 'event_type', event_type, 'value', value))")
