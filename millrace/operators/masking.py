@@ -6,9 +6,12 @@ keys still join. Nulls stay null.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass, field as dc_field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from millrace.functions.columns import NUMERIC, as_text, called, field
@@ -46,6 +49,8 @@ def _letters(first: str, last: str) -> str:
 #: Characters are replaced within their class; those of no class stay.
 CLASSES = tuple(_letters(*ends) for ends in ("az", "AZ", "09", "ßÿ", "ÀÞ", "Āſ", "αω", "ΑΩ", "ая", "АЯ"))
 ROUNDS = 4
+#: Bytes of text that are worked on at a time; a longer text is one piece.
+CHUNK = 1 << 18
 
 
 def _tokenize(text: Column, secret: str, preserve_length: bool, preserve_format: bool) -> Column:
@@ -62,35 +67,75 @@ def _permuted(text: Column, secret: str) -> Column:
 
     Feistel rounds: the characters at even places turn within their classes by a keyed digest of those at odd places, then
     the reverse. Each round can be undone, since what it depends on is still there, so all rounds are a permutation. A
-    round is one digest and one pass over the text.
+    round is one digest of each text and one pass over the characters of many texts at a time.
     """
 
-    def round_of(number: int):
-        turned = number % 2
-
-        def run(chars: Column) -> Column:
-            others = F.array_join(F.filter(chars, lambda _, i: i % 2 != turned), "")
-            # the outer lambdas bind the digest and its bytes, so that they are computed once and not for every character
-            numbers = F.transform(F.array(digest(others, f"{secret}|{number}|")), lambda h: F.transform(
-                F.sequence(F.lit(0), F.lit(31)), lambda k: F.conv(F.substring(h, k * 2 + 1, F.lit(2)), 16, 10).cast("int")))
-            return F.transform(numbers, lambda by: F.transform(
-                chars, lambda c, i: F.when(i % 2 == turned, _turned(c, F.get(by, i % 32))).otherwise(c)))[0]
-
-        return run
-
-    characters = F.split(text, "")
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        # bytes that are no UTF-8 are kept as characters of no class
+        plain = texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+        out, rows, size = [], [], 0
+        for value in plain:
+            value = value.as_py()
+            rows.append(value if value is None else value.decode("utf-8", "surrogateescape"))
+            size += len(value or b"")
+            if size > CHUNK:
+                out += _turned(rows, secret)
+                rows, size = [], 0
+        return pa.array(out + _turned(rows, secret), plain.type).view(texts.type)
+
+    return run(text)
+
+
+def _places() -> tuple[np.ndarray, ...]:
+    """Of each code point up to the last of a class: where its class begins in all letters, its place there and the size of
+    the class, 0 if it has none. Then all letters."""
+    letters = "".join(CLASSES)
+    first, place, size = np.zeros((3, max(map(ord, letters)) + 2), np.int32)
+    for k in CLASSES:
+        codes = [ord(c) for c in k]
+        first[codes], place[codes], size[codes] = letters.index(k), range(len(k)), len(k)
+    return first, place, size, np.array([ord(c) for c in letters], np.uint32)
+
+
+_FIRST, _PLACE, _SIZE, _LETTERS = _places()
+
+
+def _turned(texts: list[str | None], secret: str) -> list[bytes | None]:
+    """All rounds on some texts, whose characters lie in one array."""
+    whole = [t for t in texts if t is not None]
+    chars = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    lengths = np.array([len(t) for t in whole], np.int64)
+    row = np.repeat(np.arange(len(whole)), lengths)
+    at = np.arange(len(chars)) - (np.cumsum(lengths) - lengths)[row]
+    code = np.minimum(chars, len(_SIZE) - 1)
+    first, place, size = _FIRST[code], _PLACE[code], _SIZE[code]
+    odd = at % 2 == 1
+    movable = [np.flatnonzero((odd == turned) & (size > 0)) for turned in (False, True)]
     for number in range(ROUNDS):
-        characters = F.transform(F.array(characters), round_of(number))[0]
-    return F.array_join(characters, "")
-
-
-def _turned(char: Column, by: Column) -> Column:
-    """One character moved on within its class."""
-    out = F.when(F.ascii(char) < 48, char)  # blanks, signs and nothing
-    for letters in CLASSES:
-        place = F.instr(F.lit(letters), char)
-        out = out.when(place > 0, F.substring(F.lit(letters), (place - 1 + by) % len(letters) + 1, F.lit(1)))
-    return out.otherwise(char)
+        turned, at_odd = movable[number % 2], number % 2 == 1
+        others = chars[odd != at_odd]
+        data, ends = _utf8(others, np.cumsum((lengths + 1) // 2 if at_odd else lengths // 2))
+        key, begin, digests = hashlib.sha256(f"{secret}|{number}|".encode()), 0, []
+        for end in ends:
+            hashed = key.copy()
+            hashed.update(data[begin:end])
+            digests.append(hashed.digest())
+            begin = end
+        by = np.frombuffer(b"".join(digests), np.uint8)[row[turned] * 32 + at[turned] % 32]
+        place[turned] = (place[turned] + by) % size[turned]
+        chars[turned] = _LETTERS[first[turned] + place[turned]]
+    data, ends = _utf8(chars, np.cumsum(lengths))
+    made = (bytes(data[b:e]) for b, e in zip([0, *ends], ends))
+    return [None if t is None else next(made) for t in texts]
+
+
+def _utf8(chars: np.ndarray, ends: np.ndarray) -> tuple[memoryview, list[int]]:
+    """Characters as UTF-8, and where the bytes of each text end."""
+    wide = 1 + (chars >= 0x80) + (chars >= 0x800).astype(np.int64) + (chars >= 0x10000)
+    wide[(chars >= 0xDC80) & (chars <= 0xDCFF)] = 1  # a byte that was no UTF-8
+    data = chars.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogateescape")
+    return memoryview(data), np.concatenate([[0], np.cumsum(wide)])[ends].tolist()
 
 
 def mask_column(df: DataFrame, name: str, mask: Mask) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import pytest
@@ -75,6 +76,48 @@ def test_tokens_keep_classes_and_places(spark):
     assert masked[3:] != tokens(spark, values, "other")[3:]
 
 
+def plain_token(text, salt):
+    """The rounds character by character."""
+    chars = list(text)
+    for number in range(masking.ROUNDS):
+        others = "".join(c for i, c in enumerate(chars) if i % 2 != number % 2)
+        by = hashlib.sha256(f"{salt}|{number}|{others}".encode()).digest()
+        for i, c in enumerate(chars):
+            letters = next((k for k in masking.CLASSES if c in k), None)
+            if i % 2 == number % 2 and letters:
+                chars[i] = letters[(letters.index(c) + by[i % 32]) % len(letters)]
+    return "".join(chars)
+
+
+def test_tokens_equal_the_plain_rounds(spark, monkeypatch):
+    draw = random.Random(5)
+    letters = "".join(masking.CLASSES) + " -,.\n\0×÷漢😀\U0010ffff"
+    values = ["", "a", "😀", "ÿ9"] + ["".join(draw.choices(letters, k=draw.randrange(200))) for _ in range(300)]
+    assert tokens(spark, values, "pépper") == [plain_token(v, "pépper") for v in values]
+    # the same in pieces, with texts longer than a piece and without any text
+    for chunk in (1, 500):
+        monkeypatch.setattr(masking, "CHUNK", chunk)
+        assert tokens(spark, [None, *values, None]) == [None, *[plain_token(v, "s") for v in values], None]
+    assert masking._turned([None], "s") == [None] and masking._turned([], "s") == []
+    assert tokens(spark, [None, None]) == [None, None]
+
+
+def test_bytes_that_are_no_utf8_keep_their_places(spark):
+    value = F.concat(F.lit("ab".encode()), F.unhex(F.lit("FF80")), F.lit("c漢".encode())).cast("string")
+    masked = masking.mask_data(spark.range(1).select(value.alias("v")), {"v": Mask("Tokenize", {"salt": "s"})})
+    found = bytes(masked.select(F.col("v").cast("binary")).first()[0])
+    assert len(found) == 8 and found[2:4] == b"\xff\x80" and found[5:] == "漢".encode()
+
+
+def test_tokens_of_long_texts_take_few_passes(spark):
+    """Characters are not looked at one by one by interpreted functions."""
+    frame = spark.range(1).select(F.expr("repeat('Lorem ipsum 2024, ', 220000)").alias("v"))
+    masked = masking.mask_data(frame, {"v": Mask("Tokenize", {"salt": "s"})})
+    plan = masked._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("ArrowEvalPython") == 1
+    assert masked.select(F.length("v")).first()[0] == 18 * 220000
+
+
 def test_keyed_masks_need_a_secret(spark):
     frame = spark.createDataFrame([("a",)], "v string")
     for kind in masking.KEYED:
